@@ -159,11 +159,12 @@ def typed_fields(raw: Column, fields: dict[str, T.DataType], optional=()) -> Col
     typed = F.from_json(raw, schema, options)
     variants = F.from_json(raw, ", ".join(f"`{k}` variant" for k in fields), STRICT)
 
+    # A bad value does not undo the one before it, so for repeated keys VARIANTs judge the last values.
     def last_values(v: Column) -> Column:
         ok = F.lit(True)
         for k, t in fields.items():
             ok = ok & _variant_is(v[k], t, k in optional)
-        return F.when(ok, F.from_json(F.to_json(v), schema, options)).otherwise(typed.withField(ERROR_FIELD, raw))
+        return typed.withField(ERROR_FIELD, F.when(~ok, raw))
 
     return F.when(_repeats_any(raw, fields, optional), let(variants, last_values)).otherwise(typed)
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticktape import schemas as S
+from ticktape.sources.frames import spread
 
 HOUR_MS, MINUTE_MS, SECOND_MS = 3_600_000, 60_000, 1_000
 PAIR_OF_EVENT = {"purchase": "BTC-USD", "click": "ETH-USD", "view": "LINK-USD", "signup": "SOL-USD"}
@@ -130,7 +131,7 @@ def family_frames(events: DataFrame, family: S.Family) -> DataFrame:
 
 def mixed_frames(trade_rows: DataFrame) -> DataFrame:
     """Each trade with its quote and book: for even event ids as one array frame, else as three frames."""
-    events = trade_rows.select(
+    events = spread(trade_rows).select(
         "ingest_seq",
         F.struct(*S.TRADE.columns).alias("t"),
         F.struct(*_quote_fields()).alias("q"),
@@ -150,7 +151,7 @@ def mixed_frames(trade_rows: DataFrame) -> DataFrame:
 def damaged_frames(trade_rows: DataFrame) -> DataFrame:
     """Each trade as a frame with one of eleven forms, most of them faulty; see ``DAMAGE``."""
     text = wire(F.col("t"), S.TRADE)
-    rows = trade_rows.select("ingest_seq", F.struct(*S.TRADE.columns).alias("t")).select("ingest_seq", text.alias("good"))
+    rows = spread(trade_rows).select("ingest_seq", F.struct(*S.TRADE.columns).alias("t")).select("ingest_seq", text.alias("good"))
     good, form = F.col("good"), F.col("ingest_seq") % len(DAMAGE)
     frame = F.lit(None).cast("string")
     for i, damage in enumerate(DAMAGE.values()):

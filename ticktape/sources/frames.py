@@ -11,23 +11,33 @@ from pyspark.sql import functions as F
 FRAME_TABLE_SCHEMA = "ingest_seq BIGINT, frame STRING"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A freshly read table, dealt out to all cores if it has fewer splits than there are cores.
+
+    Decoding costs far more than moving a small table.  A table with splits enough stays where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def read_text_frames(spark: SparkSession, path: str, line_sep: str = "\n") -> DataFrame:
     """Landed text files, one frame to a line.
 
     Files arrive by modification time and name; inside a file, blocks and lines keep their order.
     """
     lines = spark.read.option("lineSep", line_sep).text(path)
-    return lines.select(
+    numbered = lines.select(
         F.col("value").alias("frame"),
         F.col("_metadata.file_modification_time").alias("ingest_ts"),
         F.format_string("%s#%020d", "_metadata.file_path", "_metadata.file_block_start").alias("ingest_src"),
         F.monotonically_increasing_id().alias("ingest_seq"),
     )
+    return spread(numbered)
 
 
 def read_frame_table(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
     """A table of ``ingest_seq`` and ``frame`` (Parquet, ORC or JSON lines)."""
-    return spark.read.schema(FRAME_TABLE_SCHEMA).format(file_format).load(path)
+    return spread(spark.read.schema(FRAME_TABLE_SCHEMA).format(file_format).load(path))
 
 
 def stream_text_frames(spark: SparkSession, path: str, max_files: int = 100, line_sep: str = "\n") -> DataFrame:
