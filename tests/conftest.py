@@ -21,6 +21,7 @@ def spark(tmp_path_factory):
         .config("spark.driver.memory", "4g")
         .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+        .config("spark.sql.maxMetadataStringLength", "2000")
         # Not UTC on purpose: no result may depend on the session zone.
         .config("spark.sql.session.timeZone", "America/New_York")
         .getOrCreate()

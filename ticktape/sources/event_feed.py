@@ -26,7 +26,7 @@ def trades(events: DataFrame) -> DataFrame:
     """One trade per event; ``ingest_seq`` is the event id."""
     # Wall-clock time as UTC, whatever the session zone.
     since_epoch = "CAST(ts AS TIMESTAMP_NTZ) - TIMESTAMP_NTZ'1970-01-01 00:00:00'"
-    millis = F.floor(F.expr(f"CAST(CAST({since_epoch} AS INTERVAL SECOND) AS DECIMAL(18, 6)) * 1000"))
+    millis = F.floor(F.expr(f"CAST(CAST({since_epoch} AS INTERVAL SECOND) AS DECIMAL(18, 6)) * 1000")).cast("long")
     pair = F.lit(OTHER_PAIR)
     for name, p in PAIR_OF_EVENT.items():
         pair = F.when(F.col("event_type") == name, F.lit(p)).otherwise(pair)
