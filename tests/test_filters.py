@@ -36,8 +36,8 @@ def _every_way(spark, trades, config):
     table = filters.criteria_table(spark, config)
     return [
         _kept(trades.where(filters.criteria_predicate(config))),
-        _kept(filters.criteria_join(trades, table)),
-        _kept(filters.criteria_join(trades, table, max_broadcast_bytes=0, salts=4)),
+        _kept(filters.filter_events(trades, filters.table_filter(table))),
+        _kept(filters.filter_events(trades, filters.table_filter(table, max_broadcast_bytes=0, salts=4))),
     ]
 
 
@@ -91,14 +91,14 @@ def test_comparisons_follow_ieee(spark):
         assert kept == expected
 
 
-def test_filter_trades_picks_a_form_by_size(spark):
+def test_the_form_of_a_filter_goes_by_the_size_of_its_config(spark):
     rows = [(f"P{i % 50}", i, i % 7) for i in range(2000)]
     config = {f"P{i}": [_number("size", ">", float(i % 5))] for i in range(40)}
     expected = [i for i, (p, _, s) in enumerate(rows) if p not in config or s > config[p][0]["value"]["Number"]]
     trades, table = _trades(spark, rows), filters.criteria_table(spark, config)
-    compiled = filters.filter_trades(trades, table)
-    joined = filters.filter_trades(trades, table, max_compiled=10)
-    salted = filters.filter_trades(trades, table, max_compiled=10, max_broadcast_bytes=10)
+    compiled = filters.filter_events(trades, filters.configured(table))
+    joined = filters.filter_events(trades, filters.configured(table, max_compiled=10))
+    salted = filters.filter_events(trades, filters.configured(table, max_compiled=10, max_broadcast_bytes=10))
     assert "Join" not in plan_of(compiled)
     assert "BroadcastHashJoin" in plan_of(joined)
     for df in (compiled, joined, salted):
@@ -112,7 +112,7 @@ def test_a_hot_pair_is_spread_over_tasks(spark):
         F.col("id").alias("ingest_seq"),
     )
     config = filters.criteria_table(spark, {"HOT": [_number("size", ">", 100.0)]})
-    salted = filters.criteria_join(trades, config, max_broadcast_bytes=0, salts=16)
+    salted = filters.filter_events(trades, filters.table_filter(config, max_broadcast_bytes=0, salts=16))
     assert salted.count() == trades.where("pair <> 'HOT' OR size > 100").count()
     from ticktape.operators.lookup import _salt
 
@@ -143,6 +143,16 @@ def test_fan_out_is_a_bag(spark):
     assert filters.apply_filters({"trade": _trades(spark, rows)}, {}) == {}
 
 
+def test_config_tables_in_a_fan_out(spark):
+    trades = _trades(spark, [("A", 1, 0.5), ("A", 1, 2.0), ("B", 1, 0.5)])
+    one = filters.criteria_table(spark, {"A": [_number("size", ">", 1.0)]})
+    two = filters.criteria_table(spark, {"A": [_number("size", "<", 1.0)], "B": [_text("pair", "!=", "B")]})
+    chosen = {"one": filters.table_filter(one), "two": filters.table_filter(two, max_broadcast_bytes=0, salts=2)}
+    out = filters.fan_out(trades, chosen, S.TRADE)
+    assert out.columns == [*trades.columns, "filter_id"]
+    assert sorted((r.ingest_seq, r.filter_id) for r in out.collect()) == [(0, "two"), (1, "one"), (2, "one")]
+
+
 def test_a_python_predicate_is_accepted(spark):
     @F.pandas_udf("boolean")
     def odd(seq: pd.Series) -> pd.Series:

@@ -6,6 +6,7 @@ that passes k filters comes out k times, each copy tagged with the filter's id.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -30,6 +31,23 @@ TEXT_FIELDS = ("pair",)
 MAX_COMPILED_CRITERIA = 200
 
 
+@dataclass(frozen=True)
+class EventFilter:
+    """A filter as applied: the family it reads and its predicate (a column, or a callable giving one).
+
+    ``prepare`` may add columns the predicate needs.  Set ``python`` for a predicate that calls a Python
+    function, so that it is evaluated only once.
+    """
+
+    family: S.Family
+    predicate: Column | Callable[[], Column]
+    prepare: Callable[[DataFrame], DataFrame] | None = None
+    python: bool = False
+
+    def column(self) -> Column:
+        return self.predicate if isinstance(self.predicate, Column) else self.predicate()
+
+
 # --- per-pair criteria, compiled into an expression -------------------------------------------------
 
 
@@ -68,6 +86,10 @@ def criteria_predicate(criteria_by_pair: Mapping[str, Sequence[Mapping]] = DEFAU
     return passes
 
 
+def parameterized(criteria_by_pair: Mapping[str, Sequence[Mapping]] = DEFAULT_CRITERIA) -> EventFilter:
+    return EventFilter(S.TRADE, criteria_predicate(criteria_by_pair))
+
+
 # --- per-pair criteria, kept in a table -------------------------------------------------------------
 
 
@@ -94,26 +116,33 @@ def _table_criterion(c: Column) -> Column:
     return F.coalesce(met, F.lit(False))
 
 
-def criteria_join(trades: DataFrame, config: DataFrame, **size_limits) -> DataFrame:
-    """Trades that pass a config table (``pair, criteria``; pairs unique), for configs too long to compile."""
-    joined = lookup_join(trades, config.select("pair", F.col("criteria").alias("_criteria")), ["pair"], "left", **size_limits)
-    passes = F.coalesce(F.forall("_criteria", _table_criterion), F.lit(True))
-    return joined.where(passes).select(*trades.columns)
+def table_filter(config: DataFrame, **size_limits) -> EventFilter:
+    """The filter of a config table (``pair, criteria``; pairs unique), for configs too long to compile."""
+    column = f"_criteria_{uuid.uuid4().hex}"
+    criteria = config.select("pair", F.col("criteria").alias(column))
+    return EventFilter(
+        S.TRADE,
+        F.coalesce(F.forall(column, _table_criterion), F.lit(True)),
+        prepare=lambda trades: lookup_join(trades, criteria, ["pair"], "left", **size_limits),
+    )
 
 
-def filter_trades(
-    trades: DataFrame,
-    config: DataFrame,
-    max_compiled: int = MAX_COMPILED_CRITERIA,
-    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
-) -> DataFrame:
-    """Trades that pass a config table: compiled if it is short, else joined in the way its size allows."""
+def configured(
+    config: DataFrame, max_compiled: int = MAX_COMPILED_CRITERIA, max_broadcast_bytes: int = MAX_BROADCAST_BYTES
+) -> EventFilter:
+    """The filter of a config table: compiled if it is short, else joined in the way its size allows."""
     entries = config.agg(
         F.count(F.lit(1)).alias("pairs"), F.coalesce(F.sum(F.size("criteria")), F.lit(0)).alias("criteria")
     ).first()
     if entries["pairs"] + entries["criteria"] <= max_compiled:
-        return trades.where(criteria_predicate(collect_criteria(config)))
-    return criteria_join(trades, config, max_broadcast_bytes=max_broadcast_bytes)
+        return parameterized(collect_criteria(config))
+    return table_filter(config, max_broadcast_bytes=max_broadcast_bytes)
+
+
+def filter_events(events: DataFrame, event_filter: EventFilter) -> DataFrame:
+    """Events of the filter's family that pass it."""
+    prepared = event_filter.prepare(events) if event_filter.prepare else events
+    return prepared.where(event_filter.column()).select(*events.columns)
 
 
 def collect_criteria(config: DataFrame) -> dict[str, list[dict]]:
@@ -138,30 +167,14 @@ def size_gate(minimum: float = DEFAULT_SIZE_GATE) -> Column:
 # --- fan-out ----------------------------------------------------------------------------------------
 
 
-@dataclass(frozen=True)
-class EventFilter:
-    """A filter as applied: the family it reads and its predicate (a column, or a callable giving one).
-
-    Set ``python`` for a predicate that calls a Python function, so that it is evaluated only once.
-    """
-
-    family: S.Family
-    predicate: Column | Callable[[], Column]
-    python: bool = False
-
-    def column(self) -> Column:
-        return self.predicate() if callable(self.predicate) and not isinstance(self.predicate, Column) else self.predicate
-
-
-def parameterized(criteria_by_pair: Mapping[str, Sequence[Mapping]] = DEFAULT_CRITERIA) -> EventFilter:
-    return EventFilter(S.TRADE, criteria_predicate(criteria_by_pair))
-
-
 def fan_out(events: DataFrame, filters: Mapping[str, EventFilter], family: S.Family) -> DataFrame:
     """Events of one family, once per filter they pass, tagged ``filter_id``.  One scan for all filters."""
     mine = {name: f for name, f in filters.items() if f.family.name == family.name}
     if not mine:
         return events.where(F.lit(False)).withColumn("filter_id", F.lit(""))
+    kept = events.columns
+    for f in mine.values():
+        events = f.prepare(events) if f.prepare else events
     passed = F.array(*[F.when(f.column(), F.lit(name)) for name, f in mine.items()])
     if not any(f.python for f in mine.values()):
         # Lets the scan skip what no filter wants; the tags below decide.
@@ -169,7 +182,7 @@ def fan_out(events: DataFrame, filters: Mapping[str, EventFilter], family: S.Fam
         for f in mine.values():
             passes_one = passes_one | f.column()
         events = events.where(passes_one)
-    return events.select(*events.columns, F.explode(F.array_compact(passed)).alias("filter_id"))
+    return events.select(*kept, F.explode(F.array_compact(passed)).alias("filter_id"))
 
 
 def apply_filters(events: Mapping[str, DataFrame], filters: Mapping[str, EventFilter]) -> dict[str, DataFrame]:

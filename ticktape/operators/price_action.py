@@ -12,7 +12,7 @@ from ticktape.functions import floats as N
 
 DEFAULT_THRESHOLD = 0.0001  # fixed value: percent
 
-_BUCKET_BITS = 20
+_BUCKET_BITS = 17
 _DAY_MS = 86_400_000
 
 

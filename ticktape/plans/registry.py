@@ -254,12 +254,12 @@ def filter_param(spark, sf_dir):
 
 def filter_param_table(spark, sf_dir):
     config = filters.criteria_table(spark, filters.DEFAULT_CRITERIA)
-    return _show(filters.criteria_join(_trades(spark, sf_dir), config), S.TRADE)
+    return _show(filters.filter_events(_trades(spark, sf_dir), filters.table_filter(config)), S.TRADE)
 
 
 def filter_param_salted(spark, sf_dir):
     config = filters.criteria_table(spark, filters.DEFAULT_CRITERIA)
-    return _show(filters.criteria_join(_trades(spark, sf_dir), config, max_broadcast_bytes=0, salts=8), S.TRADE)
+    return _show(filters.filter_events(_trades(spark, sf_dir), filters.table_filter(config, max_broadcast_bytes=0, salts=8)), S.TRADE)
 
 
 def filter_operations(spark, sf_dir):
@@ -268,7 +268,7 @@ def filter_operations(spark, sf_dir):
 
 def filter_operations_table(spark, sf_dir):
     config = filters.criteria_table(spark, _MIXED_CRITERIA)
-    return _show(filters.criteria_join(_trades(spark, sf_dir), config), S.TRADE)
+    return _show(filters.filter_events(_trades(spark, sf_dir), filters.table_filter(config)), S.TRADE)
 
 
 def filter_saved_config(spark, sf_dir):
@@ -279,7 +279,7 @@ def filter_saved_config(spark, sf_dir):
     criterion = F.struct(F.lit("size").alias("field"), F.lit(">").alias("operation"), value.alias("value"))
     path = workdir.new_folder(spark, "config")
     filter_config.save_filter_config(mean.select("pair", F.array(criterion).alias("criteria")), path)
-    return _show(filters.filter_trades(rows, filter_config.load_filter_config(spark, path)), S.TRADE)
+    return _show(filters.filter_events(rows, filters.configured(filter_config.load_filter_config(spark, path))), S.TRADE)
 
 
 def filter_price_movement(spark, sf_dir):

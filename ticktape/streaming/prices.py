@@ -8,6 +8,8 @@ prices and overwrites the same output, so each bar is measured once.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -17,11 +19,17 @@ _STATE_SCHEMA = "pair STRING, last DOUBLE"
 
 
 def price_action_stream(
-    bars: DataFrame, output: str, checkpoint: str, threshold: float = DEFAULT_THRESHOLD, scope: str = "pair"
+    bars: DataFrame,
+    output: str,
+    checkpoint: str,
+    threshold: float = DEFAULT_THRESHOLD,
+    scope: str = "pair",
+    keep: Callable[[DataFrame], DataFrame] = lambda measured: measured,
 ) -> DataStreamWriter:
     """The stream that writes ``price_action`` rows of a stream of bars under ``output``.
 
-    ``bars`` needs ``ingest_seq``: rows of a micro-batch come in no particular order.
+    ``bars`` needs ``ingest_seq``: rows of a micro-batch come in no particular order.  ``keep`` says what of
+    the measured bars is written; pass ``alerts`` for spikes and drops only.
     """
     if scope == "pair" and "ingest_seq" not in bars.columns:
         raise ValueError("streaming bars need ingest_seq to know their arrival order")
@@ -30,12 +38,12 @@ def price_action_stream(
     def run(batch: DataFrame, batch_id: int) -> None:
         target = f"{output.rstrip('/')}/batch_id={batch_id}"
         if scope == "bar":
-            price_action(batch, threshold, scope="bar").write.mode("overwrite").parquet(target)
+            keep(price_action(batch, threshold, scope="bar")).write.mode("overwrite").parquet(target)
             return
         batch.persist()
         try:
             carried = _read_prices(batch.sparkSession, state, batch_id)
-            price_action(batch, threshold, carried=carried).write.mode("overwrite").parquet(target)
+            keep(price_action(batch, threshold, carried=carried)).write.mode("overwrite").parquet(target)
             last_prices(batch, carried=carried).write.mode("overwrite").parquet(_slot(state, batch_id))
         finally:
             batch.unpersist()
