@@ -36,11 +36,28 @@ def test_trade_job(spark, tmp_path):
     assert [(r.pair, r.conditions, r.filter_id) for r in row] == [("BTC-USD", [], "default")]
 
 
-def test_alert_job(spark, tmp_path):
+def test_alert_job_on_text_files_in_order(spark, tmp_path):
+    import os
+
+    closes = [150.0, 75.0, 75.0, 300.0, 100.0, 101.0]
+    texts = [MINUTE.replace('"c":101.5', f'"c":{c}') for c in closes]
+    frames, root = _land(tmp_path, texts[:4]), str(tmp_path / "root")
+    later = tmp_path / "landed" / "b.txt"
+    later.write_text("\n".join(texts[4:]) + "\n")
+    os.utime(later, (2_000_000_000, 2_000_000_000))
+    jobs.main(["alerts", "--frames", frames, "--root", root, "--checkpoint", str(tmp_path / "checkpoint"),
+               "--threshold", "5", "--max-files", "1"])
+    rows = spark.read.parquet(f"{root}/alerts").orderBy("ingest_ts", "ingest_seq").collect()
+    assert [(r.batch_id, r.kind, r["last"], r.close) for r in rows] == [
+        (0, "spike", 100.0, 150.0), (0, "drop", 150.0, 75.0), (0, "spike", 75.0, 300.0), (1, "drop", 300.0, 100.0)
+    ]
+
+
+def test_alert_job_on_a_table(spark, tmp_path):
     path, root = str(tmp_path / "landed"), str(tmp_path / "root")
     texts = [MINUTE, MINUTE.replace('"c":101.5', '"c":50'), MINUTE.replace('"c":101.5', '"c":50.1')]
     spark.createDataFrame(list(enumerate(texts)), "ingest_seq bigint, frame string").write.parquet(path)
-    jobs.main(["alerts", "--frames", path, "--root", root, "--checkpoint", str(tmp_path / "checkpoint"), "--threshold", "1"])
+    jobs.main(["alerts", "--table", "--frames", path, "--root", root, "--checkpoint", str(tmp_path / "checkpoint"), "--threshold", "1"])
     rows = spark.read.parquet(f"{root}/alerts").collect()
     assert sorted((r.kind, r["last"], r.close) for r in rows) == [("drop", 101.5, 50.0), ("spike", 100.0, 101.5)]
 

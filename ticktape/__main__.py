@@ -4,7 +4,7 @@
     python -m ticktape trades --frames IN --root OUT --checkpoint DIR
     python -m ticktape alerts --frames IN --root OUT --checkpoint DIR
 
-``batch`` and ``trades`` read text files (a frame to a line); ``alerts`` reads a table of ``ingest_seq, frame``.
+Frames are text files, a frame to a line; ``--table`` reads a Parquet table of ``ingest_seq, frame`` instead.
 Streams stop when nothing is left to read unless ``--every`` names an interval.
 """
 
@@ -26,6 +26,7 @@ def _arguments(argv=None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(prog="ticktape")
     parser.add_argument("job", choices=["batch", "trades", "alerts"])
     parser.add_argument("--frames", required=True)
+    parser.add_argument("--table", action="store_true", help="--frames is a table of ingest_seq and frame")
     parser.add_argument("--root", required=True)
     parser.add_argument("--checkpoint")
     parser.add_argument("--config", help="saved filter configuration; the built-in one if left out")
@@ -57,15 +58,18 @@ def main(argv=None) -> None:
     spark = SparkSession.builder.appName(f"ticktape-{args.job}").getOrCreate()
     wanted = args.topics or None
     if args.job == "batch":
-        landed = frames.read_text_frames(spark, args.frames)
+        read = frames.read_frame_table if args.table else frames.read_text_frames
+        landed = read(spark, args.frames)
         chosen = _event_filters(spark, args.config)
         market.run_batch(landed, args.root, chosen, wanted, args.threshold, args.scope, args.conditions)
     elif args.job == "trades":
-        landed = frames.stream_text_frames(spark, args.frames, args.max_files)
+        read = frames.stream_frame_table if args.table else frames.stream_text_frames
+        landed = read(spark, args.frames, max_files=args.max_files)
         chosen = _event_filters(spark, args.config)
         _run(trades.persist_matches(landed, args.root, args.checkpoint, chosen, wanted, args.conditions), args.every)
     else:
-        landed = frames.stream_frame_table(spark, args.frames, max_files=args.max_files)
+        read = frames.stream_frame_table if args.table else frames.stream_ordered_text_frames
+        landed = read(spark, args.frames, max_files=args.max_files)
         bars = decode.decode_family(decode.split_frames(landed), S.BAR)
         bars = bars if wanted is None else topics.topic_filter(bars, wanted)
         output = f"{args.root.rstrip('/')}/alerts"

@@ -5,6 +5,8 @@ Every source gives ``frame`` plus ``ingest_*`` columns that say in which order f
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +55,26 @@ def stream_text_frames(spark: SparkSession, path: str, max_files: int = 100, lin
     )
 
 
+def stream_ordered_text_frames(spark: SparkSession, path: str, max_files: int = 100, line_sep: str = "\n") -> DataFrame:
+    """Text files as they land, with line numbers, for work that depends on arrival order.
+
+    A stream cannot number lines as it reads them, so each file is read as one value: land files of
+    a size that one task can hold.
+    """
+    files = spark.readStream.option("maxFilesPerTrigger", max_files).option("wholetext", True).text(path)
+    lines = F.split("value", re.escape(line_sep))
+    ended = F.when(F.element_at("lines", -1) == "", F.slice("lines", 1, F.size("lines") - 1)).otherwise(F.col("lines"))
+    return (
+        files.select(
+            lines.alias("lines"),
+            F.col("_metadata.file_modification_time").alias("ingest_ts"),
+            F.col("_metadata.file_path").alias("ingest_src"),
+        )
+        .select("ingest_ts", "ingest_src", F.posexplode(ended).alias("line", "frame"))
+        .select("frame", "ingest_ts", "ingest_src", F.col("line").cast("long").alias("ingest_seq"))
+    )
+
+
 def stream_frame_table(
     spark: SparkSession, path: str, file_format: str = "parquet", max_files: int = 100
 ) -> DataFrame:
