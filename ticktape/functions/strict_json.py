@@ -120,22 +120,18 @@ def object_flags(frame: Column) -> Column:
 # quote inside a string is always escaped.  Substring searches on it are therefore exact.
 
 
-def _spelled(key: str) -> Column:
-    return F.lit(f'"{key}":')
+def key_is_repeated(raw: str, key: str) -> str:
+    """SQL text: whether ``key`` occurs more than once, at any depth."""
+    return f"substring_index({raw}, '\"{key}\":', 2) != {raw}"
 
 
-def key_is_repeated(raw: Column, key: str) -> Column:
-    """Whether ``key`` occurs more than once, at any depth."""
-    return F.substring_index(raw, f'"{key}":', 2) != raw
-
-
-def code_by_text(raw: Column, key: str, codes) -> Column:
-    """The one of ``codes`` that ``key`` holds as a string, else NULL; exact unless the key is repeated.
+def code_by_text(raw: str, key: str, codes) -> str:
+    """SQL text: the one of ``codes`` that ``key`` holds as a string, else NULL; exact unless ``key`` is repeated.
 
     For an element with that key only inside a nested object this is the nested value.
     """
-    holds = lambda c: F.contains(raw, F.lit(f'"{key}":"{c}"'))
-    return F.coalesce(*[F.when(holds(c), F.lit(c)) for c in codes])
+    cases = " ".join(f"""WHEN contains({raw}, '"{key}":"{c}"') THEN '{c}'""" for c in codes)
+    return f"CASE {cases} END"
 
 
 def code_by_parse(raw: Column, key: str, codes) -> Column:
@@ -143,66 +139,63 @@ def code_by_parse(raw: Column, key: str, codes) -> Column:
     return F.when(value.isin(*codes), value)
 
 
-def holds_string(raw: Column, key: str) -> Column:
-    """Whether ``key``, known to hold a value and not to be repeated, holds a string."""
-    return F.contains(raw, F.lit(f'"{key}":"'))
-
-
-def typed_fields(raw: Column, fields: dict[str, T.DataType], optional=()) -> Column:
-    """The element's fields read with their types, the last value of a repeated key winning.
+def typed_fields(raw: str, fields: dict[str, T.DataType], optional=()) -> Column:
+    """The fields of the element in column ``raw``, the last value of a repeated key winning.
 
     ``ERROR_FIELD`` is set if a field has another type.  Integers and floats are kept apart; a string field
-    may hold another scalar's text (see ``holds_string``).
+    may hold another scalar's text, which ``is_complete`` finds out.
     """
     schema = T.StructType([T.StructField(k, t) for k, t in fields.items()] + [T.StructField(ERROR_FIELD, T.StringType())])
-    options = {**STRICT, "columnNameOfCorruptRecord": ERROR_FIELD}
-    typed = F.from_json(raw, schema, options)
-    variants = F.from_json(raw, ", ".join(f"`{k}` variant" for k in fields), STRICT)
-
+    typed = F.from_json(F.col(raw), schema, {**STRICT, "columnNameOfCorruptRecord": ERROR_FIELD})
     # A bad value does not undo the one before it, so for repeated keys VARIANTs judge the last values.
-    def last_values(v: Column) -> Column:
-        ok = F.lit(True)
-        for k, t in fields.items():
-            ok = ok & _variant_is(v[k], t, k in optional)
-        return typed.withField(ERROR_FIELD, F.when(~ok, raw))
-
-    return F.when(_repeats_any(raw, fields, optional), let(variants, last_values)).otherwise(typed)
-
-
-def _repeats_any(raw: Column, keys, optional) -> Column:
-    """Whether one of ``keys`` is repeated.  As many keys as there should be settles it for most elements."""
-    count = (F.octet_length(raw) - F.octet_length(F.replace(raw, F.lit('":'), F.lit("")))) / 2
-    usual = count == len(keys)
-    for k in optional:
-        usual = usual & F.contains(raw, _spelled(k))
-    repeated = F.lit(False)
-    for k in keys:
-        repeated = repeated | key_is_repeated(raw, k)
-    return ~usual & repeated
-
-
-def _variant_is(value: Column, dtype: T.DataType, optional: bool) -> Column:
-    """Whether a VARIANT holds a value of this type.  An integer is a good double, a float no integer."""
-    name = F.schema_of_variant(value)
-    if isinstance(dtype, T.StringType):
-        ok = name == "STRING"
-    elif isinstance(dtype, T.LongType):
-        ok = name == "BIGINT"
-    elif isinstance(dtype, T.DoubleType):
-        ok = name.isin("BIGINT", "DOUBLE") | name.startswith("DECIMAL")
-    elif dtype == T.ArrayType(T.LongType()):
-        ok = name.isin("ARRAY<BIGINT>", "ARRAY<VOID>")
-    elif dtype == T.ArrayType(T.ArrayType(T.DoubleType())):
-        ok = name.rlike(r"^ARRAY<(VOID|ARRAY<(VOID|BIGINT|DOUBLE|DECIMAL\(\d+,\d+\))>)>$")
-    else:
-        raise TypeError(f"no strict reader for {dtype}")
-    ok = F.coalesce(ok, F.lit(False))
-    return (value.isNull() | (name == "VOID") | ok) if optional else ok
-
-
-def has_no_null(value: Column, dtype: T.DataType) -> Column:
-    """Whether a value of this type is there in full, with no NULL at any depth."""
-    ok = value.isNotNull()
+    variants = ", ".join(f"`{k}` variant" for k in fields)
+    options = ", ".join(f"'{k}', '{v}'" for k, v in STRICT.items())
+    good = " AND ".join(_variant_is(f"v.`{k}`", t, k in optional) for k, t in fields.items())
+    last_values_good = F.expr(f"transform(array(from_json({raw}, '{variants}', map({options}))), v -> {good})[0]")
+    return F.when(
+        F.expr(_repeats_any(raw, fields, optional)), typed.withField(ERROR_FIELD, F.when(~last_values_good, F.col(raw)))
+    ).otherwise(typed)
+
+
+def _repeats_any(raw: str, keys, optional) -> str:
+    """SQL text: whether one of ``keys`` is repeated.
+
+    Having as many keys as it should, the optional ones among them, settles it for most elements.
+    """
+    usual = [f"octet_length({raw}) - octet_length(replace({raw}, '\":', '')) = {2 * len(keys)}"]
+    usual += [f"contains({raw}, '\"{k}\":')" for k in optional]
+    return f"NOT ({' AND '.join(usual)}) AND ({' OR '.join(key_is_repeated(raw, k) for k in keys)})"
+
+
+def _variant_is(value: str, dtype: T.DataType, optional: bool) -> str:
+    """SQL text: whether a VARIANT holds a value of this type.  An integer is a good double, a float no integer."""
+    tests = {
+        "string": "{0} = 'STRING'",
+        "bigint": "{0} = 'BIGINT'",
+        "double": "({0} IN ('BIGINT', 'DOUBLE') OR startswith({0}, 'DECIMAL'))",
+        "array<bigint>": "{0} IN ('ARRAY<BIGINT>', 'ARRAY<VOID>')",
+        "array<array<double>>": "{0} RLIKE '^ARRAY<(VOID|ARRAY<(VOID|BIGINT|DOUBLE|DECIMAL[(][0-9,]+[)])>)>$'",
+    }
+    name = f"schema_of_variant({value})"
+    ok = f"coalesce({tests[dtype.simpleString()].format(name)}, false)"
+    return f"({value} IS NULL OR {name} = 'VOID' OR {ok})" if optional else ok
+
+
+def is_complete(raw: str, struct: str, fields: dict[str, T.DataType], optional=()) -> str:
+    """SQL text: whether a ``typed_fields`` struct has every field, with its type."""
+    tests = [f"{struct}.{ERROR_FIELD} IS NULL"]
+    for k, t in fields.items():
+        value = f"{struct}.`{k}`"
+        good = _has_no_null(value, t)
+        if isinstance(t, T.StringType):
+            good = f"({good} AND contains({raw}, '\"{k}\":\"'))"
+        tests.append(f"({value} IS NULL OR {good})" if k in optional else good)
+    return f"coalesce({' AND '.join(tests)}, false)"
+
+
+def _has_no_null(value: str, dtype: T.DataType) -> str:
+    ok = f"{value} IS NOT NULL"
     if isinstance(dtype, T.ArrayType):
-        ok = ok & F.forall(value, lambda x: has_no_null(x, dtype.elementType))
+        inner = value.replace(".", "_").replace("`", "") + "_x"
+        ok = f"({ok} AND forall({value}, {inner} -> {_has_no_null(inner, dtype.elementType)}))"
     return ok

@@ -12,7 +12,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ticktape import schemas as S
 from ticktape.functions import strict_json as J
@@ -43,10 +42,9 @@ def split_frames(frames: DataFrame) -> DataFrame:
     pieces = F.when(F.col("readable"), elements).otherwise(F.array(frame))
     raw = F.col("raw")
     is_object = F.coalesce(F.get("flags", F.col("pos")), raw.startswith("{"))
-    named = F.when(F.col("readable") & is_object, J.code_by_text(raw, _EVENT_KEY, S.EVENT_TYPES))
-    code = F.when(
-        F.col("named").isNotNull() & J.key_is_repeated(raw, _EVENT_KEY), J.code_by_parse(raw, _EVENT_KEY, S.EVENT_TYPES)
-    ).otherwise(F.col("named"))
+    named = F.when(F.col("readable") & is_object, F.expr(J.code_by_text("raw", _EVENT_KEY, S.EVENT_TYPES)))
+    repeated = F.expr(f"named IS NOT NULL AND {J.key_is_repeated('raw', _EVENT_KEY)}")
+    code = F.when(repeated, J.code_by_parse(raw, _EVENT_KEY, S.EVENT_TYPES)).otherwise(F.col("named"))
     return (
         split.select(*carried, "readable", "flags", F.posexplode(pieces).alias("pos", "raw"))
         .select(*carried, "pos", "raw", "readable", named.alias("named"))
@@ -56,27 +54,21 @@ def split_frames(frames: DataFrame) -> DataFrame:
 
 def read_fields(elements: DataFrame, families: Iterable[S.Family]) -> DataFrame:
     """``split_frames`` rows plus one struct per family, filled in for that family's elements only."""
+    structs = [
+        F.when(F.col("code").isin(*f.event_types), J.typed_fields("raw", f.types, f.optional_keys)).alias(f.name)
+        for f in families
+    ]
+    return elements.select(*elements.columns, F.inline(F.array(F.struct(*structs))))
 
-    def read(f: S.Family) -> Column:
-        optional = [x.key for x in f.fields if x.optional]
-        return J.typed_fields(F.col("raw"), {x.key: x.type for x in f.fields}, optional)
 
-    structs = [F.when(F.col("code").isin(*f.event_types), read(f)).alias(f.name) for f in families]
-    return elements.select(*elements.columns, F.inline(F.array(F.struct(*structs))))
+def _fits(family: S.Family) -> str:
+    """SQL text: whether the family's struct is a complete event."""
+    return f"({_named(family)} AND {J.is_complete('raw', family.name, family.types, family.optional_keys)})"
 
 
-def fits(family: S.Family) -> Column:
-    """Whether the family's struct is a complete event: every field there, with its type."""
-    fields = F.col(family.name)
-    ok = (fields[_EVENT_KEY] == F.col("code")) & fields[J.ERROR_FIELD].isNull()
-    for f in family.fields[1:]:
-        value = fields[f.key]
-        if isinstance(f.type, T.StringType):
-            good = value.isNotNull() & J.holds_string(F.col("raw"), f.key)
-            ok = ok & ((value.isNull() | good) if f.optional else good)
-        else:
-            ok = ok & J.has_no_null(value, f.type)
-    return F.coalesce(ok, F.lit(False))
+def _named(family: S.Family) -> str:
+    """SQL text: whether the event code stands in the element itself, not only in an object inside it."""
+    return f"coalesce({family.name}.{_EVENT_KEY} = code, false)"
 
 
 def event_fields(family: S.Family) -> list[Column]:
@@ -87,21 +79,16 @@ def decode_family(elements: DataFrame, family: S.Family, event_types=None) -> Da
     """Typed events of one family (of ``event_types`` only, if given) from ``split_frames`` rows."""
     wanted = elements.where(F.col("code").isin(*(event_types or family.event_types)))
     carried = S.arrival_columns(elements.columns)
-    return read_fields(wanted, [family]).where(fits(family)).select(*carried, *event_fields(family))
+    return read_fields(wanted, [family]).where(_fits(family)).select(*carried, *event_fields(family))
 
 
 def _reason() -> Column:
     """Why an element with its family structs gives no event; NULL when it gives one."""
-    good = F.lit(False)
-    named = F.lit(False)
-    for f in S.FAMILIES.values():
-        of_family = F.col("code").isin(*f.event_types)
-        good = good | (of_family & fits(f))
-        named = named | (of_family & F.coalesce(F.col(f.name)[_EVENT_KEY] == F.col("code"), F.lit(False)))
-    return (
-        F.when(~F.col("readable"), S.BAD_JSON)
-        .when(F.col("code").isNull() | ~named, S.UNKNOWN_EVENT_TYPE)
-        .when(~good, S.SCHEMA_MISMATCH)
+    named = " OR ".join(_named(f) for f in S.FAMILIES.values())
+    good = " OR ".join(_fits(f) for f in S.FAMILIES.values())
+    return F.expr(
+        f"CASE WHEN NOT readable THEN '{S.BAD_JSON}' WHEN code IS NULL OR NOT ({named}) THEN '{S.UNKNOWN_EVENT_TYPE}' "
+        f"WHEN NOT ({good}) THEN '{S.SCHEMA_MISMATCH}' END"
     )
 
 

@@ -182,7 +182,7 @@ def fan_out(events: DataFrame, filters: Mapping[str, EventFilter], family: S.Fam
         for f in mine.values():
             passes_one = passes_one | f.column()
         events = events.where(passes_one)
-    return events.select(*kept, F.explode(F.array_compact(passed)).alias("filter_id"))
+    return events.select(*kept, F.explode(passed).alias("filter_id")).where(F.col("filter_id").isNotNull())
 
 
 def apply_filters(events: Mapping[str, DataFrame], filters: Mapping[str, EventFilter]) -> dict[str, DataFrame]:

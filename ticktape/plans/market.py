@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame
 from ticktape import schemas as S
 from ticktape.operators import decode, filters, price_action, topics
 from ticktape.sinks import tables
+from ticktape.streaming import workdir
 from ticktape.streaming.trades import matches
 
 
@@ -33,8 +35,16 @@ def price_alerts(
     scope: str = "pair",
     topic_names: Iterable[str] | None = topics.DEFAULT_TOPICS,
 ) -> DataFrame:
-    """Spikes and drops.  The bars are read twice for ``scope='pair'``; stage large frame sets first."""
-    return price_action.alerts(price_action.price_action(bars_of(frames, topic_names), threshold, scope))
+    """Spikes and drops.
+
+    ``scope='pair'`` reads the bars twice, so they are decoded once into a table in the shared folder.
+    """
+    bars = bars_of(frames, topic_names)
+    if scope == "pair":
+        path = workdir.new_folder(frames.sparkSession, "bars")
+        bars.write.parquet(path)
+        bars = frames.sparkSession.read.parquet(path)
+    return price_action.alerts(price_action.price_action(bars, threshold, scope))
 
 
 def run_batch(
@@ -48,11 +58,12 @@ def run_batch(
 ) -> None:
     """Both flows over one set of frames, which is split and decoded once, into a staged table.
 
-    Under ``root``: ``staged`` (all events and rejects), the trade table of matches, and ``alerts``.
+    Under ``root``: ``staged`` (all events and rejects, a folder per run), the trade table of matches, and
+    ``alerts``.
     """
     spark = frames.sparkSession
-    staged_path = f"{root.rstrip('/')}/staged"
-    tables.write_staged(decode.stage_events(frames), staged_path, mode="overwrite")
+    staged_path = f"{root.rstrip('/')}/staged/run={uuid.uuid4().hex}"
+    tables.write_staged(decode.stage_events(frames), staged_path)
     staged = spark.read.parquet(staged_path)
     trades = decode.staged_family(staged, S.TRADE)
     bars = decode.staged_family(staged, S.BAR)

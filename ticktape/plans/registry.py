@@ -104,6 +104,8 @@ _DEFAULT_FILTER = (
     "CASE pair WHEN 'BTC-USD' THEN size > 0.3::DOUBLE WHEN 'ETH-USD' THEN size > 2.0::DOUBLE "
     "WHEN 'LINK-USD' THEN size > 2.0::DOUBLE ELSE true END"
 )
+# The checking engine sorts NaN above every number, as Spark does; a NaN movement passes no threshold.
+_MOVED = "abs(close - open) / open * 100.0::DOUBLE > 100.0::DOUBLE AND NOT isnan(abs(close - open) / open)"
 _DATE = "CAST(CAST(make_timestamp(timestamp * 1000) AS DATE) AS VARCHAR) AS event_date"
 
 
@@ -296,7 +298,7 @@ def _three_filters():
         "default": filters.parameterized(),
         "gate": filters.EventFilter(S.TRADE, filters.size_gate()),
         "dear": filters.EventFilter(S.TRADE, lambda: F.col("price") > 100.0),
-        "moved": filters.EventFilter(S.BAR, filters.price_movement(1.0)),
+        "moved": filters.EventFilter(S.BAR, filters.price_movement(100.0)),
     }
 
 
@@ -356,7 +358,7 @@ def _action_sql(bars: str, last: str, threshold: float = 50.0) -> str:
     return f"""SELECT event_type, pair, timestamp, open, close, last,
   CASE WHEN close > last THEN 'up' WHEN close < last THEN 'down' ELSE 'same' END AS direction,
   (close - last) / last * 100.0::DOUBLE AS pct,
-  CASE WHEN abs((close - last) / last * 100.0::DOUBLE) > {threshold}::DOUBLE
+  CASE WHEN abs((close - last) / last * 100.0::DOUBLE) > {threshold}::DOUBLE AND NOT isnan((close - last) / last)
        THEN CASE WHEN close > last THEN 'spike' ELSE 'drop' END END AS kind
 FROM (SELECT *, {last} AS last FROM {bars})"""
 
@@ -483,7 +485,8 @@ def stream_staged(spark, sf_dir):
 def stream_price_action(spark, sf_dir):
     """Bar frames landing in three steps, measured against prices carried from batch to batch."""
     work = workdir.new_folder(spark, "stream")
-    bar_frames = feed.family_frames(_all_bars(spark, sf_dir), S.BAR)
+    feed.family_frames(_all_bars(spark, sf_dir), S.BAR).write.parquet(f"{work}/recorded")
+    bar_frames = spark.read.parquet(f"{work}/recorded")
     top = bar_frames.agg(F.max("ingest_seq")).first()[0]
     for step in range(3):
         low, high = top * step // 3, top * (step + 1) // 3
@@ -545,14 +548,14 @@ _REGISTRY: dict[str, tuple[Query, str]] = {
     ),
     "filter_price_movement": (
         filter_price_movement,
-        f"SELECT {_BAR_COLUMNS} FROM fx_hour WHERE abs(close - open) / open * 100.0::DOUBLE > 100.0::DOUBLE",
+        f"SELECT {_BAR_COLUMNS} FROM fx_hour WHERE {_MOVED}",
     ),
     "filter_size_gate": (filter_size_gate, f"SELECT {_TRADE_COLUMNS} FROM fx_trades WHERE size > 0.005::DOUBLE"),
     "filter_fanout": (filter_fanout, _fanout_sql(_TRADE_COLUMNS)),
     "filter_fanout_families": (
         filter_fanout_families,
         f"SELECT filter_id, event_type, pair, count(*) AS n FROM ({_fanout_sql('event_type, pair')} UNION ALL "
-        "SELECT event_type, pair, 'moved' FROM fx_hour WHERE abs(close - open) / open * 100.0::DOUBLE > 1.0::DOUBLE) "
+        f"SELECT event_type, pair, 'moved' FROM fx_hour WHERE {_MOVED}) "
         "GROUP BY filter_id, event_type, pair",
     ),
     "price_action_pair": (price_action_pair, _action_sql("fx_minute", _LAG)),

@@ -37,6 +37,15 @@ class Family:
     def columns(self) -> list[str]:
         return [f.column for f in self.fields]
 
+    @property
+    def types(self) -> dict[str, T.DataType]:
+        """Type of each wire key."""
+        return {f.key: f.type for f in self.fields}
+
+    @property
+    def optional_keys(self) -> list[str]:
+        return [f.key for f in self.fields if f.optional]
+
     @property
     def table_schema(self) -> T.StructType:
         return T.StructType([T.StructField(f.column, f.type, f.optional) for f in self.fields])
