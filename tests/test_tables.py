@@ -4,6 +4,7 @@ import datetime
 
 import pytest
 from pyspark.sql import functions as F
+from conftest import plan_of
 from test_decode import BOOK, MINUTE, QUOTE, SECOND, TRADE
 
 from ticktape import schemas as S
@@ -87,6 +88,22 @@ def test_batch_flow(spark, tmp_path):
     assert dict(map(tuple, kinds)) == {"trade": 3, "bar": 3, "quote": 1, "reject": 1}
 
 
+def test_staged_reads_are_pruned_and_pushed_down(spark, tmp_path):
+    path = str(tmp_path / "staged")
+    tables.write_staged(decode.stage_events(_frames(spark, [TRADE, QUOTE, MINUTE])), path)
+    trades = decode.staged_family(spark.read.parquet(path), S.TRADE)
+    plan = plan_of(trades.where(filters.criteria_predicate()).select("price"))
+    assert "family#" in plan.split("PartitionFilters:")[1].split("PushedFilters")[0]
+    assert "GreaterThan(trade.size,0.3)" in plan
+    read = plan.split("ReadSchema:")[1]
+    assert "trade:struct<" in read and "quote" not in read and "exchange_id" not in read
+
+
+def test_a_null_frame_is_a_reject(spark):
+    frames = spark.createDataFrame([(1, None)], "ingest_seq bigint, frame string")
+    assert [r.reason for r in decode.decode(frames).rejects.collect()] == ["bad_json"]
+
+
 def test_text_frames_keep_file_and_line_order(spark, tmp_path):
     landed = tmp_path / "landed"
     landed.mkdir()

@@ -17,7 +17,8 @@ class FilterConfigError(ValueError):
 
 def load_filter_config(spark: SparkSession, path: str) -> DataFrame:
     """The configuration as a table, checked: complete entries only and each pair once."""
-    config = spark.read.schema(S.FILTER_CONFIG_SCHEMA).option("mode", "FAILFAST").json(path)
+    strict = {"mode": "FAILFAST", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+    config = spark.read.schema(S.FILTER_CONFIG_SCHEMA).options(**strict).json(path)
     check_filter_config(config)
     return config
 
