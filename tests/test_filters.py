@@ -32,11 +32,12 @@ def _text(field, operation, value):
 
 
 def _every_way(spark, trades, config):
-    """The kept rows of the compiled, the broadcast and the salted form."""
+    """The kept rows of the compiled, the broadcast, the shuffled and the salted form."""
     table = filters.criteria_table(spark, config)
     return [
         _kept(trades.where(filters.criteria_predicate(config))),
         _kept(filters.filter_events(trades, filters.table_filter(table))),
+        _kept(filters.filter_events(trades, filters.table_filter(table, max_broadcast_bytes=0))),
         _kept(filters.filter_events(trades, filters.table_filter(table, max_broadcast_bytes=0, salts=4))),
     ]
 
@@ -105,12 +106,16 @@ def test_the_form_of_a_filter_goes_by_the_size_of_its_config(spark):
         assert _kept(df) == expected
 
 
-def test_a_hot_pair_is_spread_over_tasks(spark):
-    trades = spark.range(60_000).select(
-        F.when(F.col("id") % 3 == 0, "HOT").otherwise(F.concat(F.lit("P"), (F.col("id") % 500).cast("string"))).alias("pair"),
-        F.lit("XT").alias("event_type"), F.lit(1.0).alias("price"), F.col("id").cast("double").alias("size"),
-        F.col("id").alias("ingest_seq"),
+def _hot_trades(spark):
+    hot = F.when(F.col("id") % 3 == 0, "HOT").otherwise(F.concat(F.lit("P"), (F.col("id") % 500).cast("string")))
+    return spark.range(0, 60_000, 1, 12).select(
+        hot.alias("pair"), F.lit("XT").alias("event_type"), F.lit(1.0).alias("price"),
+        F.col("id").cast("double").alias("size"), F.col("id").alias("ingest_seq"),
     )
+
+
+def test_a_hot_pair_is_spread_over_salts(spark):
+    trades = _hot_trades(spark)
     config = filters.criteria_table(spark, {"HOT": [_number("size", ">", 100.0)]})
     salted = filters.filter_events(trades, filters.table_filter(config, max_broadcast_bytes=0, salts=16))
     assert salted.count() == trades.where("pair <> 'HOT' OR size > 100").count()
@@ -120,6 +125,41 @@ def test_a_hot_pair_is_spread_over_tasks(spark):
     assert len(per_salt) == 16 and max(r["count"] for r in per_salt) < 2 * 20_000 / 16
 
 
+def test_a_hot_pair_is_split_by_adaptive_execution(spark):
+    trades = _hot_trades(spark)
+    config = filters.criteria_table(spark, {"HOT": [_number("size", ">", 100.0)]})
+    limits = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    try:
+        for key, value in limits.items():
+            spark.conf.set(key, value)
+        kept = filters.filter_events(trades, filters.table_filter(config, max_broadcast_bytes=0))
+        rows = kept.collect()
+        plan = plan_of(kept)
+    finally:
+        for key in limits:
+            spark.conf.unset(key)
+    assert "SortMergeJoin(skew=true)" in plan
+    assert sorted(r.ingest_seq for r in rows) == _kept(trades.where("pair <> 'HOT' OR size > 100"))
+
+
+def test_salts_step_in_without_adaptive_execution(spark):
+    from ticktape.operators.lookup import splits_skew
+
+    trades = _trades(spark, [("A", 1, 1.0)])
+    assert splits_skew(trades)
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+    try:
+        config = filters.criteria_table(spark, {"A": [_number("size", ">", 2.0)]})
+        kept = filters.filter_events(trades, filters.table_filter(config, max_broadcast_bytes=0))
+        assert "_salt" in plan_of(kept) and kept.count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.skewJoin.enabled")
+
+
 def test_price_movement(spark):
     rows = [("XA", 100, 101), ("XA", 100, 98), ("XA", 0, 1), ("XA", 0, 0), ("XA", -100, 100), ("XAS", 100, 150),
             ("XA", -0.0, 1), ("XA", 100, NAN), ("XA", 100, 102), ("XA", 0, -1)]

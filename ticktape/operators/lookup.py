@@ -23,19 +23,30 @@ def lookup_join(
     keys: list[str],
     how: str,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """``df`` joined ``left`` or ``left_semi`` to a ``table`` that has at most one row per key.
 
-    A table measured to be small is broadcast.  A larger one is shuffled, each key copied to ``salts``
-    partitions, so that a key holding much of ``df`` is spread over as many tasks.
+    A table measured to be small is broadcast; a larger one is shuffled.  Adaptive execution then splits
+    the partition of a key that holds much of ``df`` into as many tasks as its size asks for.  Where it does
+    not run (switched off, or on a stream) each key is copied to ``salts`` partitions instead.
     """
     if text_bytes(table) <= max_broadcast_bytes:
         return df.join(F.broadcast(table), keys, how)
-    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    if salts is None:
+        salts = 1 if splits_skew(df) else SALTS
+    if salts == 1:
+        return df.join(table.hint("merge"), keys, how)
+    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
     return df.withColumn("_salt", _salt(df, salts)).join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
+def splits_skew(df: DataFrame) -> bool:
+    """Whether adaptive execution will split skewed join partitions of a query on ``df``."""
+    settings = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled")
+    return not df.isStreaming and all(df.sparkSession.conf.get(s) == "true" for s in settings)
+
+
 def _salt(df: DataFrame, salts: int) -> Column:
     """A salt computed from the row, so that a task run again gives the same one."""
     spread = S.arrival_columns(df.columns) or df.columns

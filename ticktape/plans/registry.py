@@ -259,6 +259,11 @@ def filter_param_table(spark, sf_dir):
     return _show(filters.filter_events(_trades(spark, sf_dir), filters.table_filter(config)), S.TRADE)
 
 
+def filter_param_shuffled(spark, sf_dir):
+    config = filters.criteria_table(spark, filters.DEFAULT_CRITERIA)
+    return _show(filters.filter_events(_trades(spark, sf_dir), filters.table_filter(config, max_broadcast_bytes=0)), S.TRADE)
+
+
 def filter_param_salted(spark, sf_dir):
     config = filters.criteria_table(spark, filters.DEFAULT_CRITERIA)
     return _show(filters.filter_events(_trades(spark, sf_dir), filters.table_filter(config, max_broadcast_bytes=0, salts=8)), S.TRADE)
@@ -535,6 +540,10 @@ _REGISTRY: dict[str, tuple[Query, str]] = {
     ),
     "filter_param": (filter_param, f"SELECT {_TRADE_COLUMNS} FROM fx_trades WHERE {_DEFAULT_FILTER}"),
     "filter_param_table": (filter_param_table, f"SELECT {_TRADE_COLUMNS} FROM fx_trades WHERE {_DEFAULT_FILTER}"),
+    "filter_param_shuffled": (
+        filter_param_shuffled,
+        f"SELECT {_TRADE_COLUMNS} FROM fx_trades WHERE {_DEFAULT_FILTER}",
+    ),
     "filter_param_salted": (filter_param_salted, f"SELECT {_TRADE_COLUMNS} FROM fx_trades WHERE {_DEFAULT_FILTER}"),
     "filter_operations": (filter_operations, f"SELECT {_TRADE_COLUMNS} FROM fx_trades WHERE {_MIXED_FILTER}"),
     "filter_operations_table": (
