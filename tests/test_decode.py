@@ -47,6 +47,20 @@ CASES = [
     (_with("45000.5", "NaN"), [BAD]),
     (_with("45000.5", "1e400"), [BAD]),
     (_with('"p"', '"zz":-1e999,"p"'), [BAD]),
+    (_with("45000.5", "9" * 400), [BAD]),
+    (_with('"p"', f'"zz":[1,{"9" * 400}],"p"'), [BAD]),
+    (_with('"t1"', '"' + "9" * 400 + '"'), [OK]),
+    (_with("45000.5", "9" * 308), [OK]),
+    (_with("45000.5", "0." + "9" * 400), [OK]),
+    ("[1e400]", [BAD]),
+    ("[-1e400,7]", [BAD]),
+    (f'["xInfinity",{TRADE.replace("45000.5", "1e400")}]', [BAD]),
+    (f'["xInfinity",{TRADE}]', [UNKNOWN, OK]),
+    (_with('"t1"', '"\\u0049nfinity"'), [OK]),
+    (_with('"t1"', '"Infinity 1e400"'), [OK]),
+    (_with('"t1"', '"a:-0,b"').replace("45000.5", "-0"), [OK]),
+    (_with('"t1"', '"\\":-0,"').replace("45000.5", "-0"), [OK]),
+    (_with("45000.5", "-0") + '"', [BAD]),
     (_with("45000.5", "01"), [BAD]),
     (_with('"t1"', '"\\ud800"'), [BAD]),
     (_with('"t1"', '"\\udc00\\ud800"'), [BAD]),
@@ -109,6 +123,12 @@ CASES = [
     (_with('"p":45000.5', '"p":1,"p":null'), [MISMATCH]),
     (_with('"t":1704067200000', '"t":1,"t":1.0'), [MISMATCH]),
     (_with('"t":1704067200000', '"t":1.5,"t":1'), [OK]),
+    (_with('"p":45000.5', '"p":1,"p":{"a":1,"a":2}'), [MISMATCH]),
+    (_with('"p":45000.5', '"p":{"a":1,"a":2},"p":1'), [OK]),
+    (_with('"c":[1]', '"c":[1],"c":[{"a":1,"a":2}]'), [MISMATCH]),
+    (_with('"i":"t1"', '"i":null,"i":{"a":1,"a":2}'), [MISMATCH]),
+    (_with('"i":"t1"', '"i":"x","i":{"a":1,"a":2}'), [MISMATCH]),
+    (_with('"i":"t1"', '"i":"x","i":"{y"'), [OK]),
     (_with('"i":"t1"', '"i":"5","i":5'), [MISMATCH]),
     (_with('"i":"t1"', '"i":5,"i":null'), [OK]),
     (_with('"c":[1]', '"c":[1],"c":["x"]'), [MISMATCH]),
@@ -155,7 +175,8 @@ def test_cases_agree_with_the_strict_reader(decoded_cases):
 def _random_frames(n, seed):
     rng = random.Random(seed)
     values = ["1", "-0", "1.0", "0", "-0.0", "2.5e3", "1e400", "null", '"x"', "[]", "[1]", "[1,null]", "[[1,2]]", "{}",
-              "true", '"XT"', '"XQ"', '"a\\"b"', '"\\u0041"', '"-0"', "-12.5", '{"p":1}', "9223372036854775808"]
+              "true", '"XT"', '"XQ"', '"a\\"b"', '"\\u0041"', '"-0"', "-12.5", '{"p":1}', '[{"a":1,"a":1}]', "9223372036854775808",
+              "7" * 400, '"a:-0,b"', '"Infinity"', '"\\u0049nfinity"', '"\\\\"']
     keys = ["ev", "pair", "p", "t", "s", "c", "i", "x", "r", "zz", "o", "a", "b"]
     edits = list('{}[]",:\\-0. e') + ['"ev":', '"p":1,', "null", "\\u", "zzz", "-0"]
     frames = []
@@ -176,6 +197,8 @@ def _random_frames(n, seed):
             frame = frame[:at] + rng.choice(["", *edits]) + frame[at + rng.choice([0, 1, 3]) :]
         if rng.random() < 0.05:
             frame = json.dumps([frame])
+        if rng.random() < 0.03:
+            frame = f"[{rng.choice(values)},{frame}]"
         frames.append(frame)
     return frames
 

@@ -27,6 +27,7 @@ _SURROGATE = r"\\u[dD][89a-fA-F]"
 _BACKSLASH = r"\\\\"
 _ESCAPED_QUOTE = r"\\(\"|u0022)"
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_NUMBER = r"-?[0-9][0-9.]*+(?:[eE][-+]?[0-9]++)?+"
 _MINUS_ZERO = r"((?:^|[\[,:])[ \t\n\r]*)-0(?=[ \t\n\r]*(?:[,\]}]|$))"
 
 
@@ -49,13 +50,19 @@ def has_escape(text: Column) -> Column:
 
 def with_signed_zeros(frame: Column) -> Column:
     """The integer token ``-0`` as ``-0.0``: it is a float and keeps its sign, which the parser would drop."""
-    outside_strings = F.regexp_replace(frame, _STRING, '""')
+    pieces = F.regexp_extract_all(frame, F.lit(_STRING + '|[^"]++|"'), F.lit(0))
+    signed = F.transform(
+        pieces, lambda p: F.when(p.startswith('"'), p).otherwise(F.regexp_replace(p, _MINUS_ZERO, "$1-0.0"))
+    )
     return F.when(
-        F.contains(frame, F.lit("-0")) & outside_strings.rlike(_MINUS_ZERO),
-        F.regexp_replace(frame, _MINUS_ZERO, "$1-0.0"),
+        F.contains(frame, F.lit("-0")) & _outside_strings(frame).rlike(_MINUS_ZERO), F.array_join(signed, "")
     ).otherwise(frame)
 
 
+def _outside_strings(frame: Column) -> Column:
+    return F.regexp_replace(frame, _STRING, '""')
+
+
 def sealed_parts(text: Column) -> Column:
     """The frame parsed as the first of two array entries, the second being a hash of the frame.
 
@@ -85,18 +92,16 @@ def unsealed(text: Column, parts: Column) -> Column:
 
 
 def is_readable(frame: Column, elements: Column) -> Column:
-    """Whether the frame is valid JSON: it parsed, no surrogate escape stands alone, no number overflows.
-
-    An overflowing number comes out of the parser as the text ``"Infinity"``.
-    """
+    """Whether the frame is valid JSON: it parsed, no surrogate escape stands alone, no number overflows."""
     escapes = F.regexp_replace(F.regexp_replace(frame, _BACKSLASH, ""), _SURROGATE_PAIR, "")
     lone_surrogate = F.when(has_escape(frame), escapes.rlike(_SURROGATE)).otherwise(False)
-    text, infinity = F.array_join(elements, " "), 'Infinity"'
-    overflow = F.when(
-        F.contains(text, F.lit(infinity)),
-        F.regexp_count(text, F.lit(infinity)) > F.regexp_count(frame, F.lit(infinity)),
-    ).otherwise(False)
-    return elements.isNotNull() & ~lone_surrogate & ~overflow
+    # The parser writes an overflowing float as Infinity and leaves an integer of any length as it is.
+    suspect = F.contains(F.array_join(elements, " "), F.lit("Infinity")) | (
+        (F.octet_length(frame) >= 309) & frame.rlike("[0-9]{309}")
+    )
+    numbers = F.regexp_extract_all(_outside_strings(frame), F.lit(_NUMBER), F.lit(0))
+    infinite = F.exists(numbers, lambda n: F.abs(n.try_cast("double")) == float("inf"))
+    return elements.isNotNull() & ~lone_surrogate & ~F.when(suspect, infinite).otherwise(False)
 
 
 def object_flags(frame: Column) -> Column:
@@ -147,11 +152,12 @@ def typed_fields(raw: str, fields: dict[str, T.DataType], optional=()) -> Column
     """
     schema = T.StructType([T.StructField(k, t) for k, t in fields.items()] + [T.StructField(ERROR_FIELD, T.StringType())])
     typed = F.from_json(F.col(raw), schema, {**STRICT, "columnNameOfCorruptRecord": ERROR_FIELD})
-    # A bad value does not undo the one before it, so for repeated keys VARIANTs judge the last values.
-    variants = ", ".join(f"`{k}` variant" for k in fields)
+    # A bad value does not undo the one before it, so for repeated keys the last values are judged apart:
+    # by kind as VARIANT, and as text, because a VARIANT does not take objects that repeat a key themselves.
     options = ", ".join(f"'{k}', '{v}'" for k, v in STRICT.items())
-    good = " AND ".join(_variant_is(f"v.`{k}`", t, k in optional) for k, t in fields.items())
-    last_values_good = F.expr(f"transform(array(from_json({raw}, '{variants}', map({options}))), v -> {good})[0]")
+    read = lambda kind: f"from_json({raw}, '{', '.join(f'`{k}` {kind}' for k in fields)}', map({options}))"
+    good = " AND ".join(_last_is(f"x.v.`{k}`", f"x.t.`{k}`", t, k in optional) for k, t in fields.items())
+    last_values_good = F.expr(f"transform(array(struct({read('variant')} AS v, {read('string')} AS t)), x -> {good})[0]")
     return F.when(
         F.expr(_repeats_any(raw, fields, optional)), typed.withField(ERROR_FIELD, F.when(~last_values_good, F.col(raw)))
     ).otherwise(typed)
@@ -167,18 +173,19 @@ def _repeats_any(raw: str, keys, optional) -> str:
     return f"NOT ({' AND '.join(usual)}) AND ({' OR '.join(key_is_repeated(raw, k) for k in keys)})"
 
 
-def _variant_is(value: str, dtype: T.DataType, optional: bool) -> str:
-    """SQL text: whether a VARIANT holds a value of this type.  An integer is a good double, a float no integer."""
+def _last_is(value: str, text: str, dtype: T.DataType, optional: bool) -> str:
+    """SQL text: whether the last value of a key has this type.  An integer is a good double, a float no integer."""
     tests = {
-        "string": "{0} = 'STRING'",
-        "bigint": "{0} = 'BIGINT'",
-        "double": "({0} IN ('BIGINT', 'DOUBLE') OR startswith({0}, 'DECIMAL'))",
-        "array<bigint>": "{0} IN ('ARRAY<BIGINT>', 'ARRAY<VOID>')",
-        "array<array<double>>": "{0} RLIKE '^ARRAY<(VOID|ARRAY<(VOID|BIGINT|DOUBLE|DECIMAL[(][0-9,]+[)])>)>$'",
+        "string": "{0} = 'STRING' AND try_variant_get({1}, '$', 'string') = {2}",
+        "bigint": "{0} = 'BIGINT' AND NOT contains({2}, '{{')",
+        "double": "({0} IN ('BIGINT', 'DOUBLE') OR startswith({0}, 'DECIMAL')) AND NOT contains({2}, '{{')",
+        "array<bigint>": "{0} IN ('ARRAY<BIGINT>', 'ARRAY<VOID>') AND NOT contains({2}, '{{')",
+        "array<array<double>>": "{0} RLIKE '^ARRAY<(VOID|ARRAY<(VOID|BIGINT|DOUBLE|DECIMAL[(][0-9,]+[)])>)>$' "
+        "AND NOT contains({2}, '{{')",
     }
-    name = f"schema_of_variant({value})"
-    ok = f"coalesce({tests[dtype.simpleString()].format(name)}, false)"
-    return f"({value} IS NULL OR {name} = 'VOID' OR {ok})" if optional else ok
+    kind = f"schema_of_variant({value})"
+    ok = f"coalesce({tests[dtype.simpleString()].format(kind, value, text)}, false)"
+    return f"({text} IS NULL AND ({value} IS NULL OR {kind} = 'VOID') OR {ok})" if optional else ok
 
 
 def is_complete(raw: str, struct: str, fields: dict[str, T.DataType], optional=()) -> str:
