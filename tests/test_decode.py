@@ -175,7 +175,7 @@ def test_cases_agree_with_the_strict_reader(decoded_cases):
 def _random_frames(n, seed):
     rng = random.Random(seed)
     values = ["1", "-0", "1.0", "0", "-0.0", "2.5e3", "1e400", "null", '"x"', "[]", "[1]", "[1,null]", "[[1,2]]", "{}",
-              "true", '"XT"', '"XQ"', '"a\\"b"', '"\\u0041"', '"-0"', "-12.5", '{"p":1}', '[{"a":1,"a":1}]', "9223372036854775808",
+              "true", '"XT"', '"XQ"', '"a\\"b"', '"\\u0041"', '"-0"', "-12.5", '{"p":1}', "9223372036854775808",
               "7" * 400, '"a:-0,b"', '"Infinity"', '"\\u0049nfinity"', '"\\\\"']
     keys = ["ev", "pair", "p", "t", "s", "c", "i", "x", "r", "zz", "o", "a", "b"]
     edits = list('{}[]",:\\-0. e') + ['"ev":', '"p":1,', "null", "\\u", "zzz", "-0"]
