@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from ticktape.plans import registry
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -30,13 +31,14 @@ def _normal(rows, columns):
 
 
 def test_queries_and_sql_name_the_same():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+    assert set(registry.queries()) == set(registry.oracle_sql())
+    assert set(registry.queries()) <= set(entry_points.queries())
 
 
-@pytest.mark.parametrize("name", list(entry_points.queries()))
+@pytest.mark.parametrize("name", list(registry.queries()))
 def test_query(spark, sf_dir, database, name):
-    df = entry_points.queries()[name](spark, sf_dir)
-    cursor = database.execute(entry_points.oracle_sql()[name])
+    df = registry.queries()[name](spark, sf_dir)
+    cursor = database.execute(registry.oracle_sql()[name])
     columns = [c[0] for c in cursor.description]
     assert _normal([tuple(r) for r in df.collect()], df.columns) == _normal(cursor.fetchall(), columns)
 
