@@ -7,17 +7,51 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticktape.llm import apportion, best_fit, gam, host_rules, simhash_bits, spotsigs, tables
+from ticktape.llm import apportion, best_fit, bloom_cascade, gam, host_rules, licences, min_cut, resharding, simhash_bits, spotsigs, sql, tables
 
 
 def op1_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edit_report(tables.documents(spark, sf_dir))
 
 
+def op2_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = resharding.resharded(tables.documents(spark, sf_dir))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard"
+    )
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.packed(tables.documents(spark, sf_dir))
 
 
+def op4_min_cut_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = min_cut.extracted(tables.pages(spark, sf_dir))
+    return found.select("row.page_id", "row.url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+# The rules of the url query.
+URL_RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"),
+]
+
+
+def op5_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    return bloom_cascade.judged(tables.pages(spark, sf_dir), rules).select("row.page_id", "host", "path", "rule", "verdict")
+
+
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables.documents(spark, sf_dir)
+    found = licences.scanned(docs, licences.train(docs))
+    best = F.array_max(F.transform("licences", lambda x: F.struct(x["probability"].alias("p"), x["family"].alias("family"))))
+    return found.select(
+        "row.doc_id", "n_paragraphs", F.size("licences").cast("long").alias("n_licence_paragraphs"),
+        F.array_join(F.array_sort(F.array_distinct(F.col("licences.family"))), " ").alias("families"),
+        best["p"].alias("probability"),
+    )
+
+
 def op7_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables.documents(spark, sf_dir)
     scored = gam.scored(docs, gam.train(docs, tables.labels(spark, sf_dir)))
@@ -46,9 +80,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_spot_signatures, op3_best_fit_packing, op7_quality_gam, op8_host_rules, op9_source_mix, op10_simhash, pipeline)
+    named = (
+        op1_spot_signatures, op2_flow_resharding, op3_best_fit_packing, op4_min_cut_text, op5_url_cascade, op6_licence_scan, op7_quality_gam,
+        op8_host_rules, op9_source_mix, op10_simhash, pipeline,
+    )
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_spot_signatures": sql.OP1, "op5_url_cascade": sql.OP5, "op8_host_rules": sql.OP8}
