@@ -173,12 +173,10 @@ def judged(pages: DataFrame, rules: DataFrame, url: str = "url", default: str =
         return rows.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     rows = rows.withColumn("keys", F.array(*keys_of(F.col("host"), F.col("path"), shapes)))
     listed = rules.select(F.concat("host", "path").alias("key"), "action").distinct()
-    n = listed.count()
-    parts = -(-n * BITS_PER_KEY // MAX_BITS)
+    universe = written(rows.select(F.explode("keys").alias("key")).where("key is not null").distinct(), "universe")
+    # level 0 holds the list and level 1 its false positives, fewer than a fiftieth of the universe
+    parts = -(-max(listed.count(), universe.count() // 50) * BITS_PER_KEY // MAX_BITS)
     part_of = lambda key: F.pmod(F.hash(key), F.lit(parts))
-    universe = rows.select(F.explode("keys").alias("key")).where("key is not null").distinct()
-    if parts > 1:
-        universe = written(universe, "universe")
     found = {f"{a}{i}": F.lit(False) for a in (ALLOW, BLOCK) for i in range(len(shapes))}
     rows = rows.withColumns(found)
     for part in range(parts):

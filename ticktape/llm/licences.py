@@ -55,8 +55,9 @@ PLAIN = [
 ]
 UNKNOWN = "unknown"
 SAMPLE_DOCS, SAMPLE_LINES, SEED = 1_000, 5_000, 11
-#: Least calibrated probability of a family, and least share of a template's distinctive words in order.
-CERTAIN, CONFIRMED = 0.7, 0.75
+#: Least calibrated probability of a family; a template confirms it by this share of its distinctive words in order, or by
+#: so many of them (a passage out of a long notice).
+CERTAIN, CONFIRMED, PASSAGE = 0.7, 0.75, 6
 _WORDS = re.compile(r"[a-z0-9][a-z0-9.\-/]*[a-z0-9]|[a-z0-9]")
 _VERSIONS = ("1.0", "2.0", "2.1", "3", "3.0", "4.0", "v2", "v3")
 _BEFORE = ("", "", "copyright 2019 the authors", "copyright (c) 2021 contributors", "notice:", "note that this text is", "all files are", "spdx-license-identifier:")
@@ -111,12 +112,13 @@ def fit(ordinary: list[str], copies: int = 60, seed: int = SEED) -> Model:
     texts += [(t, len(classes) - 1) for t in plain]
     rng.shuffle(texts)
     rows = [(Counter(set(grams(words_of(t)))), k) for t, k in texts]
-    notice, other = Counter(), Counter()
+    notice, other = Counter(), Counter(g for t in ordinary for g in set(words_of(t)))
     for found, k in rows:
-        (other if k == len(classes) - 1 else notice).update(found)
-    n_other = max(1, len(plain))
-    # single words that notices use and ordinary paragraphs hardly do; longer n-grams must hold one of them
-    triggers = frozenset(g for g, n in notice.items() if " " not in g and n >= 5 and other[g] / n_other < 0.02 and any(c.isalpha() for c in g))
+        if k < len(classes) - 1:
+            notice.update(found)
+    # single words that notices use and ordinary paragraphs of the corpus hardly do; longer n-grams must hold one of them
+    rare = 0.02 * len(ordinary)
+    triggers = frozenset(g for g, n in notice.items() if " " not in g and n >= 5 and other[g] <= rare and any(c.isalpha() for c in g))
     kept = sorted(g for g, n in notice.items() if n >= 5 and not triggers.isdisjoint(g.split(" ")))
     columns = {g: i for i, g in enumerate(kept)}
     x = np.zeros((len(rows), len(kept)), np.float32)
@@ -161,7 +163,8 @@ def confirmed(family: str, words: list[str], triggers: frozenset[str]) -> bool:
     """Whether a template of the family is there: its distinctive words, in order."""
     for template in TEMPLATES[family]:
         marks = [w for w in words_of(template) if w in triggers and w not in _VERSIONS]
-        if marks and in_order(marks, [w for w in words if w in triggers]) >= CONFIRMED:
+        share = in_order(marks, [w for w in words if w in triggers]) if marks else 0.0
+        if share >= CONFIRMED or share * len(marks) >= PASSAGE:
             return True
     return False
 
