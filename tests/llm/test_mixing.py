@@ -1,0 +1,89 @@
+import random
+from fractions import Fraction
+
+from odd_rows import none, odd
+
+from ticktape.llm import apportion, tables
+
+
+def test_highest_quotients_against_a_loop():
+    rng = random.Random(6)
+    for _ in range(400):
+        weights, seats = [rng.randint(0, 60) for _ in range(rng.randint(1, 8))], rng.randint(0, 80)
+        caps = [rng.randint(0, 40) for _ in weights] if rng.random() < 0.5 else None
+        taken = [0] * len(weights)
+        for _ in range(seats):
+            open_ = [i for i, w in enumerate(weights) if w and (caps is None or taken[i] < caps[i])]
+            if not open_:
+                break
+            i = max(open_, key=lambda i: (Fraction(weights[i], 2 * taken[i] + 1), -i))
+            taken[i] += 1
+        assert apportion.highest_quotients(seats, weights, caps) == taken
+
+
+def test_targets_are_capped_and_shared_again():
+    # a is full at once, c only after a's rest has been shared again
+    assert apportion.targets({"a": 10, "b": 100, "c": 90}, {"a": 3, "b": 1, "c": 2}) == {"a": 20, "c": 180, "b": 100}
+    assert apportion.targets({}, {}) == {}
+
+
+def plain_size(text):
+    import re
+
+    return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+
+
+def test_mix_meets_its_targets(spark, sf_dir):
+    docs = tables.documents(spark, sf_dir)
+    rows = apportion.mixed(docs).collect()
+    sizes = {r["doc_id"]: (r["source"], plain_size(r["text"])) for r in docs.collect()}
+    assert len(rows) == len(sizes) and all(sizes[r["doc_id"]] == (r["source"], r["size"]) for r in rows)
+    taken, target, held = {}, {}, {}
+    for r in rows:
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+        held[r["source"]] = held.get(r["source"], 0) + r["size"]
+        target[r["source"]] = r["target"]
+    assert all(r["source_size"] == held[r["source"]] for r in rows)
+    for s, t in target.items():
+        assert abs(taken[s] - t) <= 2 * apportion.BLOCK and t <= 2 * held[s] + 1e-6
+    assert abs(sum(target.values()) - 1.5 * sum(held.values())) < 1e-3
+    assert sorted(map(tuple, apportion.mixed(docs.repartition(5)).collect())) == sorted(map(tuple, rows))
+
+
+def test_the_mix_holds_the_words_it_took(spark, sf_dir):
+    docs = tables.documents(spark, sf_dir)
+    took = {r["doc_id"]: r["taken"] for r in apportion.mixed(docs).collect()}
+    mixed = apportion.mix(docs)
+    assert mixed.columns == docs.columns
+    texts = {r["doc_id"]: r["text"].split() for r in docs.collect()}
+    found = dict.fromkeys(took, 0)
+    for r in mixed.collect():
+        words = r["text"].split()
+        found[r["doc_id"]] += len(words)
+        whole = texts[r["doc_id"]]
+        assert any(whole[i : i + len(words)] == words for i in range(len(whole) - len(words) + 1))
+    assert found == took
+
+
+def test_odd_rows_are_mixed(spark):
+    rows = apportion.mixed(odd(spark)).collect()
+    assert len(rows) == odd(spark).count()
+    assert sorted((r["size"] for r in rows)) == sorted(plain_size(r["text"]) for r in odd(spark).collect())
+    assert all(r["taken"] <= 2 * r["size"] for r in rows)
+    order = {"": 3, "a": 1, "b": 2, "c": 3, None: 1}  # weights by code point, null last
+    want = apportion.targets({s: sum(r["size"] for r in rows if r["source"] == s) for s in order}, order)
+    assert all(abs(r["target"] - want[r["source"]]) < 1e-9 for r in rows)
+    assert apportion.mix(odd(spark)).columns == odd(spark).columns
+    assert apportion.mixed(none(spark)).count() == 0 and apportion.mix(none(spark)).count() == 0
+
+
+def test_sources_over_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(apportion, "SHARD_ROWS", 5)
+    docs = spark.createDataFrame([(i, " ".join(["w"] * (i % 37)), f"s{i % 3 and i % 2}") for i in range(400)], "doc_id long, text string, source string")
+    rows = apportion.mixed(docs).collect()
+    for s in ("s0", "s1"):
+        own = [r for r in rows if r["source"] == s]
+        shards = -(-len(own) // 5)
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= apportion.BLOCK * shards
+        assert all(r["taken"] <= 2 * r["size"] for r in own)

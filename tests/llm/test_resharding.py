@@ -1,0 +1,83 @@
+import random
+import zlib
+from itertools import product
+
+from odd_rows import none, odd
+from pyspark.sql import functions as F
+
+from ticktape.llm import resharding, tables
+
+
+def test_flow_against_every_plan():
+    rng = random.Random(8)
+    for _ in range(60):
+        n, m = rng.randint(1, 3), rng.randint(1, 3)
+        old = {i: rng.randint(0, 3) for i in range(n)}
+        total = sum(old.values())
+        caps = resharding.even(total, m)
+        rng.shuffle(caps)
+        moved = sum(x for s, t, x in resharding.transfers(old, caps) if s != t)
+        best = None
+        for cells in product(range(4), repeat=n * m):
+            rows = [cells[i * m : i * m + m] for i in range(n)]
+            if all(sum(rows[i]) == old[i] for i in range(n)) and all(sum(r[j] for r in rows) == caps[j] for j in range(m)):
+                cost = sum(rows[i][j] for i in range(n) for j in range(m) if i != j)
+                best = cost if best is None else min(best, cost)
+        assert moved == best
+
+
+def test_transfers_fill_every_capacity():
+    rng = random.Random(9)
+    old = {i: rng.randint(0, 10**12) for i in range(700)}
+    caps = resharding.even(sum(old.values()), 900)
+    plan = resharding.transfers(old, caps)
+    given, got = dict.fromkeys(old, 0), [0] * 900
+    for s, t, n in plan:
+        given[s] += n
+        got[t] += n
+    assert given == old and got == caps
+    assert sum(n for s, t, n in plan if s == t) == sum(min(old[i], caps[i]) for i in old)
+
+
+def check(rows, shards):
+    by_shard = {}
+    for r in rows:
+        by_shard.setdefault(r["shard"], []).append(r)
+    assert set(by_shard) <= set(range(shards))
+    for own in by_shard.values():
+        assert sorted(r["slot"] for r in own) == list(range(len(own)))
+    return {s: sum(r["size"] for r in own) for s, own in by_shard.items()}
+
+
+def test_documents_come_out_even(spark, sf_dir):
+    docs = tables.documents(spark, sf_dir)
+    rows = resharding.resharded(docs, shards=8, old_shards=6).collect()
+    texts = {r["doc_id"]: r["text"].encode() for r in docs.collect()}
+    assert len(rows) == len(texts)
+    assert all(r["size"] == len(texts[r["doc_id"]]) + 16 and r["text_crc32"] == zlib.crc32(texts[r["doc_id"]]) for r in rows)
+    sizes = check(rows, 8)
+    assert max(sizes.values()) - min(sizes.values()) <= max(r["size"] for r in rows)
+    stay = sum(r["size"] for r in rows if r["shard"] == r["old_shard"])
+    old = {s: sum(r["size"] for r in rows if r["old_shard"] == s) for s in range(6)}
+    fair = sum(min(old[s], sum(old.values()) / 8) for s in old)
+    assert stay >= fair - 6 * 20_000
+
+
+def test_odd_rows_get_places(spark):
+    rows = resharding.resharded(odd(spark), shards=3, old_shards=2).collect()
+    want = sorted(((r["doc_id"], len((r["text"] or "").encode()) + 16) for r in odd(spark).collect()), key=repr)
+    assert sorted(((r["doc_id"], r["size"]) for r in rows), key=repr) == want
+    check(rows, 3)
+    assert resharding.resharded(none(spark)).count() == 0
+
+
+def test_only_affected_files_are_written(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "x" * (100 if i < 40 else 10)) for i in range(80)], "doc_id long, text string")
+    rows = resharding.measured(docs).withColumn("old_shard", F.when(F.col("key") < 20, 0).when(F.col("key") < 40, 1).otherwise(2).cast("int"))
+    placed = tables.written(resharding.reshard(tables.written(rows, "old"), shards=4, capacities=[20 * 116, 10 * 116, 40 * 26, 10 * 116]), "new")
+    path = str(tmp_path / "shards")
+    assert resharding.rewrite(docs, placed, path) == [1, 3]
+    back = spark.read.parquet(path).collect()
+    want = {(r["key"], r["shard"], r["slot"]) for r in placed.collect() if r["shard"] in (1, 3)}
+    assert {(r["doc_id"], r["shard"], r["slot"]) for r in back} == want
+    assert sorted(p.name for p in (tmp_path / "shards").glob("shard=*")) == ["shard=1", "shard=3"]
