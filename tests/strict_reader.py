@@ -8,6 +8,9 @@ import math
 from ticktape import schemas as S
 
 
+FAMILY_OF = {code: family for family in S.FAMILIES.values() for code in family.event_types}
+
+
 class Bad(ValueError):
     pass
 
@@ -73,10 +76,10 @@ def read_frame(frame: str):
     out = []
     for pos, element in enumerate(value if isinstance(value, list) else [value]):
         code = element.get("ev") if isinstance(element, dict) else None
-        if not isinstance(code, str) or code not in S.FAMILY_OF:
+        if not isinstance(code, str) or code not in FAMILY_OF:
             out.append((pos, "reject", S.UNKNOWN_EVENT_TYPE))
             continue
-        family = S.FAMILY_OF[code]
+        family = FAMILY_OF[code]
         values = {}
         for f in family.fields:
             v = element.get(f.key)

@@ -241,3 +241,12 @@ def test_decoding_needs_no_shuffle_and_no_python(spark, tmp_path):
     for df in (decode.decode(frames).trades, decode.decode(frames).rejects, decode.stage_events(frames)):
         plan = plan_of(df)
         assert "Exchange" not in plan and "Python" not in plan and "Pandas" not in plan
+
+
+def test_strings_of_any_length_and_keys_up_to_the_parsers_limit(spark):
+    """A key beyond the limit has a reason of its own: such a frame is JSON, only not for this parser."""
+    long_text, key, too_long = "x" * 21_000_000, "k" * 40_000, "k" * 60_000
+    texts = [TRADE[:-1] + f',"extra":"{long_text}"}}', TRADE[:-1] + f',"{key}":1}}', TRADE[:-1] + f',"{too_long}":1}}', '{"' + "x" * 60_000 + '"']
+    decoded = decode.decode(spark.createDataFrame(list(enumerate(texts)), "ingest_seq bigint, frame string"))
+    assert sorted(r.ingest_seq for r in decoded.trades.select("ingest_seq").collect()) == [0, 1]
+    assert sorted(map(tuple, decoded.rejects.select("ingest_seq", "reason").collect())) == [(2, "name_too_long"), (3, "bad_json")]

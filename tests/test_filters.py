@@ -268,3 +268,35 @@ def test_topics(spark):
     assert topics.channel_topics(True, True, True, True, True) == ["XA.*", "XAS.*", "XT.*", "XQ.*", "XL2.*"]
     with pytest.raises(ValueError):
         topics.topic_predicate(["XT"])
+
+
+def test_a_pair_named_twice_is_an_error_in_every_form(spark):
+    from ticktape.sources.filter_config import FilterConfigError
+
+    one = filters.criteria_table(spark, filters.DEFAULT_CRITERIA)
+    twice = one.unionByName(one.limit(1))
+    forms = [
+        lambda c: filters.configured(c), lambda c: filters.configured(c, max_compiled=0),
+        lambda c: filters.configured(c, max_compiled=0, max_broadcast_bytes=0), lambda c: filters.table_filter(c),
+        lambda c: filters.table_filter(c, max_broadcast_bytes=0), lambda c: filters.table_filter(c, max_broadcast_bytes=0, salts=4),
+    ]
+    for form in forms:
+        form(one)
+        with pytest.raises(FilterConfigError):
+            form(twice)
+
+
+def test_topic_tables_are_strict_and_read_the_events_once(spark, tmp_path):
+    from conftest import plan_of
+    from ticktape.operators import topics
+
+    events = spark.createDataFrame([("XT", "A"), ("XA", "A"), ("XA", "B"), ("XQ", "*")], "event_type string, pair string")
+    events.write.parquet(str(tmp_path / "events"))
+    events = spark.read.parquet(str(tmp_path / "events"))
+    wanted = lambda *names: spark.createDataFrame([(n,) for n in names], "topic string")
+    for names in (["XA.*", "XT.A"], ["XA.B"], ["XT.*"], ["XA.*", "XA.A", "XZ.*"]):
+        joined = topics.topic_join(events, wanted(*names))
+        assert plan_of(joined).count("FileScan parquet [event_type") == 1
+        assert sorted(joined.collect()) == sorted(topics.topic_filter(events, names).collect())
+    with pytest.raises(Exception, match="topic XA is not CHANNEL.PAIR"):
+        topics.topic_join(events, wanted("XA", "XT.A"))

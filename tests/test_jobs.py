@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from test_decode import MINUTE, TRADE
+from test_decode import BOOK, MINUTE, QUOTE, TRADE
 
 from ticktape import __main__ as jobs
 from ticktape import schemas as S
@@ -34,6 +34,47 @@ def test_trade_job(spark, tmp_path):
                "--conditions", "as_run"])
     row = tables.read_table(spark, S.TRADE, root).collect()
     assert [(r.pair, r.conditions, r.filter_id) for r in row] == [("BTC-USD", [], "default")]
+    assert [(r.raw, r.reason) for r in spark.read.parquet(f"{root}/rejects").collect()] == [("oops", "bad_json")]
+
+
+def test_stage_job(spark, tmp_path):
+    frames, root = _land(tmp_path, [f"[{TRADE},{QUOTE}]", MINUTE, BOOK, "oops"]), str(tmp_path / "root")
+    jobs.main(["stage", "--frames", frames, "--root", root, "--checkpoint", str(tmp_path / "checkpoint"), "--families", "quote", "bar", "--topics"])
+    assert tables.read_table(spark, S.QUOTE, root).count() == tables.read_table(spark, S.BAR, root).count() == 1
+    assert not (tmp_path / "root" / "books").exists()
+
+
+def test_streamed_rows_have_places_of_their_own(spark, tmp_path):
+    """Equal frames in one landed file, and a second stream over the same files."""
+    frames, root = _land(tmp_path, [TRADE, TRADE, f"[{TRADE},{TRADE}]"]), str(tmp_path / "root")
+    for n in (1, 2):
+        jobs.main(["trades", "--frames", frames, "--root", root, "--checkpoint", str(tmp_path / f"checkpoint-{n}")])
+    stored = tables.read_table(spark, S.TRADE, root)
+    assert stored.count() == 8
+    assert stored.select("run", "ingest_ts", "ingest_src", "ingest_seq", "pos", "filter_id").distinct().count() == 8
+
+
+def test_ordered_text_in_blocks_equals_the_batch(spark, tmp_path):
+    closes = [100.0 + (i * 37 % 101) for i in range(400)]
+    frames, root = _land(tmp_path, [MINUTE.replace('"c":101.5', f'"c":{c}') for c in closes]), str(tmp_path / "root")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        jobs.main(["alerts", "--frames", frames, "--root", root, "--checkpoint", str(tmp_path / "checkpoint"), "--threshold", "5"])
+        jobs.main(["batch", "--frames", frames, "--root", f"{root}-batch", "--threshold", "5"])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    got, want = (sorted((r["last"], r["close"], r.kind) for r in spark.read.parquet(f"{r}/alerts").collect()) for r in (root, f"{root}-batch"))
+    steps = list(zip([100.0, *closes], closes))
+    assert got == want == sorted((a, b, "spike" if b > a else "drop") for a, b in steps if abs(b - a) / a * 100 > 5)
+    assert spark.read.parquet(f"{root}/alerts").select("ingest_src").distinct().count() > 5
+
+
+def test_watch_prints_a_stream(spark, tmp_path):
+    frames = _land(tmp_path, ["a", "b"])
+    query = publish.watch(spark.readStream.text(frames)).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sum(p["numInputRows"] for p in query.recentProgress) == 2
 
 
 def test_alert_job_on_text_files_in_order(spark, tmp_path):

@@ -120,14 +120,30 @@ def test_threshold_is_strict_and_scope_is_checked(spark):
         price_action(bars, 1.0, scope="day")
 
 
-def test_plan_splits_pairs_and_broadcasts_nothing(spark):
-    bars = _bars(spark, EXAMPLE)
-    plan = plan_of(price_action(bars, 1.0))
-    assert "Join" not in plan and "Python" not in plan and "SortAggregate" not in plan
-    assert "hashpartitioning(pair" in plan and "_bucket0" in plan
+def test_plan_splits_pairs_and_reads_the_source_once(spark, tmp_path):
+    _bars(spark, EXAMPLE * 50).write.parquet(str(tmp_path / "bars"))
+    bars = spark.read.parquet(str(tmp_path / "bars"))
+    measured = price_action(bars, 1.0, arrival=arrival_of(bars, bucket_bits=5))
+    assert "Python" not in plan_of(measured) and "hashpartitioning(pair" in plan_of(measured)
+    measured.collect()
+    final = plan_of(measured).split("+- == Initial Plan ==")[0]
+    assert final.count("FileScan") == 1 and "ReusedExchange" in final
     assert "Exchange" not in plan_of(price_action(spark.range(1).selectExpr("0D open", "1D close"), 1.0, scope="bar"))
 
 
+@pytest.mark.parametrize("shape", ["sparse", "files"])
+def test_buckets_follow_rows_and_not_their_numbers(spark, shape):
+    """200,000 bars of one pair, their numbers far apart or each from a file of its own."""
+    bars = spark.range(0, 200_000).selectExpr(
+        "0 AS pos", "'XAS' AS event_type", "'HOT' AS pair", "CAST(id % 1000 AS DOUBLE) AS open", "CAST((id * 7) % 1000 AS DOUBLE) AS close",
+        "id AS timestamp", "id AS end_time",
+        *(["id * 200000 AS ingest_seq"] if shape == "sparse" else ["format_string('f%020d#0', id) AS ingest_src", "0L AS ingest_seq"]),
+    )
+    arrival = arrival_of(bars)
+    sizes = [r["count"] for r in bars.groupBy("pair", *arrival.bucket).count().collect()]
+    assert len(sizes) == 2 and max(sizes) <= 1 << 17  # two closes travel, not 200,000
+
+
 def test_a_hot_pair_is_spread_over_buckets(spark):
     bars = spark.range(0, 400_000).selectExpr(
         "id AS ingest_seq", "0 AS pos", "'XAS' AS event_type",

@@ -9,7 +9,7 @@ from ticktape.operators import decode
 from ticktape.operators.price_action import price_action
 from ticktape.plans import market
 from ticktape.sinks import tables
-from ticktape.sources import event_feed as feed
+from ticktape.plans import event_feed as feed
 from ticktape.sources import frames as frame_sources
 from ticktape.streaming import prices, trades, workdir
 

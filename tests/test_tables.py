@@ -85,7 +85,8 @@ def test_batch_flow(spark, tmp_path):
     raised = spark.read.parquet(f"{root}/alerts").select("ingest_seq", "kind", "last", "close").collect()
     assert sorted(map(tuple, raised)) == [(2, "spike", 100.0, 101.5)]
     kinds = spark.read.parquet(f"{root}/staged").groupBy("family").count().collect()
-    assert dict(map(tuple, kinds)) == {"trade": 3, "bar": 3, "quote": 1, "reject": 1}
+    assert dict(map(tuple, kinds)) == {"trade": 3, "bar": 3, "reject": 1}  # no one here reads quotes
+    assert [r.reason for r in spark.read.parquet(f"{root}/rejects").collect()] == ["bad_json"]
 
 
 def test_staged_reads_are_pruned_and_pushed_down(spark, tmp_path):
@@ -122,7 +123,20 @@ def test_text_frames_keep_file_and_line_order(spark, tmp_path):
 
 
 def test_kafka_records(spark):
-    raw = spark.createDataFrame([(bytearray(b"[]"), "t", 3, 41)], "value binary, topic string, partition int, offset long")
+    at = datetime.datetime(2024, 1, 1)
+    raw = spark.createDataFrame([(bytearray(b"[]"), "t", 3, 41, at)], "value binary, topic string, partition int, offset long, timestamp timestamp")
     assert frame_sources.kafka_records(raw).first().asDict() == {
-        "frame": "[]", "ingest_src": "t#0000000003", "ingest_seq": 41,
+        "frame": "[]", "ingest_ts": at, "ingest_src": "t#0000000003", "ingest_seq": 41,
     }
+
+
+def test_records_of_a_pair_in_two_partitions_are_ordered_by_time(spark):
+    from ticktape.operators.price_action import price_action
+
+    rows = []
+    for i, close in enumerate([110.0, 121.0, 133.0, 146.0]):
+        frame = MINUTE.replace('"c":101.5', f'"c":{close}')
+        rows.append((bytearray(frame.encode()), "t", 1 - i % 2, i // 2, datetime.datetime(2024, 1, 1, 0, 0, i)))
+    raw = spark.createDataFrame(rows, "value binary, topic string, partition int, offset long, timestamp timestamp")
+    bars = market.bars_of(frame_sources.kafka_records(raw))
+    assert {r.close: r["last"] for r in price_action(bars, 1.0).collect()} == {110.0: 100.0, 121.0: 110.0, 133.0: 121.0, 146.0: 133.0}

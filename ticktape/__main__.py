@@ -3,9 +3,10 @@
     python -m ticktape batch  --frames IN --root OUT [--config FILTERS] [--topics XT.BTC-USD XA.*]
     python -m ticktape trades --frames IN --root OUT --checkpoint DIR
     python -m ticktape alerts --frames IN --root OUT --checkpoint DIR
+    python -m ticktape stage  --frames IN --root OUT --checkpoint DIR [--families quote book bar]
 
 Frames are text files, a frame to a line; ``--table`` reads a Parquet table of ``ingest_seq, frame`` instead.
-Streams stop when nothing is left to read unless ``--every`` names an interval.
+Every job keeps what it cannot read in ``OUT/rejects``.  Streams stop when nothing is left to read unless ``--every`` names an interval.
 """
 
 from __future__ import annotations
@@ -16,15 +17,15 @@ from pyspark.sql import SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 
 from ticktape import schemas as S
-from ticktape.operators import decode, filters, price_action, topics
+from ticktape.operators import filters, price_action, topics
 from ticktape.plans import market
 from ticktape.sources import filter_config, frames
-from ticktape.streaming import prices, trades
+from ticktape.streaming import trades
 
 
 def _arguments(argv=None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(prog="ticktape")
-    parser.add_argument("job", choices=["batch", "trades", "alerts"])
+    parser.add_argument("job", choices=["batch", "trades", "alerts", "stage"])
     parser.add_argument("--frames", required=True)
     parser.add_argument("--table", action="store_true", help="--frames is a table of ingest_seq and frame")
     parser.add_argument("--root", required=True)
@@ -34,6 +35,7 @@ def _arguments(argv=None) -> argparse.Namespace:
     parser.add_argument("--threshold", type=float, default=price_action.DEFAULT_THRESHOLD, help="percent")
     parser.add_argument("--scope", choices=["pair", "bar"], default="pair")
     parser.add_argument("--conditions", choices=["keep", "as_run"], default="keep")
+    parser.add_argument("--families", nargs="*", choices=["quote", "book", "bar"], help="stored whole; all three in stage, none in batch")
     parser.add_argument("--max-files", type=int, default=100, help="files per micro-batch")
     parser.add_argument("--every", help="trigger interval, such as '10 seconds'")
     args = parser.parse_args(argv)
@@ -57,28 +59,24 @@ def main(argv=None) -> None:
     args = _arguments(argv)
     spark = SparkSession.builder.appName(f"ticktape-{args.job}").getOrCreate()
     wanted = args.topics or None
+    families = [S.FAMILIES[name] for name in args.families or ()]
     if args.job == "batch":
         read = frames.read_frame_table if args.table else frames.read_text_frames
-        landed = read(spark, args.frames)
         chosen = _event_filters(spark, args.config)
-        market.run_batch(landed, args.root, chosen, wanted, args.threshold, args.scope, args.conditions)
-    elif args.job == "trades":
-        read = frames.stream_frame_table if args.table else frames.stream_text_frames
-        landed = read(spark, args.frames, max_files=args.max_files)
+        landed = read(spark, args.frames)
+        market.run_batch(landed, args.root, chosen, wanted, args.threshold, args.scope, args.conditions, families)
+        return
+    read = frames.stream_frame_table if args.table else frames.stream_text_frames
+    landed = read(spark, args.frames, max_files=args.max_files)
+    if args.job == "trades":
         chosen = _event_filters(spark, args.config)
-        _run(trades.persist_matches(landed, args.root, args.checkpoint, chosen, wanted, args.conditions), args.every)
+        writer = trades.persist_matches(landed, args.root, args.checkpoint, chosen, wanted, args.conditions)
+    elif args.job == "alerts":
+        writer = trades.persist_alerts(landed, args.root, args.checkpoint, args.threshold, args.scope, wanted)
     else:
-        read = frames.stream_frame_table if args.table else frames.stream_ordered_text_frames
-        landed = read(spark, args.frames, max_files=args.max_files)
-        bars = decode.decode_family(decode.split_frames(landed), S.BAR)
-        bars = bars if wanted is None else topics.topic_filter(bars, wanted)
-        output = f"{args.root.rstrip('/')}/alerts"
-        _run(
-            prices.price_action_stream(
-                bars, output, args.checkpoint, args.threshold, args.scope, keep=price_action.alerts
-            ),
-            args.every,
-        )
+        families = families or [S.QUOTE, S.BOOK, S.BAR]
+        writer = trades.persist_families(landed, args.root, args.checkpoint, families, wanted)
+    _run(writer, args.every)
 
 
 if __name__ == "__main__":

@@ -18,7 +18,10 @@ STRICT = {
     "allowNonNumericNumbers": "false",
     "maxNestingDepth": "128",
     "maxNumLen": "2147483647",
+    "maxStringLen": "2147483647",
 }
+# The parser reads no key longer than this, and has no setting for it.
+LONGEST_NAME = 50_000
 ERROR_FIELD = "_error"  # set by from_json when a field does not have its type
 
 _JSON_SPACE = " \t\n\r"
@@ -104,6 +107,11 @@ def is_readable(frame: Column, elements: Column) -> Column:
     return elements.isNotNull() & ~lone_surrogate & ~F.when(suspect, infinite).otherwise(False)
 
 
+def has_long_name(frame: Column) -> Column:
+    """Whether a key is longer than the parser reads."""
+    return (F.octet_length(frame) > LONGEST_NAME) & frame.rlike(rf'"[^"\\]{{{LONGEST_NAME + 1},}}+"[{_JSON_SPACE}]*:')
+
+
 def object_flags(frame: Column) -> Column:
     """``array<boolean>``: which elements are objects; NULL when the elements' own text tells.
 

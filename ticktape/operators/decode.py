@@ -86,10 +86,11 @@ def _reason() -> Column:
     """Why an element with its family structs gives no event; NULL when it gives one."""
     named = " OR ".join(_named(f) for f in S.FAMILIES.values())
     good = " OR ".join(_fits(f) for f in S.FAMILIES.values())
-    return F.expr(
+    found = F.expr(
         f"CASE WHEN NOT readable THEN '{S.BAD_JSON}' WHEN code IS NULL OR NOT ({named}) THEN '{S.UNKNOWN_EVENT_TYPE}' "
         f"WHEN NOT ({good}) THEN '{S.SCHEMA_MISMATCH}' END"
     )
+    return F.when(~F.col("readable") & J.has_long_name(F.col("raw")), S.NAME_TOO_LONG).otherwise(found)
 
 
 def rejects(elements: DataFrame) -> DataFrame:

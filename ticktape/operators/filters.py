@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ticktape import schemas as S
 from ticktape.functions import floats as N
 from ticktape.operators.lookup import MAX_BROADCAST_BYTES, lookup_join
+from ticktape.sources.filter_config import FilterConfigError
 
 # The filter configuration used when none is given, and the size gate's limit.
 DEFAULT_CRITERIA = {
@@ -116,8 +117,15 @@ def _table_criterion(c: Column) -> Column:
     return F.coalesce(met, F.lit(False))
 
 
+def _check_pairs(config: DataFrame) -> None:
+    """A pair named twice has no one meaning, so no form of the filter takes it."""
+    if config.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        raise FilterConfigError("a pair has more than one entry")
+
+
 def table_filter(config: DataFrame, **size_limits) -> EventFilter:
     """The filter of a config table (``pair, criteria``; pairs unique), for configs too long to compile."""
+    _check_pairs(config)
     column = f"_criteria_{uuid.uuid4().hex}"
     criteria = config.select("pair", F.col("criteria").alias(column))
     return EventFilter(
@@ -135,6 +143,7 @@ def configured(
         F.count(F.lit(1)).alias("pairs"), F.coalesce(F.sum(F.size("criteria")), F.lit(0)).alias("criteria")
     ).first()
     if entries["pairs"] + entries["criteria"] <= max_compiled:
+        _check_pairs(config)
         return parameterized(collect_criteria(config))
     return table_filter(config, max_broadcast_bytes=max_broadcast_bytes)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,7 +14,10 @@ from ticktape.functions import floats as N
 DEFAULT_THRESHOLD = 0.0001  # fixed value: percent
 
 _BUCKET_BITS = 17
-_DAY_MS = 86_400_000
+#: Buckets at most; beyond 2^29 frames they grow instead of becoming more.
+_MOST_BUCKETS = 4096
+#: Sampled rows per bucket from which the bounds are taken.
+_SAMPLED = 32
 
 
 @dataclass(frozen=True)
@@ -28,19 +32,52 @@ class Arrival:
     rank: tuple[Column, ...]
 
 
-def arrival_of(bars: DataFrame, bucket_bits: int = _BUCKET_BITS) -> Arrival:
-    """Arrival by the ingest columns (2^bucket_bits frames to a bucket), else by bar time (a day to a bucket)."""
+def arrival_of(bars: DataFrame, bucket_bits: int = _BUCKET_BITS, order_from: DataFrame | None = None) -> Arrival:
+    """Arrival by the ingest columns, else by bar time, in buckets of about 2^bucket_bits rows.
+
+    Buckets are ranges of the order whose bounds come from a sample, so neither sparse sequence numbers nor many
+    small files make more of them.  ``order_from`` is what to count and sample instead of ``bars``: the frames, say,
+    which need no decoding for it.
+    """
     if "ingest_seq" not in bars.columns:
-        return Arrival(
-            (F.floor(F.col("end_time") / _DAY_MS),),
-            (F.col("end_time"), F.col("timestamp"), F.col("event_type")),
-        )
-    seq = F.col("ingest_seq")
-    source = [F.col(c) for c in ("ingest_ts", "ingest_src") if c in bars.columns]
-    pos = F.col("pos").cast("long") if "pos" in bars.columns else F.lit(0).cast("long")
-    # One BIGINT, so that the aggregate below can hash instead of sort.
-    rank = F.shiftleft(seq.bitwiseAND(F.lit((1 << bucket_bits) - 1)), 31).bitwiseOR(pos)
-    return Arrival((*source, F.shiftright(seq, bucket_bits)), (rank,))
+        order, rank = ["end_time"], ("end_time", "timestamp", "event_type")
+    else:
+        order = [c for c in S.ARRIVAL_COLUMNS[:3] if c in bars.columns]
+        rank = (*order, "pos") if "pos" in bars.columns else tuple(order)
+    cuts = _range_cuts(bars if order_from is None else order_from, order, 1 << bucket_bits)
+    return Arrival((_bucket(order, cuts),), tuple(F.col(c) for c in rank))
+
+
+def _order_value(columns: list[str]) -> Column:
+    """The order as one comparable value, of types that survive a trip to the driver."""
+    parts = [F.unix_micros(F.col(c).cast("timestamp")) if c == "ingest_ts" else F.col(c) for c in columns]
+    return F.struct(*[p.alias(f"o{i}") for i, p in enumerate(parts)])
+
+
+def _range_cuts(rows: DataFrame, order: list[str], per_bucket: int) -> list[tuple]:
+    """Bounds that cut ``rows`` into ranges of about ``per_bucket``; a sample of bounded size comes to the driver."""
+    n = rows.count()
+    buckets = min(_MOST_BUCKETS, -(-n // per_bucket))
+    if buckets < 2:
+        return []
+    values = rows.select(_order_value(order).alias("v"))
+    if n > 2 * buckets * _SAMPLED:
+        values = values.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < (buckets * _SAMPLED << 30) // n)
+    sample = sorted((tuple(r["v"]) for r in values.collect() if None not in tuple(r["v"])))
+    return sorted({sample[i * len(sample) // buckets] for i in range(1, buckets)}) if sample else []
+
+
+def _bucket(order: list[str], cuts: list[tuple]) -> Column:
+    """How many cuts lie at or below a row, counted in two levels: first among every sixteenth cut or so."""
+    if not cuts:
+        return F.lit(0)
+    value = _order_value(order)
+    literal = lambda some: F.array(*[F.struct(*[F.lit(x).alias(f"o{i}") for i, x in enumerate(c)]) for c in some])
+    reached = lambda some: F.size(F.filter(some, lambda c: c <= value))
+    step = max(1, math.isqrt(len(cuts)))
+    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    whole = F.greatest(reached(literal([g[0] for g in groups])) - 1, F.lit(0))
+    return whole * step + reached(F.element_at(F.array(*map(literal, groups)), whole + 1))
 
 
 def price_action(
@@ -56,9 +93,9 @@ def price_action(
     is compared with its own open, or with the pair's price in ``carried`` (``pair, last``) if there is one.
     ``scope='bar'`` compares every bar with its own open.
 
-    The previous close is found per (pair, bucket); only the last close of each bucket travels between
-    buckets, as a row put before the next bucket's bars.  So a pair that holds much of the data is still
-    spread over many tasks, and nothing is joined or broadcast.
+    Bars are dealt out by (pair, bucket), once; the previous close is found inside a group, and only the last
+    close of each group travels on, to the first bar of the pair's next one.  So a pair that holds much of the
+    data is still spread over many tasks.
     """
     if scope == "bar":
         return _measure(bars.withColumn("last", F.col("open")), threshold)
@@ -66,31 +103,29 @@ def price_action(
         raise ValueError(f"scope must be 'pair' or 'bar', not {scope!r}")
     arrival = arrival or arrival_of(bars)
     keys = ["pair", *_bucket_names(arrival)]
-    bucketed = _with_buckets(bars, arrival)
-    opening = _bucket_closes(bucketed, arrival).withColumn(
-        "_before", F.lag("_close").over(Window.partitionBy("pair").orderBy(*keys[1:]))
-    )
+    dealt = _with_buckets(bars, arrival).repartition(*keys)
+    # The whole last row, not its close alone: with other columns this would be another exchange, and another
+    # reading of the source.
+    latest = F.max_by(F.struct(*dealt.columns), F.struct(*arrival.rank))
+    closing = dealt.groupBy(*keys).agg(latest.alias("_row")).select(*keys, F.col("_row.close").alias("_close"))
+    # A pair has one row here per bucket.
+    before = F.lag("_close").over(Window.partitionBy("pair").orderBy(*keys[1:]))
+    opening = closing.select(*keys, before.alias("_before"))
     if carried is not None:
         seed = carried.select("pair", F.col("last").alias("_seed"))
-        opening = opening.join(seed, "pair", "left").withColumn("_before", F.coalesce("_before", "_seed"))
-    opening = opening.where(F.col("_before").isNotNull()).select(
-        *keys, F.col("_before").alias("close"), F.lit(False).alias("_is_bar")
-    )
-    rows = bucketed.withColumn("_is_bar", F.lit(True)).unionByName(opening, allowMissingColumns=True)
-    in_bucket = Window.partitionBy(*keys).orderBy("_is_bar", *arrival.rank)
-    previous = F.coalesce(F.lag("close").over(in_bucket), F.col("open"))
-    return _measure(
-        rows.withColumn("last", previous).where("_is_bar").select(*bars.columns, "last"), threshold
-    )
+        opening = opening.join(seed, "pair", "left").select(*keys, F.coalesce("_before", "_seed").alias("_before"))
+    previous = F.lag("close").over(Window.partitionBy(*keys).orderBy(*arrival.rank))
+    rows = dealt.join(opening, keys).withColumn("last", F.coalesce(previous, "_before", "open"))
+    return _measure(rows.select(*bars.columns, "last"), threshold)
 
 
 def last_prices(bars: DataFrame, arrival: Arrival | None = None, carried: DataFrame | None = None) -> DataFrame:
-    """The last close of every pair (``pair, last``), keeping ``carried`` pairs that have no bar here."""
-    arrival = arrival or arrival_of(bars)
-    names = _bucket_names(arrival)
-    closes = _bucket_closes(_with_buckets(bars, arrival), arrival)
-    order = F.struct(*names) if len(names) > 1 else F.col(names[0])
-    latest = closes.groupBy("pair").agg(F.max_by("_close", order).alias("last"))
+    """The last close of every pair (``pair, last``), keeping ``carried`` pairs that have no bar here.
+
+    Closes are combined on the map side, so any pair may hold any share of the bars.
+    """
+    arrival = arrival or Arrival((), arrival_of(bars.limit(0)).rank)
+    latest = bars.groupBy("pair").agg(F.max_by("close", F.struct(*arrival.bucket, *arrival.rank)).alias("last"))
     if carried is None:
         return latest
     kept = carried.select("pair", "last").join(latest.select("pair"), "pair", "left_anti")
@@ -105,12 +140,6 @@ def _with_buckets(bars: DataFrame, arrival: Arrival) -> DataFrame:
     return bars.select("*", *[c.alias(n) for c, n in zip(arrival.bucket, _bucket_names(arrival))])
 
 
-def _bucket_closes(bucketed: DataFrame, arrival: Arrival) -> DataFrame:
-    """The last close of each (pair, bucket), combined on the map side."""
-    rank = arrival.rank[0] if len(arrival.rank) == 1 else F.struct(*arrival.rank)
-    return bucketed.groupBy("pair", *_bucket_names(arrival)).agg(F.max_by("close", rank).alias("_close"))
-
-
 def _measure(bars: DataFrame, threshold: float) -> DataFrame:
     close, last, pct = F.col("close"), F.col("last"), F.col("pct")
     direction = F.when(N.gt(close, last), "up").when(N.lt(close, last), "down").otherwise("same")

@@ -55,18 +55,17 @@ def topic_filter(events: DataFrame, topics: Iterable[str] = DEFAULT_TOPICS) -> D
 
 
 def topic_join(events: DataFrame, topics: DataFrame, **size_limits) -> DataFrame:
-    """``topic_filter`` for a table of topics (column ``topic``) too long to write out."""
-    channel = F.substring_index("topic", ".", 1)
-    pair = F.expr("substr(topic, instr(topic, '.') + 1)")
-    wanted = topics.select(channel.alias("event_type"), pair.alias("pair")).distinct()
-    wildcards = wanted.where(F.col("pair") == "*").select("event_type")
+    """``topic_filter`` for a table of topics (column ``topic``) too long to write out.  The events are read once."""
+    dot = F.instr("topic", ".")
+    malformed = F.raise_error(F.concat(F.lit("topic "), F.coalesce("topic", F.lit("null")), F.lit(" is not CHANNEL.PAIR")))
+    channel = F.when(dot > 0, F.substring_index("topic", ".", 1)).otherwise(malformed)
+    wanted = topics.select(channel.alias("event_type"), F.expr("substr(topic, instr(topic, '.') + 1)").alias("pair")).distinct()
     # At most one wildcard per event type, so this list is short whatever the table holds.
-    channels = [r["event_type"] for r in wildcards.where(F.col("event_type").isin("XA", "XAS", "XT", "XQ", "XL2")).collect()]
-    named = lookup_join(
-        events.where(~F.col("event_type").isin(*channels)) if channels else events,
-        wanted.where(F.col("pair") != "*"),
-        ["event_type", "pair"],
-        "left_semi",
-        **size_limits,
-    ).select(*events.columns)
-    return named.unionByName(events.where(F.col("event_type").isin(*channels))) if channels else named
+    known = F.when((F.col("pair") == "*") & F.col("event_type").isin("XA", "XAS", "XT", "XQ", "XL2"), F.col("event_type"))
+    channels = wanted.agg(F.collect_set(known).alias("channels")).first()["channels"]
+    named = wanted.where(F.col("pair") != "*").withColumn("_named", F.lit(True))
+    marked = lookup_join(events, named, ["event_type", "pair"], "left", **size_limits)
+    selected = F.col("_named").isNotNull()
+    if channels:
+        selected = selected | F.col("event_type").isin(*sorted(channels))
+    return marked.where(selected).select(*events.columns)

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ticktape import schemas as S
 from ticktape.operators import decode, filters, price_action, topics
 from ticktape.sinks import tables
-from ticktape.streaming import workdir
 from ticktape.streaming.trades import matches
 
 
@@ -35,16 +34,10 @@ def price_alerts(
     scope: str = "pair",
     topic_names: Iterable[str] | None = topics.DEFAULT_TOPICS,
 ) -> DataFrame:
-    """Spikes and drops.
-
-    ``scope='pair'`` reads the bars twice, so they are decoded once into a table in the shared folder.
-    """
+    """Spikes and drops.  Nothing is written; the frames are counted and sampled to cut their order into buckets."""
     bars = bars_of(frames, topic_names)
-    if scope == "pair":
-        path = workdir.new_folder(frames.sparkSession, "bars")
-        bars.write.parquet(path)
-        bars = frames.sparkSession.read.parquet(path)
-    return price_action.alerts(price_action.price_action(bars, threshold, scope))
+    arrival = price_action.arrival_of(bars, order_from=frames) if scope == "pair" else None
+    return price_action.alerts(price_action.price_action(bars, threshold, scope, arrival))
 
 
 def run_batch(
@@ -55,22 +48,31 @@ def run_batch(
     threshold: float = price_action.DEFAULT_THRESHOLD,
     scope: str = "pair",
     conditions: str = "keep",
-) -> None:
-    """Both flows over one set of frames, which is split and decoded once, into a staged table.
+    store: Iterable[S.Family] = (),
+) -> str:
+    """Both flows over one set of frames, which is split and decoded once.
 
-    Under ``root``: ``staged`` (all events and rejects, a folder per run), the trade table of matches, and
-    ``alerts``.
+    Under ``root``: the trade table of matches, ``alerts``, ``rejects``, and a table for each family in ``store`` (quotes,
+    books, bars) with its events of the wanted topics.  ``staged`` holds the decoded rows of the families that are read
+    here, and no others.  Returns the run's name, which all of its folders carry.
     """
-    spark = frames.sparkSession
-    staged_path = f"{root.rstrip('/')}/staged/run={uuid.uuid4().hex}"
-    tables.write_staged(decode.stage_events(frames), staged_path)
-    staged = spark.read.parquet(staged_path)
-    trades = decode.staged_family(staged, S.TRADE)
-    bars = decode.staged_family(staged, S.BAR)
-    if topic_names is not None:
-        topic_names = list(topic_names)
-        trades, bars = topics.topic_filter(trades, topic_names), topics.topic_filter(bars, topic_names)
+    spark, run = frames.sparkSession, tables.new_run()
+    families = {f.name: f for f in (S.TRADE, S.BAR, *store)}
+    wanted = F.col("family").isin("reject", *families)
+    staged_path = f"{root.rstrip('/')}/staged"
+    tables.write_staged(decode.stage_events(frames).where(wanted), staged_path, run)
+    staged = spark.read.option("basePath", staged_path).parquet(f"{staged_path}/run={run}")
+    topic_names = None if topic_names is None else list(topic_names)
+
+    def events(family: S.Family) -> DataFrame:
+        rows = decode.staged_family(staged, family)
+        return rows if topic_names is None else topics.topic_filter(rows, topic_names)
+
     chosen = {"default": filters.parameterized()} if event_filters is None else event_filters
-    tables.write_table(filters.fan_out(trades, chosen, S.TRADE), S.TRADE, root, conditions)
-    measured = price_action.price_action(bars, threshold, scope)
-    tables.write_alerts(price_action.alerts(measured), f"{root.rstrip('/')}/alerts")
+    tables.write_table(filters.fan_out(events(S.TRADE), chosen, S.TRADE), S.TRADE, root, conditions, run)
+    measured = price_action.price_action(events(S.BAR), threshold, scope)
+    tables.write_alerts(price_action.alerts(measured), f"{root.rstrip('/')}/alerts", run)
+    for family in store:
+        tables.write_table(events(family), family, root, run=run)
+    tables.write_rejects(staged, root, run)
+    return run

@@ -1,6 +1,6 @@
 """Every operator as a named query over the given tables, with SQL that gives the same rows.
 
-The market feed is derived from ``events`` (see ``sources.event_feed``); ``_FEED_SQL`` states the same feed
+The market feed is derived from ``events`` (see ``plans.event_feed``); ``_FEED_SQL`` states the same feed
 for the checking engine.  Arrays are compared as JSON text.
 """
 
@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from ticktape import schemas as S
 from ticktape.operators import decode, filters, price_action, topics
+from ticktape.plans import event_feed as feed
 from ticktape.plans import market
 from ticktape.sinks import tables
-from ticktape.sources import event_feed as feed
 from ticktape.sources import filter_config, frames
 from ticktape.streaming import prices, trades, workdir
 
@@ -350,6 +350,58 @@ def price_action_buckets(spark, sf_dir):
     return price_action.price_action(bars, 50.0, arrival=price_action.arrival_of(bars, bucket_bits=8)).select(*_ACTION)
 
 
+def price_action_hour(spark, sf_dir):
+    """Bars whose open and close differ, so that a pair's first bar tells what it is compared with."""
+    return price_action.price_action(_hour_bars(spark, sf_dir), 50.0).select(*_ACTION)
+
+
+def _odd_bars(bars: DataFrame) -> DataFrame:
+    """Bars with zero and negative prices among them, and closes that equal their open."""
+    seq, opened, close = F.col("ingest_seq"), F.col("open"), F.col("close")
+    return bars.withColumns({
+        "open": F.when(seq % 5 == 0, F.lit(0.0)).when(seq % 11 == 1, -opened).otherwise(opened),
+        "close": F.when(seq % 7 == 0, F.lit(0.0)).when(seq % 13 == 1, -close).when(seq % 3 == 0, opened).otherwise(close),
+    })
+
+
+_ODD_SQL = """(SELECT * REPLACE (
+  CASE WHEN ingest_seq % 5 = 0 THEN 0.0::DOUBLE WHEN ingest_seq % 11 = 1 THEN -open ELSE open END AS open,
+  CASE WHEN ingest_seq % 7 = 0 THEN 0.0::DOUBLE WHEN ingest_seq % 13 = 1 THEN -close WHEN ingest_seq % 3 = 0 THEN open ELSE close END AS close)
+  FROM fx_hour)"""
+
+
+def _plain_pct(measured: DataFrame) -> DataFrame:
+    """Not-a-number as NULL and infinities as large numbers, so that any engine compares them alike."""
+    pct = F.col("pct")
+    plain = F.when(F.isnan(pct), None).when(F.abs(pct) == float("inf"), F.signum(pct) * 1e300).otherwise(pct)
+    return measured.withColumn("pct", plain)
+
+
+def _plain_pct_sql(action: str) -> str:
+    return f"""SELECT * REPLACE (CASE WHEN isnan(pct) THEN NULL WHEN isinf(pct) THEN sign(pct) * 1e300::DOUBLE ELSE pct END AS pct)
+FROM ({action})"""
+
+
+def price_action_odd_prices(spark, sf_dir):
+    return _plain_pct(price_action.price_action(_odd_bars(_hour_bars(spark, sf_dir)), 50.0)).select(*_ACTION)
+
+
+def price_action_odd_prices_bar(spark, sf_dir):
+    return _plain_pct(price_action.price_action(_odd_bars(_hour_bars(spark, sf_dir)), 50.0, scope="bar")).select(*_ACTION)
+
+
+def price_action_sparse(spark, sf_dir):
+    """Sequence numbers far apart, as microseconds are."""
+    bars = _all_bars(spark, sf_dir).withColumn("ingest_seq", F.col("ingest_seq") * 200_003)
+    return price_action.price_action(bars, 50.0, arrival=price_action.arrival_of(bars, bucket_bits=10)).select(*_ACTION)
+
+
+def price_action_small_files(spark, sf_dir):
+    """Every bar from a file of its own."""
+    bars = _all_bars(spark, sf_dir).withColumn("ingest_src", F.format_string("f%020d#0", "ingest_seq")).withColumn("ingest_seq", F.lit(0).cast("long"))
+    return price_action.price_action(bars, 50.0, arrival=price_action.arrival_of(bars, bucket_bits=10)).select(*_ACTION)
+
+
 def price_action_by_time(spark, sf_dir):
     """Bars without arrival columns, taken in order of their end time."""
     return price_action.price_action(_minute_bars(spark, sf_dir).drop("ingest_seq"), 50.0).select(*_ACTION)
@@ -364,7 +416,7 @@ def _action_sql(bars: str, last: str, threshold: float = 50.0) -> str:
   CASE WHEN close > last THEN 'up' WHEN close < last THEN 'down' ELSE 'same' END AS direction,
   (close - last) / last * 100.0::DOUBLE AS pct,
   CASE WHEN abs((close - last) / last * 100.0::DOUBLE) > {threshold}::DOUBLE AND NOT isnan((close - last) / last)
-       THEN CASE WHEN close > last THEN 'spike' ELSE 'drop' END END AS kind
+       THEN CASE WHEN (close - last) / last > 0 THEN 'spike' ELSE 'drop' END END AS kind
 FROM (SELECT *, {last} AS last FROM {bars})"""
 
 
@@ -435,6 +487,37 @@ def persist_all_families(spark, sf_dir):
     return out
 
 
+def _read_back(spark, events: DataFrame, family: S.Family) -> DataFrame:
+    root = workdir.new_folder(spark, "tables")
+    tables.write_table(events, family, root)
+    return tables.read_table(spark, family, root)
+
+
+def _dated() -> Column:
+    return F.col("event_date").cast("string").alias("event_date")
+
+
+def persist_quotes(spark, sf_dir):
+    return _show(_read_back(spark, feed.quotes(_trades(spark, sf_dir)), S.QUOTE), S.QUOTE, _dated())
+
+
+def persist_books(spark, sf_dir):
+    return _book_levels(_read_back(spark, feed.books(_trades(spark, sf_dir)), S.BOOK))
+
+
+def persist_bars(spark, sf_dir):
+    return _show(_read_back(spark, _all_bars(spark, sf_dir), S.BAR), S.BAR, _dated())
+
+
+def flow_stored_families(spark, sf_dir):
+    """Quotes and bars that the batch flow stores next to its matches, for the topics asked for."""
+    root = workdir.new_folder(spark, "flow")
+    wanted = ["XQ.BTC-USD", "XA.*"]
+    market.run_batch(_all_frames(spark, sf_dir), root, topic_names=wanted, threshold=50.0, store=(S.QUOTE, S.BAR))
+    stored = [tables.read_table(spark, f, root).select("event_type", "pair", "timestamp", _dated()) for f in (S.QUOTE, S.BAR)]
+    return stored[0].unionByName(stored[1])
+
+
 def flow_trades(spark, sf_dir):
     """Frames to split, decode, default topics, default filter and stored row: the flagship."""
     found = market.trade_matches(feed.mixed_frames(_trades(spark, sf_dir)))
@@ -504,6 +587,54 @@ def stream_price_action(spark, sf_dir):
     return prices.read_price_action(spark, f"{work}/prices").select(*_ACTION)
 
 
+def _run(stream) -> None:
+    stream.trigger(availableNow=True).start().awaitTermination()
+
+
+def stream_rejects(spark, sf_dir):
+    """What the trade stream could not read, with its reason."""
+    work = workdir.new_folder(spark, "stream")
+    feed.damaged_frames(_trades(spark, sf_dir)).write.parquet(f"{work}/landed")
+    landed = frames.stream_frame_table(spark, f"{work}/landed", max_files=3)
+    _run(trades.persist_matches(landed, f"{work}/root", f"{work}/checkpoint"))
+    found = spark.read.parquet(f"{work}/root/rejects")
+    return found.select("ingest_seq", F.col("pos").cast("long").alias("pos"), "reason")
+
+
+def persist_stream_then_batch(spark, sf_dir):
+    """A stream and a batch job, each with half of the frames, append to one trade table."""
+    work = workdir.new_folder(spark, "stream")
+    all_frames = feed.mixed_frames(_trades(spark, sf_dir))
+    odd = F.col("ingest_seq") % 8 >= 4
+    all_frames.where(odd).write.parquet(f"{work}/landed")
+    _run(trades.persist_matches(frames.stream_frame_table(spark, f"{work}/landed"), f"{work}/root", f"{work}/checkpoint"))
+    market.run_batch(all_frames.where(~odd), f"{work}/root")
+    return _show(tables.read_table(spark, S.TRADE, f"{work}/root"), S.TRADE, "filter_id", _dated())
+
+
+def stream_new_checkpoint(spark, sf_dir):
+    """Two streams with a checkpoint each read the same frames into one table, which keeps the rows of both."""
+    work = workdir.new_folder(spark, "stream")
+    feed.mixed_frames(_trades(spark, sf_dir)).select("frame").write.text(f"{work}/landed")
+    for n in (1, 2):
+        landed = frames.stream_text_frames(spark, f"{work}/landed", max_files=3)
+        _run(trades.persist_matches(landed, f"{work}/root", f"{work}/checkpoint-{n}"))
+    return _show(tables.read_table(spark, S.TRADE, f"{work}/root"), S.TRADE, "filter_id", _dated())
+
+
+def alerts_two_runs(spark, sf_dir):
+    """A stream with a new checkpoint and a batch job add their alerts to those of an earlier stream."""
+    work = workdir.new_folder(spark, "stream")
+    bars = feed.family_frames(_hour_bars(spark, sf_dir), S.BAR)
+    bars.write.parquet(f"{work}/landed")
+    for n in (1, 2):
+        landed = frames.stream_frame_table(spark, f"{work}/landed", max_files=10_000)
+        _run(trades.persist_alerts(landed, f"{work}/root", f"{work}/checkpoint-{n}", 50.0, topic_names=None))
+    market.run_batch(spark.read.parquet(f"{work}/landed"), f"{work}/root", topic_names=None, threshold=50.0)
+    found = spark.read.parquet(f"{work}/root/alerts")
+    return found.select("pair", "kind", "pct", "last", "close", "event_type", "timestamp")
+
+
 # --- the registry -----------------------------------------------------------------------------------
 
 _TOPIC_PAIRS = "pair IN ('BTC-USD', 'ETH-USD', 'LINK-USD')"
@@ -570,6 +701,11 @@ _REGISTRY: dict[str, tuple[Query, str]] = {
     "price_action_pair": (price_action_pair, _action_sql("fx_minute", _LAG)),
     "price_action_mixed": (price_action_mixed, _action_sql("fx_bars", _LAG)),
     "price_action_buckets": (price_action_buckets, _action_sql("fx_bars", _LAG)),
+    "price_action_hour": (price_action_hour, _action_sql("fx_hour", _LAG)),
+    "price_action_odd_prices": (price_action_odd_prices, _plain_pct_sql(_action_sql(_ODD_SQL, _LAG))),
+    "price_action_odd_prices_bar": (price_action_odd_prices_bar, _plain_pct_sql(_action_sql(_ODD_SQL, "open"))),
+    "price_action_sparse": (price_action_sparse, _action_sql("fx_bars", _LAG)),
+    "price_action_small_files": (price_action_small_files, _action_sql("fx_bars", _LAG)),
     "price_action_by_time": (
         price_action_by_time,
         _action_sql("fx_minute", "coalesce(lag(close) OVER (PARTITION BY pair ORDER BY end_time), open)"),
@@ -598,6 +734,14 @@ _REGISTRY: dict[str, tuple[Query, str]] = {
         f"SELECT code AS event_type, {_DATE}, timestamp FROM fx_trades, (VALUES ('XT'), ('XQ'), ('XL2')) c(code) "
         f"UNION ALL SELECT event_type, {_DATE}, timestamp FROM fx_bars) GROUP BY event_type, event_date",
     ),
+    "persist_quotes": (persist_quotes, f"SELECT {_QUOTE_COLUMNS}, {_DATE} FROM fx_quotes"),
+    "persist_books": (persist_books, _BOOK_SQL),
+    "persist_bars": (persist_bars, f"SELECT {_BAR_COLUMNS}, {_DATE} FROM fx_bars"),
+    "flow_stored_families": (
+        flow_stored_families,
+        f"SELECT event_type, pair, timestamp, {_DATE} FROM fx_quotes WHERE pair = 'BTC-USD' UNION ALL "
+        f"SELECT event_type, pair, timestamp, {_DATE} FROM fx_minute",
+    ),
     "flow_trades": (flow_trades, _FLOW_TRADES.format(date=_DATE)),
     "flow_batch": (flow_batch, _FLOW_SQL),
     "stream_filter_persist": (stream_filter_persist, _FLOW_TRADES.format(date="").replace("filter_id,  FROM", "filter_id FROM")),
@@ -606,6 +750,13 @@ _REGISTRY: dict[str, tuple[Query, str]] = {
         f"SELECT ingest_seq, pos, 'reject' AS family, reason FROM ({_REJECTS_SQL}) UNION ALL "
         "SELECT ingest_seq, CAST(0 AS BIGINT), 'trade', NULL FROM fx_trades WHERE ingest_seq % 11 IN (0, 4)",
     ),
+    "stream_rejects": (stream_rejects, _REJECTS_SQL),
+    "persist_stream_then_batch": (persist_stream_then_batch, _FLOW_TRADES.format(date=_DATE)),
+    "stream_new_checkpoint": (stream_new_checkpoint, " UNION ALL ".join([_FLOW_TRADES.format(date=_DATE)] * 2)),
+    "alerts_two_runs": (
+        alerts_two_runs,
+        " UNION ALL ".join([f"SELECT {_ALERT_COLUMNS} FROM ({_action_sql('fx_hour', _LAG)}) WHERE kind IS NOT NULL"] * 3),
+    ),
     "stream_price_action": (stream_price_action, _action_sql("fx_bars", _LAG)),
 }
 

@@ -123,13 +123,14 @@ MINUTE_BAR, SECOND_BAR = "XA", "XAS"
 
 FAMILIES: dict[str, Family] = {f.name: f for f in (TRADE, QUOTE, BAR, BOOK)}
 EVENT_TYPES: tuple[str, ...] = tuple(t for f in FAMILIES.values() for t in f.event_types)
-FAMILY_OF: dict[str, Family] = {t: f for f in FAMILIES.values() for t in f.event_types}
 
 # Columns that say where an event came from.  They travel next to the event and are not part of it.
-ARRIVAL_COLUMNS = ("ingest_ts", "ingest_src", "ingest_seq", "pos")
+ARRIVAL_TYPES = {"ingest_ts": T.TimestampType(), "ingest_src": T.StringType(), "ingest_seq": T.LongType(), "pos": T.IntegerType()}
+ARRIVAL_COLUMNS = tuple(ARRIVAL_TYPES)
 
 # Reject reasons.
 BAD_JSON = "bad_json"
+NAME_TOO_LONG = "name_too_long"
 UNKNOWN_EVENT_TYPE = "unknown_event_type"
 SCHEMA_MISMATCH = "schema_mismatch"
 

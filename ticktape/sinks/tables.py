@@ -1,11 +1,19 @@
-"""Append-only event tables: Parquet partitioned by event date, or any JDBC table.
+"""Append-only event tables: Parquet partitioned by run, batch and event date, or any JDBC table.
 
 A row holds the family's table columns, the arrival columns and, for filter matches, ``filter_id``.  The
-arrival columns with ``filter_id`` identify a row, so no serial number is made up.
+run, the arrival columns and ``filter_id`` identify a row, so no serial number is made up.
+
+Every writer, batch or stream, writes ``run=<run>/batch_id=<n>/`` below the table's folder, so any number of them
+may share one.  A batch job is a run of its own; a stream's run is kept in its checkpoint, so that a micro-batch that
+is run again overwrites what it wrote and a new checkpoint never touches an older one's rows.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,8 +35,7 @@ def event_date(timestamp_ms: Column) -> Column:
 def table_rows(events: DataFrame, family: S.Family, conditions: str = "keep") -> DataFrame:
     """Events as table rows.  A missing value in a required column is an error.
 
-    ``conditions='as_run'`` stores trades the way the original service does when it runs: with the plain
-    trade code and no conditions.
+    ``conditions='as_run'`` stores trades with the plain trade code and no conditions.
     """
     if conditions not in ("keep", "as_run"):
         raise ValueError(f"conditions must be 'keep' or 'as_run', not {conditions!r}")
@@ -51,47 +58,84 @@ def table_path(root: str, family: S.Family) -> str:
     return f"{root.rstrip('/')}/{family.name}s"
 
 
+def new_run() -> str:
+    """The name of a run that nobody has used yet."""
+    return f"r-{uuid.uuid4().hex}"
+
+
+def stream_run(spark: SparkSession, checkpoint: str) -> str:
+    """The run of a checkpoint: made up once and kept inside it."""
+    path = f"{checkpoint.rstrip('/')}/run"
+    try:
+        return spark.read.schema("run STRING").json(path).first()["run"]
+    except AnalysisException:  # the checkpoint is new
+        run = new_run()
+        spark.createDataFrame([(run,)], "run STRING").coalesce(1).write.json(path)
+        return run
+
+
+def append(rows: DataFrame, path: str, run: str | None = None, batch_id: int = 0, by: str | None = "event_date") -> None:
+    """Rows of one run and batch, partitioned by ``by``.  The same run and batch written again is replaced."""
+    writer = rows.write.mode("overwrite")
+    if by is not None:
+        writer = writer.partitionBy(by)
+    writer.parquet(f"{path.rstrip('/')}/run={run or new_run()}/batch_id={batch_id}")
+
+
 def write_table(
-    events: DataFrame, family: S.Family, root: str, conditions: str = "keep", mode: str = "append", rebalance: bool = True
+    events: DataFrame, family: S.Family, root: str, conditions: str = "keep", run: str | None = None, batch_id: int = 0,
+    rebalance: bool = True,
 ) -> None:
     """Append events to the family's table.
 
     ``rebalance`` lets Spark even out the files: small dates share a task, a large one is split over many.
     """
     rows = table_rows(events, family, conditions)
-    if rebalance:
-        rows = rows.hint("rebalance", "event_date")
-    rows.write.mode(mode).partitionBy("event_date").parquet(table_path(root, family))
+    append(rows.hint("rebalance", "event_date") if rebalance else rows, table_path(root, family), run, batch_id)
 
 
 def read_table(spark: SparkSession, family: S.Family, root: str) -> DataFrame:
-    """The family's table, as written."""
-    return spark.read.parquet(table_path(root, family))
+    """The family's table, as written by all runs.  Columns that a run did not have are NULL."""
+    arrival = [T.StructField(c, S.ARRIVAL_TYPES[c]) for c in S.ARRIVAL_COLUMNS]
+    schema = T.StructType([*family.table_schema.fields, *arrival, T.StructField("filter_id", T.StringType())])
+    return spark.read.schema(schema).parquet(table_path(root, family))
+
+
+def for_each(frames: DataFrame, checkpoint: str, write: Callable[[DataFrame, str, int], None]) -> DataStreamWriter:
+    """A stream whose micro-batches ``write`` gets, each with the checkpoint's run and its own number."""
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        write(batch, stream_run(batch.sparkSession, checkpoint), batch_id)
+
+    return frames.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
 
 
 def stream_table(
     events: DataFrame, family: S.Family, root: str, checkpoint: str, conditions: str = "keep"
 ) -> DataStreamWriter:
     """Append a stream of events to the family's table, exactly once.  Add a trigger and start it."""
-    return (
-        table_rows(events, family, conditions)
-        .writeStream.format("parquet")
-        .outputMode("append")
-        .partitionBy("event_date")
-        .option("path", table_path(root, family))
-        .option("checkpointLocation", checkpoint)
-    )
 
+    def write(batch: DataFrame, run: str, batch_id: int) -> None:
+        write_table(batch, family, root, conditions, run, batch_id, rebalance=False)
 
-def write_staged(staged: DataFrame, path: str, mode: str = "append") -> None:
+    return for_each(events, checkpoint, write)
+
+
+def write_staged(staged: DataFrame, path: str, run: str | None = None, batch_id: int = 0) -> None:
     """Write ``stage_events`` output: every family and the rejects of one pass over the frames."""
-    staged.write.mode(mode).partitionBy("family").parquet(path)
+    append(staged, path, run, batch_id, by="family")
 
 
-def write_alerts(alerts: DataFrame, path: str, mode: str = "append") -> None:
-    """Publish alerts to a table, by UTC date."""
+def write_alerts(alerts: DataFrame, path: str, run: str | None = None, batch_id: int = 0, rebalance: bool = True) -> None:
+    """Publish alerts, or any measured bars, to a table by UTC date."""
     dated = alerts.withColumn("event_date", event_date(F.col("timestamp")))
-    dated.hint("rebalance", "event_date").write.mode(mode).partitionBy("event_date").parquet(path)
+    append(dated.hint("rebalance", "event_date") if rebalance else dated, path, run, batch_id)
+
+
+def write_rejects(staged: DataFrame, root: str, run: str | None = None, batch_id: int = 0) -> None:
+    """The rejects among ``stage_events`` rows, with their reason."""
+    columns = [*S.arrival_columns(staged.columns), "raw", "reason"]
+    append(staged.where(F.col("family") == "reject").select(*columns), f"{root.rstrip('/')}/rejects", run, batch_id, by=None)
 
 
 def database_rows(events: DataFrame, family: S.Family, conditions: str = "keep") -> DataFrame:

@@ -5,8 +5,6 @@ Every source gives ``frame`` plus ``ingest_*`` columns that say in which order f
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,25 +14,33 @@ FRAME_TABLE_SCHEMA = "ingest_seq BIGINT, frame STRING"
 def spread(df: DataFrame) -> DataFrame:
     """A freshly read table, dealt out to all cores if it has fewer splits than there are cores.
 
-    Decoding costs far more than moving a small table.  A table with splits enough stays where it is.
+    Decoding costs far more than moving a small table.  A table with splits enough stays where it is: shuffling a
+    large table of frames would cost more than uneven splits do.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def read_text_frames(spark: SparkSession, path: str, line_sep: str = "\n") -> DataFrame:
-    """Landed text files, one frame to a line.
+def numbered(frames: DataFrame) -> DataFrame:
+    """Text frames with ``ingest_seq``, their order inside a file block.  Not for a stream itself, but for its
+    micro-batches."""
+    return frames if "ingest_seq" in frames.columns else frames.withColumn("ingest_seq", F.monotonically_increasing_id())
 
-    Files arrive by modification time and name; inside a file, blocks and lines keep their order.
-    """
-    lines = spark.read.option("lineSep", line_sep).text(path)
-    numbered = lines.select(
+
+def _text_lines(lines: DataFrame) -> DataFrame:
+    return lines.select(
         F.col("value").alias("frame"),
         F.col("_metadata.file_modification_time").alias("ingest_ts"),
         F.format_string("%s#%020d", "_metadata.file_path", "_metadata.file_block_start").alias("ingest_src"),
-        F.monotonically_increasing_id().alias("ingest_seq"),
     )
-    return spread(numbered)
+
+
+def read_text_frames(spark: SparkSession, path: str, line_sep: str = "\n") -> DataFrame:
+    """Landed text files, one frame to a line.
+
+    Files arrive by modification time and name; inside a file, blocks and lines keep their order.
+    """
+    return spread(numbered(_text_lines(spark.read.option("lineSep", line_sep).text(path))))
 
 
 def read_frame_table(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
@@ -43,36 +49,12 @@ def read_frame_table(spark: SparkSession, path: str, file_format: str = "parquet
 
 
 def stream_text_frames(spark: SparkSession, path: str, max_files: int = 100, line_sep: str = "\n") -> DataFrame:
-    """Text files as they land.  Order is known between files only; filters do not need more.
+    """Text files as they land, a frame to a line, each with its file and block.
 
-    ``max_files`` per micro-batch is the back-pressure.
+    A stream cannot number its lines; ``numbered`` does in its micro-batches, which gives every frame its place as
+    in ``read_text_frames``.  ``max_files`` per micro-batch is the back-pressure.
     """
-    lines = spark.readStream.option("maxFilesPerTrigger", max_files).option("lineSep", line_sep).text(path)
-    return lines.select(
-        F.col("value").alias("frame"),
-        F.col("_metadata.file_modification_time").alias("ingest_ts"),
-        F.format_string("%s#%020d", "_metadata.file_path", "_metadata.file_block_start").alias("ingest_src"),
-    )
-
-
-def stream_ordered_text_frames(spark: SparkSession, path: str, max_files: int = 100, line_sep: str = "\n") -> DataFrame:
-    """Text files as they land, with line numbers, for work that depends on arrival order.
-
-    A stream cannot number lines as it reads them, so each file is read as one value: land files of
-    a size that one task can hold.
-    """
-    files = spark.readStream.option("maxFilesPerTrigger", max_files).option("wholetext", True).text(path)
-    lines = F.split("value", re.escape(line_sep))
-    ended = F.when(F.element_at("lines", -1) == "", F.slice("lines", 1, F.size("lines") - 1)).otherwise(F.col("lines"))
-    return (
-        files.select(
-            lines.alias("lines"),
-            F.col("_metadata.file_modification_time").alias("ingest_ts"),
-            F.col("_metadata.file_path").alias("ingest_src"),
-        )
-        .select("ingest_ts", "ingest_src", F.posexplode(ended).alias("line", "frame"))
-        .select("frame", "ingest_ts", "ingest_src", F.col("line").cast("long").alias("ingest_seq"))
-    )
+    return _text_lines(spark.readStream.option("maxFilesPerTrigger", max_files).option("lineSep", line_sep).text(path))
 
 
 def stream_frame_table(
@@ -87,23 +69,30 @@ def stream_frame_table(
     )
 
 
-def kafka_frames(spark: SparkSession, servers: str, topic: str, max_offsets: int | None = None, stream: bool = True) -> DataFrame:
-    """Frames from a Kafka topic keyed by pair, so that offsets order the frames of a pair.
+def kafka_frames(
+    spark: SparkSession, servers: str, topic: str, max_offsets: int | None = 100_000, stream: bool = True
+) -> DataFrame:
+    """Frames from a Kafka topic, ``max_offsets`` of them per micro-batch at most.
 
     Needs the Kafka connector on the class path.
     """
     reader = (spark.readStream if stream else spark.read).format("kafka")
     reader = reader.option("kafka.bootstrap.servers", servers).option("subscribe", topic)
-    if max_offsets is not None:
+    if max_offsets is not None and stream:
         reader = reader.option("maxOffsetsPerTrigger", max_offsets)
     return kafka_records(reader.load())
 
 
 def kafka_records(records: DataFrame) -> DataFrame:
-    """The frame columns of raw topic records."""
+    """The frame columns of raw topic records.
+
+    A frame may hold several pairs, so a topic is not keyed by pair: records are ordered by their time first,
+    and by partition and offset where that is equal.
+    """
     source: Column = F.format_string("%s#%010d", "topic", "partition")
     return records.select(
-        F.col("value").cast("string").alias("frame"), source.alias("ingest_src"), F.col("offset").alias("ingest_seq")
+        F.col("value").cast("string").alias("frame"), F.col("timestamp").alias("ingest_ts"), source.alias("ingest_src"),
+        F.col("offset").alias("ingest_seq"),
     )
 
 

@@ -13,9 +13,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 
-from ticktape.operators.price_action import DEFAULT_THRESHOLD, last_prices, price_action
+from ticktape.operators.price_action import DEFAULT_THRESHOLD, arrival_of, last_prices, price_action
+from ticktape.sinks import tables
 
 _STATE_SCHEMA = "pair STRING, last DOUBLE"
+Keep = Callable[[DataFrame], DataFrame]
 
 
 def price_action_stream(
@@ -24,31 +26,38 @@ def price_action_stream(
     checkpoint: str,
     threshold: float = DEFAULT_THRESHOLD,
     scope: str = "pair",
-    keep: Callable[[DataFrame], DataFrame] = lambda measured: measured,
+    keep: Keep = lambda measured: measured,
 ) -> DataStreamWriter:
-    """The stream that writes ``price_action`` rows of a stream of bars under ``output``.
+    """The stream that writes ``price_action`` rows of a stream of bars under ``output``, by run, batch and date.
 
     ``bars`` needs ``ingest_seq``: rows of a micro-batch come in no particular order.  ``keep`` says what of
     the measured bars is written; pass ``alerts`` for spikes and drops only.
     """
     if scope == "pair" and "ingest_seq" not in bars.columns:
         raise ValueError("streaming bars need ingest_seq to know their arrival order")
-    state = f"{checkpoint.rstrip('/')}-prices"
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        target = f"{output.rstrip('/')}/batch_id={batch_id}"
-        if scope == "bar":
-            keep(price_action(batch, threshold, scope="bar")).write.mode("overwrite").parquet(target)
-            return
+    def write(batch: DataFrame, run: str, batch_id: int) -> None:
         batch.persist()
         try:
-            carried = _read_prices(batch.sparkSession, state, batch_id)
-            keep(price_action(batch, threshold, carried=carried)).write.mode("overwrite").parquet(target)
-            last_prices(batch, carried=carried).write.mode("overwrite").parquet(_slot(state, batch_id))
+            measure(batch, output, checkpoint, run, batch_id, threshold, scope, keep)
         finally:
             batch.unpersist()
 
-    return bars.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return tables.for_each(bars, checkpoint, write)
+
+
+def measure(
+    bars: DataFrame, output: str, checkpoint: str, run: str, batch_id: int, threshold: float, scope: str, keep: Keep
+) -> None:
+    """One micro-batch of bars: measured against the carried prices, written, and the prices carried on."""
+    if scope == "bar":
+        tables.write_alerts(keep(price_action(bars, threshold, scope="bar")), output, run, batch_id, rebalance=False)
+        return
+    state = f"{checkpoint.rstrip('/')}-prices"
+    carried, arrival = _read_prices(bars.sparkSession, state, batch_id), arrival_of(bars)
+    measured = price_action(bars, threshold, arrival=arrival, carried=carried)
+    tables.write_alerts(keep(measured), output, run, batch_id, rebalance=False)
+    last_prices(bars, arrival, carried).write.mode("overwrite").parquet(_slot(state, batch_id))
 
 
 def _slot(state: str, batch_id: int) -> str:
@@ -63,5 +72,5 @@ def _read_prices(spark: SparkSession, state: str, batch_id: int) -> DataFrame:
 
 
 def read_price_action(spark: SparkSession, output: str) -> DataFrame:
-    """Everything the stream has written so far."""
+    """Everything the streams have written so far."""
     return spark.read.parquet(output)

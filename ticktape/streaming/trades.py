@@ -1,15 +1,18 @@
-"""Streaming trades: frames to typed trades to filter matches to the trade table.  Stateless."""
+"""Streams of frames to tables: filter matches, whole families, price alerts; each with its rejects."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ticktape import schemas as S
-from ticktape.operators import decode, filters, topics
+from ticktape.operators import decode, filters, price_action, topics
 from ticktape.sinks import tables
+from ticktape.sources import frames as frame_sources
+from ticktape.streaming import prices
 
 
 def matches(
@@ -33,17 +36,77 @@ def persist_matches(
     topic_names: Iterable[str] | None = topics.DEFAULT_TOPICS,
     conditions: str = "keep",
 ) -> DataStreamWriter:
-    """The stream that appends ``matches`` to the trade table under ``root``."""
-    return tables.stream_table(matches(frames, event_filters, topic_names), S.TRADE, root, checkpoint, conditions)
+    """The stream that appends ``matches`` to the trade table under ``root``, and what cannot be read to ``rejects``."""
+    chosen = {"default": filters.parameterized()} if event_filters is None else event_filters
+    topic_names = None if topic_names is None else list(topic_names)
+
+    def write(staged: DataFrame, run: str, batch_id: int) -> None:
+        trades = decode.staged_family(staged, S.TRADE)
+        if topic_names is not None:
+            trades = topics.topic_filter(trades, topic_names)
+        found = filters.fan_out(trades, chosen, S.TRADE)
+        tables.write_table(found, S.TRADE, root, conditions, run, batch_id, rebalance=False)
+        tables.write_rejects(staged, root, run, batch_id)
+
+    return _each_staged(frames, checkpoint, (S.TRADE,), write)
+
+
+def persist_families(
+    frames: DataFrame, root: str, checkpoint: str, families: Iterable[S.Family] = (S.QUOTE, S.BOOK, S.BAR),
+    topic_names: Iterable[str] | None = None,
+) -> DataStreamWriter:
+    """The stream that appends the events of ``families`` to their tables under ``root``, and the rejects."""
+    families = tuple(families)
+    topic_names = None if topic_names is None else list(topic_names)
+
+    def write(staged: DataFrame, run: str, batch_id: int) -> None:
+        for family in families:
+            events = decode.staged_family(staged, family)
+            events = events if topic_names is None else topics.topic_filter(events, topic_names)
+            tables.write_table(events, family, root, run=run, batch_id=batch_id, rebalance=False)
+        tables.write_rejects(staged, root, run, batch_id)
+
+    return _each_staged(frames, checkpoint, families, write)
+
+
+def persist_alerts(
+    frames: DataFrame, root: str, checkpoint: str, threshold: float = price_action.DEFAULT_THRESHOLD, scope: str = "pair",
+    topic_names: Iterable[str] | None = topics.DEFAULT_TOPICS,
+) -> DataStreamWriter:
+    """The stream that appends spikes and drops to ``alerts`` under ``root``, and what cannot be read to ``rejects``."""
+    topic_names = None if topic_names is None else list(topic_names)
+    output = f"{root.rstrip('/')}/alerts"
+
+    def write(staged: DataFrame, run: str, batch_id: int) -> None:
+        bars = decode.staged_family(staged, S.BAR)
+        bars = bars if topic_names is None else topics.topic_filter(bars, topic_names)
+        prices.measure(bars, output, checkpoint, run, batch_id, threshold, scope, price_action.alerts)
+        tables.write_rejects(staged, root, run, batch_id)
+
+    return _each_staged(frames, checkpoint, (S.BAR,), write)
 
 
 def persist_staged(frames: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     """The stream that stages every event and reject of ``frames`` in one pass."""
-    return (
-        decode.stage_events(frames)
-        .writeStream.format("parquet")
-        .outputMode("append")
-        .partitionBy("family")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-    )
+
+    def write(batch: DataFrame, run: str, batch_id: int) -> None:
+        tables.write_staged(decode.stage_events(frame_sources.numbered(batch)), path, run, batch_id)
+
+    return tables.for_each(frames, checkpoint, write)
+
+
+def _each_staged(frames: DataFrame, checkpoint: str, families: Iterable[S.Family], write) -> DataStreamWriter:
+    """Each micro-batch split and decoded once; ``write`` gets the events of ``families`` and the rejects.
+
+    The decoded rows are kept by the executors while they are read; a lost block is decoded again.
+    """
+    wanted = [*(f.name for f in families), "reject"]
+
+    def one(batch: DataFrame, run: str, batch_id: int) -> None:
+        staged = decode.stage_events(frame_sources.numbered(batch)).where(F.col("family").isin(*wanted)).persist()
+        try:
+            write(staged, run, batch_id)
+        finally:
+            staged.unpersist()
+
+    return tables.for_each(frames, checkpoint, one)
