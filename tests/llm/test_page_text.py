@@ -28,6 +28,16 @@ def test_boilerplate_is_left_out():
     assert min_cut.main_text(loose) == want
 
 
+def test_names_that_mislead():
+    inner = f'<div class="article-header"><h1>Old bridge</h1></div><p>{STORY}</p><p>{MORE}</p><div class="article-footer">Filed under the bridges.</div>'
+    want = f"Old bridge\n\n{STORY}\n\n{MORE}"
+    assert min_cut.main_text(page(inner)) == want
+    assert min_cut.main_text(f'<body class="home"><div class="layout has-sidebar">{page(inner)}<div class="sidebar-wrapper"><p>{MORE}</p></div></div>') == want
+    assert min_cut.main_text(f'<body><form id="whole"><p>Search the site of the town for it.</p><main>{inner}</main></form>') == want
+    replies = f'<div id="comments"><article class="comment"><p>{MORE}</p></article></div>'
+    assert min_cut.main_text(page(inner, after=replies)) == want
+
+
 def test_markup_inside_blocks():
     cases = {
         "<p>a  <b>bold</b>\n\tword<br>next</p>": "a bold word next",

@@ -7,7 +7,7 @@ edges, so that a block is only labelled against its surroundings if its own evid
 minimum cut of that graph, found by maximum flow, is the cheapest labelling.
 
 Costs and ties are whole numbers, so the cut is exact; of several minimum cuts, the one with the most content is taken.
-What can never be text (scripts, styles, comments, forms, the head) is left out before labelling.
+What can never be text (scripts, styles, markup comments, form fields, the head) is left out before labelling.
 
 Defined cases: null or empty html has an empty text, and so has a page without content; a tag that is not closed at the
 end of the page is dropped; repeated rows are extracted each; other columns are not looked at.
@@ -34,7 +34,7 @@ _BLOCK_TAGS = frozenset(
     "form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section "
     "summary table tbody td tfoot th thead tr ul".split()
 )
-_NO_TEXT = frozenset("script style noscript template head title svg math object iframe textarea select button form input datalist canvas audio video".split())
+_NO_TEXT = frozenset("script style noscript template head title svg math object iframe textarea select button input datalist canvas audio video".split())
 _RAW = frozenset("script style textarea title noscript iframe template svg math select object canvas audio video".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES_P = _BLOCK_TAGS - frozenset("body html caption tbody td tfoot th thead tr legend option optgroup".split())
@@ -49,6 +49,8 @@ _BOILER_NAMES = frozenset(
     "sponsors subscribe subscription tags taboola toc toolbar topbar topnav trending warning widget widgets alert".split()
 )
 _CONTENT_NAMES = frozenset("article articlebody body content contents entry main maincontent post postbody story text".split())
+# Names that only describe the page's layout, and names of parts that an article may have too.
+_LAYOUT_NAMES, _OWN_PARTS = frozenset("has with without no layout".split()), frozenset(["header"])
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _COMMON = frozenset(ANCHORS)
 
@@ -70,7 +72,10 @@ def _attributes(text: str) -> tuple[int, bool]:
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
             names = set(_NAME.findall(_CAMEL.sub(r"\1 \2", value).lower()))
-            if names & _BOILER_NAMES:
+            boiler = names & _BOILER_NAMES
+            if names & _CONTENT_NAMES:
+                boiler -= _OWN_PARTS
+            if boiler and not names & _LAYOUT_NAMES:
                 says = -1
             elif names & _CONTENT_NAMES and not says:
                 says = 1
@@ -84,7 +89,7 @@ def _attributes(text: str) -> tuple[int, bool]:
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "depth", "boiler", "content", "silent", "link")
+    __slots__ = ("tag", "parent", "depth", "boiler", "in_form", "content", "silent", "link")
 
     def __init__(self, tag: str, parent: _Element | None, says: int = 0, hidden: bool = False):
         self.tag, self.parent = tag, parent
@@ -93,6 +98,8 @@ class _Element:
         heading = tag == "header" and not inside
         named = says < 0 and tag not in ("html", "body", "article", "main")
         self.boiler = (parent is not None and parent.boiler) or tag in _BOILER_TAGS or heading or named
+        # a form may be wrapped around the whole page: then its article is none of it
+        self.in_form = (tag == "form" or parent is not None and parent.in_form) and tag not in ("article", "main")
         self.content = tag in ("article", "main") or says > 0 and tag not in ("html", "body") or inside
         self.silent = (parent is not None and parent.silent) or tag in _NO_TEXT or hidden
         self.link = tag == "a" or (parent is not None and parent.link)
@@ -214,7 +221,7 @@ def leaning(block: Block) -> float:
     odds += 0.6 if block.text[-1] in ".!?:;\"'”»…" else 0.0
     odds += 3.0 if element.tag in ("h1", "h2", "h3", "h4", "h5", "h6") and element.content else 0.0
     odds += 4.0 if element.content else -0.8
-    odds -= 25.0 if element.boiler else 0.0
+    odds -= 25.0 if element.boiler or element.in_form else 0.0
     return odds
 
 
