@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ticktape.llm import apportion, best_fit, gam, host_rules, simhash_bits, tables
 
@@ -24,7 +25,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sources mixed to their target weights: a document once for every time that it is taken."""
-    return apportion.mix(docs)
+    mixed = apportion.mix(docs)
+    if "n_chars" not in docs.columns:
+        return mixed
+    return mixed.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))  # some texts were cut
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,6 +71,7 @@ def test_pipeline_against_plain_steps(spark, sf_dir):
     took = {r["doc_id"]: r["taken"] for r in apportion.mixed(step).collect()}
     out = corpus_pipeline.run(spark, sf_dir).collect()
     mixed = corpus_pipeline.mixing(spark, step, sf_dir)
+    assert all(r["n_chars"] == len(r["text"]) for r in mixed.collect())
     store = best_fit.WordIds(best_fit.default_vocabulary())
     tokens = sum(len(store.of(r["text"])) // 4 + 1 for r in mixed.collect())
     assert sum(r["length"] for r in out) == tokens

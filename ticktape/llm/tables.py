@@ -2,12 +2,34 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticktape.streaming.workdir import new_folder, shared_folder
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers unless their path leads to it already.
+
+    A job started with ``--py-files`` or from an installed package needs none of this.
+    """
+    context, root = spark.sparkContext, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    found = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if "site-packages" in root or any(os.path.isdir(os.path.join(p or ".", "ticktape", "llm")) for p in found):
+        return
+    if context.applicationId not in _SHIPPED:
+        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "ticktape"), "zip", root, "ticktape")
+        context.addPyFile(archive)
+        _SHIPPED.add(context.applicationId)
+
+
 def text_of(column: str = "text") -> Column:
     """The whole text; a null is an empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -25,10 +47,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
@@ -36,4 +60,4 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-__all__ = ["documents", "labels", "new_folder", "pages", "shared_folder", "text_of", "written"]
+__all__ = ["documents", "labels", "new_folder", "pages", "shared_folder", "ship", "text_of", "written"]
