@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from test_decode import TRADE
 
 from ticktape import schemas as S
-from ticktape.operators import decode
+from ticktape.operators import decode, filters
 from ticktape.operators.price_action import price_action
 from ticktape.plans import market
 from ticktape.sinks import tables
@@ -43,6 +43,18 @@ def test_trade_stream_equals_batch(spark, sf_dir, tmp_path):
     assert tables.read_table(spark, S.TRADE, root).count() == batch.count() + 1
 
 
+@pytest.mark.parametrize("limits", [{}, {"max_broadcast_bytes": 0}, {"max_broadcast_bytes": 0, "salts": 4}])
+def test_trade_stream_with_a_config_table(spark, sf_dir, tmp_path, limits):
+    frames = feed.mixed_frames(feed.trades(feed.read_events(spark, sf_dir)))
+    frames.write.parquet(str(tmp_path / "landed"))
+    chosen = {"table": filters.table_filter(filters.criteria_table(spark, filters.DEFAULT_CRITERIA), **limits)}
+    landed = frame_sources.stream_frame_table(spark, str(tmp_path / "landed"))
+    _run(trades.persist_matches(landed, str(tmp_path / "root"), str(tmp_path / "checkpoint"), chosen))
+    columns = [*S.TRADE.columns, "ingest_seq"]
+    stored = tables.read_table(spark, S.TRADE, str(tmp_path / "root"))
+    assert _rows(stored.select(*columns)) == _rows(market.trade_matches(frames).select(*columns))
+
+
 def _land_bars(spark, bars, path, low, high):
     part = bars.where((F.col("ingest_seq") >= low) & (F.col("ingest_seq") < high))
     feed.family_frames(part, S.BAR).write.mode("append").parquet(path)
