@@ -114,3 +114,25 @@ def test_alert_messages(spark):
     assert row.key == "A"
     value = json.loads(row.value)
     assert (value["kind"], value["pct"], value["last"], value["close"]) == ("spike", 50.0, 100.0, 150.0)
+
+
+def test_alerts_are_passed_on(spark, tmp_path):
+    from ticktape.sources import frames as frame_sources
+    from ticktape.streaming import trades
+
+    frames = _land(tmp_path, [MINUTE.replace('"c":101.5', f'"c":{c}') for c in (101.5, 50, 50.1)])
+    (tmp_path / "landed" / "quiet.txt").write_text(MINUTE.replace('"c":101.5', '"c":50.1'))
+    sent = []
+    landed = frame_sources.stream_text_frames(spark, frames, max_files=1)
+    stream = trades.persist_alerts(
+        landed, str(tmp_path / "root"), str(tmp_path / "checkpoint"), 1.0, also=lambda found: sent.append(publish.alert_messages(found).collect())
+    )
+    stream.trigger(availableNow=True).start().awaitTermination()
+    stored = spark.read.parquet(str(tmp_path / "root" / "alerts"))
+    assert len(sent) == 2 and sum(map(len, sent)) == stored.count() >= 2
+    assert {json.loads(m.value)["close"] for batch in sent for m in batch} == {r["close"] for r in stored.collect()}
+
+
+def test_alerts_topic_needs_servers():
+    with pytest.raises(SystemExit):
+        jobs.main(["alerts", "--frames", "a", "--root", "b", "--checkpoint", "c", "--alerts-topic", "t"])

@@ -19,6 +19,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from ticktape import schemas as S
 from ticktape.operators import filters, price_action, topics
 from ticktape.plans import market
+from ticktape.sinks import publish
 from ticktape.sources import filter_config, frames
 from ticktape.streaming import trades
 
@@ -28,6 +29,8 @@ def _arguments(argv=None) -> argparse.Namespace:
     parser.add_argument("job", choices=["batch", "trades", "alerts", "stage"])
     parser.add_argument("--frames", required=True)
     parser.add_argument("--table", action="store_true", help="--frames is a table of ingest_seq and frame")
+    parser.add_argument("--kafka", metavar="SERVERS", help="--frames names a topic there (needs the connector)")
+    parser.add_argument("--alerts-topic", help="alerts go to this topic as well (alerts job with --kafka)")
     parser.add_argument("--root", required=True)
     parser.add_argument("--checkpoint")
     parser.add_argument("--config", help="saved filter configuration; the built-in one if left out")
@@ -41,6 +44,8 @@ def _arguments(argv=None) -> argparse.Namespace:
     args = parser.parse_args(argv)
     if args.job != "batch" and not args.checkpoint:
         parser.error(f"{args.job} needs --checkpoint")
+    if args.alerts_topic and (args.job != "alerts" or not args.kafka):
+        parser.error("--alerts-topic goes with the alerts job and --kafka")
     return args
 
 
@@ -63,16 +68,20 @@ def main(argv=None) -> None:
     if args.job == "batch":
         read = frames.read_frame_table if args.table else frames.read_text_frames
         chosen = _event_filters(spark, args.config)
-        landed = read(spark, args.frames)
+        landed = frames.kafka_frames(spark, args.kafka, args.frames, stream=False) if args.kafka else read(spark, args.frames)
         market.run_batch(landed, args.root, chosen, wanted, args.threshold, args.scope, args.conditions, families)
         return
-    read = frames.stream_frame_table if args.table else frames.stream_text_frames
-    landed = read(spark, args.frames, max_files=args.max_files)
+    if args.kafka:
+        landed = frames.kafka_frames(spark, args.kafka, args.frames)
+    else:
+        read = frames.stream_frame_table if args.table else frames.stream_text_frames
+        landed = read(spark, args.frames, max_files=args.max_files)
     if args.job == "trades":
         chosen = _event_filters(spark, args.config)
         writer = trades.persist_matches(landed, args.root, args.checkpoint, chosen, wanted, args.conditions)
     elif args.job == "alerts":
-        writer = trades.persist_alerts(landed, args.root, args.checkpoint, args.threshold, args.scope, wanted)
+        also = (lambda found: publish.publish_alerts(found, args.kafka, args.alerts_topic)) if args.alerts_topic else None
+        writer = trades.persist_alerts(landed, args.root, args.checkpoint, args.threshold, args.scope, wanted, also)
     else:
         families = families or [S.QUOTE, S.BOOK, S.BAR]
         writer = trades.persist_families(landed, args.root, args.checkpoint, families, wanted)

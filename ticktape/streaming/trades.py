@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,9 +71,13 @@ def persist_families(
 
 def persist_alerts(
     frames: DataFrame, root: str, checkpoint: str, threshold: float = price_action.DEFAULT_THRESHOLD, scope: str = "pair",
-    topic_names: Iterable[str] | None = topics.DEFAULT_TOPICS,
+    topic_names: Iterable[str] | None = topics.DEFAULT_TOPICS, also: Callable[[DataFrame], None] | None = None,
 ) -> DataStreamWriter:
-    """The stream that appends spikes and drops to ``alerts`` under ``root``, and what cannot be read to ``rejects``."""
+    """The stream that appends spikes and drops to ``alerts`` under ``root``, and what cannot be read to ``rejects``.
+
+    ``also`` gets each micro-batch's alerts once they are written, to send them to a topic, say; a micro-batch that is run
+    again passes them on again.
+    """
     topic_names = None if topic_names is None else list(topic_names)
     output = f"{root.rstrip('/')}/alerts"
 
@@ -81,6 +85,9 @@ def persist_alerts(
         bars = decode.staged_family(staged, S.BAR)
         bars = bars if topic_names is None else topics.topic_filter(bars, topic_names)
         prices.measure(bars, output, checkpoint, run, batch_id, threshold, scope, price_action.alerts)
+        if also is not None:
+            shape = price_action.alerts(price_action.price_action(bars, threshold, scope="bar")).schema
+            also(staged.sparkSession.read.schema(shape).parquet(f"{output}/run={run}/batch_id={batch_id}").select(*shape.names))
         tables.write_rejects(staged, root, run, batch_id)
 
     return _each_staged(frames, checkpoint, (S.BAR,), write)
