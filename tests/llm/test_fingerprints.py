@@ -1,5 +1,4 @@
 import hashlib
-import re
 
 import regex
 from odd_rows import none, odd
@@ -76,33 +75,30 @@ def test_pruned_likeness(spark):
     assert pick(0.0) == [0.5, 1.0, 1.0, 0.0] and pick(0.8) == [0.0, 1.0, 1.0, 0.0]
 
 
-def test_near_duplicates_against_all_pairs(spark):
+def test_search_against_all_pairs(spark):
     import random
 
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(400)]
     texts = []
-    for group in range(25):
-        base = [rng.choice(["the", "of", *vocabulary[:]]) if rng.random() < 0.6 else rng.choice(["the", "of", "and"]) for _ in range(rng.randint(5, 200))]
+    for _ in range(25):
+        base = [rng.choice(vocabulary) if rng.random() < 0.6 else rng.choice(["the", "of", "and"]) for _ in range(rng.randint(5, 200))]
         for _ in range(4):
             words = list(base)
             for _ in range(rng.randint(0, 6)):
                 words[rng.randrange(len(words))] = rng.choice(vocabulary)
             texts.append(" ".join(words))
-    texts += ["", "", None, "unique text"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    sets, root = [plain_spots(t) for t in texts], list(range(len(texts)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(texts)):
-        for j in range(i):
-            if plain_likeness(sets[i], sets[j]) >= 0.8:
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
-    got = {r["doc_id"]: r["class_id"] for r in spotsigs.near_duplicates(df).collect()}
-    assert got == {i: find(i) for i in range(len(texts))}
-    assert re.fullmatch("[0-9a-f]{64}", spotsigs.near_duplicates(df).first()["fingerprint"])
+    texts += ["", "", None, "unique text", texts[0]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    queries = docs.where("doc_id % 3 = 0 or doc_id >= 100")
+    marks = {r["doc_id"]: r["fingerprint"] for r in spotsigs.fingerprints(docs).collect()}
+    sets = {marks[i]: plain_spots(t) for i, t in enumerate(texts)}
+    for least in (0.8, 0.5):
+        want = {
+            (marks[i], f, plain_likeness(sets[marks[i]], sets[f]))
+            for i in range(len(texts)) if i % 3 == 0 or i >= 100
+            for f in sets if plain_likeness(sets[marks[i]], sets[f]) >= least
+        }
+        got = [tuple(r) for r in spotsigs.search(queries, docs, least).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 40
+    assert spotsigs.search(queries.where("false"), docs).count() == 0

@@ -2,6 +2,7 @@ import random
 import zlib
 from itertools import product
 
+import pytest
 from odd_rows import none, odd
 from pyspark.sql import functions as F
 
@@ -63,6 +64,14 @@ def test_documents_come_out_even(spark, sf_dir):
     assert stay >= fair - 6 * 20_000
 
 
+def test_too_little_room_is_an_error(spark):
+    rows = resharding.measured(odd(spark)).withColumn("old_shard", F.lit(0))
+    with pytest.raises(ValueError):
+        resharding.reshard(rows, shards=2, capacities=[10, 10])
+    roomy = resharding.reshard(tables.written(rows, "old"), shards=2, capacities=[10**6, 10**6]).collect()
+    assert len(roomy) == odd(spark).count()
+
+
 def test_odd_rows_get_places(spark):
     rows = resharding.resharded(odd(spark), shards=3, old_shards=2).collect()
     want = sorted(((r["doc_id"], len((r["text"] or "").encode()) + 16) for r in odd(spark).collect()), key=repr)

@@ -153,6 +153,8 @@ def reshard(rows: DataFrame, old_shard: str = "old_shard", shards: int = NEW_SHA
     old = {r[old_shard]: r["bytes"] for r in totals}
     n = sum(r["n"] for r in totals)
     capacities = capacities or even(sum(old.values()), shards)
+    if sum(capacities) < sum(old.values()):
+        raise ValueError("the new shards hold less than the old ones")
     spans, at = [], {}
     for source, target, size in transfers(old, capacities):
         spans.append((source, target, at.get(source, 0), at.get(source, 0) + size))

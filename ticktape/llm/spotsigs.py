@@ -17,7 +17,6 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticktape.llm import components
 from ticktape.llm.tables import text_of, written
 
 # Common words of English, German, French and Spanish.
@@ -83,45 +82,40 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return spots.select(key, "spots", fingerprint_of(F.col("spots")).alias("fingerprint"))
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document its class (the smallest key reachable over links of at least ``least``) and its fingerprint.
+def search(queries: DataFrame, docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Pairs of fingerprints, one of a query and one of a document, that are alike by at least ``least``, with their likeness.
 
-    Equal fingerprints are one representative.  Representatives meet on their rarest spots (any two that reach
-    ``least`` share one of the first (1 - least) * n + 1 in order of rarity) inside equal or neighbouring length
-    partitions, and are then compared by pruned Jaccard.
+    Rows with equal fingerprints are one representative; ``fingerprints`` tells which rows a fingerprint stands for.  Two sets
+    that reach ``least`` share one of the first (1 - least) * n + 1 spots in order of rarity, so only those are probed, inside
+    equal or neighbouring length partitions, and what meets is compared by pruned Jaccard.
     """
-    marks = written(fingerprints(docs, key, text), "spots")
-    sets = marks.groupBy("fingerprint").agg(F.first("spots").alias("spots"), F.min(key).alias("smallest"))
-    each = sets.select("fingerprint", F.explode("spots").alias("spot"))
+    pick = lambda df: df.select("fingerprint", "spots").dropDuplicates(["fingerprint"])
+    sets = written(pick(fingerprints(docs, key, text)), "spots")
+    asked = written(pick(fingerprints(queries, key, text)), "spots")
+    every = pick(sets.unionByName(asked))
+    each = every.select("fingerprint", F.explode("spots").alias("spot"))
     seen = each.groupBy("spot").agg(F.count("*").alias("n"))
-    ranked = (
-        each.join(seen.where("n > 1"), "spot", "left")
-        .groupBy("fingerprint")
-        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "spot"))).alias("by_rarity"))
-    )
+    ranked = each.join(seen, "spot").groupBy("fingerprint").agg(F.array_sort(F.collect_list(F.struct("n", "spot"))).alias("by_rarity"))
     length = F.size("by_rarity")
     ahead = (length - F.ceil(length * least - 1e-9) + 1).cast("int")
-    probes = (
+    probes = written(
         ranked.withColumn("part", length_partition(F.col("by_rarity"), least))
-        .withColumn("probe", F.explode(F.slice("by_rarity", F.lit(1), ahead)))
-        .where("probe.n > 1")
-        .select("fingerprint", "part", F.col("probe.spot").alias("spot"))
+        .select("fingerprint", "part", F.explode(F.slice("by_rarity", F.lit(1), ahead)).alias("probe"))
+        .select("fingerprint", "part", "probe.spot"),
+        "probes",
     )
-    left, right = probes.alias("l"), probes.select("spot", "part", F.col("fingerprint").alias("other")).alias("r")
+    query = probes.join(asked.select("fingerprint"), "fingerprint").select("spot", F.col("fingerprint").alias("query"), F.col("part").alias("query_part"))
+    found = probes.join(sets.select("fingerprint"), "fingerprint")
     pairs = (
-        left.join(right, (F.col("l.spot") == F.col("r.spot")) & (F.col("l.fingerprint") < F.col("r.other")) & F.abs(F.col("l.part") - F.col("r.part")).between(0, 1))
-        .select(F.col("l.fingerprint").alias("fingerprint"), F.col("r.other").alias("other"))
-        .distinct()
-    )
-    other = sets.select(F.col("fingerprint").alias("other"), F.col("spots").alias("other_spots"))
-    links = (
-        pairs.join(sets, "fingerprint").join(other, "other")
-        .where(likeness(F.col("spots"), F.col("other_spots"), least) >= least)
-        .select(F.col("fingerprint").alias("a"), F.col("other").alias("b"))
+        query.join(found, "spot")
+        .where((F.abs(F.col("part") - F.col("query_part")) <= 1) & (F.col("query") != F.col("fingerprint")))
+        .select("query", "fingerprint").distinct()
     )
-    roots = components.roots(links)
-    named = components.smallest_in_class(sets.select(F.col("fingerprint").alias("node"), "smallest"), roots)
-    return marks.join(named.withColumnRenamed("node", "fingerprint"), "fingerprint").select(key, "fingerprint", F.col("smallest").alias("class_id"))
+    of_query = asked.select(F.col("fingerprint").alias("query"), F.col("spots").alias("query_spots"))
+    near = pairs.join(of_query, "query").join(sets, "fingerprint")
+    scored = near.select("query", "fingerprint", likeness(F.col("query_spots"), F.col("spots"), least).alias("likeness"))
+    same = asked.join(sets.select("fingerprint"), "fingerprint").select(F.col("fingerprint").alias("query"), "fingerprint", F.lit(1.0).alias("likeness"))
+    return scored.where(F.col("likeness") >= least).unionByName(same)
 
 
 def edited(text: Column, following: Column) -> Column:
