@@ -91,33 +91,44 @@ def bitmap(keys: DataFrame, level: int) -> Level | None:
     return Level(bits, size)
 
 
-def member(levels: list[Level], spark: SparkSession):
-    """A column function: whether a key of the universe is listed."""
-    shared = spark.sparkContext.broadcast(levels)
+def _listed(levels: list[Level], pairs: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+    listed, open_ = np.zeros(n, bool), np.ones(n, bool)
+    for k, level in enumerate(levels):
+        passed = level.holds(*pairs[k])
+        listed[open_ & ~passed] = k % 2 == 1
+        open_ &= passed
+    listed[open_] = len(levels) % 2 == 1  # passed the last level, which has no false positive
+    return listed
 
-    @pandas_udf("boolean")
-    def asked(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for columns in parts:
-            pairs = [c.to_numpy(np.int64) for c in columns]
-            n = len(pairs[0])
-            listed, open_ = np.zeros(n, bool), np.ones(n, bool)
-            for k, level in enumerate(shared.value):
-                passed = level.holds(pairs[2 * k], pairs[2 * k + 1])
-                listed[open_ & ~passed] = k % 2 == 1
-                open_ &= passed
-            listed[open_] = len(shared.value) % 2 == 1  # passed the last level, which has no false positive
-            yield pd.Series(listed)
-
-    def of(key: Column) -> Column:
-        if not levels:
-            return F.lit(False)
-        known = F.coalesce(key, F.lit(""))
-        asked_of = asked(*[h for k in range(len(levels)) for h in _hashes(known, F.lit(k))])
-        return key.isNotNull() & asked_of
+
+def members(lists: list[list[Level]], n_keys: int, spark: SparkSession):
+    """A column function of ``n_keys`` keys: a struct of ``l<list>_<key>``, whether that list holds that key.
+
+    All keys and lists are asked in one call, so a row goes to Python once, as hashes.
+    """
+    shared, depth = spark.sparkContext.broadcast(lists), max(1, *map(len, lists))
+    names = [(f"l{a}_{i}", a, i) for a in range(len(lists)) for i in range(n_keys)]
+
+    @pandas_udf(", ".join(f"{name} boolean" for name, _, _ in names))
+    def asked(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for columns in batches:
+            hashes = [c.to_numpy(np.int64) for c in columns]
+            pairs = [list(zip(hashes[2 * depth * i :: 2], hashes[2 * depth * i + 1 :: 2]))[:depth] for i in range(n_keys)]
+            yield pd.DataFrame({name: _listed(shared.value[a], pairs[i], len(hashes[0])) for name, a, i in names})
+
+    def of(keys: list[Column]) -> Column:
+        known = [F.coalesce(key, F.lit("")) for key in keys]
+        return asked(*[h for key in known for k in range(depth) for h in _hashes(key, F.lit(k))])
 
     return of
 
 
+def member(levels: list[Level], spark: SparkSession):
+    """A column function: whether a key of the universe is listed."""
+    asks = members([levels], 1, spark)
+    return lambda key: key.isNotNull() & asks([key])["l0_0"]
+
+
 def cascade(listed: DataFrame, universe: DataFrame) -> list[Level]:
     """Levels that tell the keys of ``listed`` from the other keys of ``universe`` (distinct columns ``key``)."""
     spark, levels = listed.sparkSession, []
@@ -177,17 +188,23 @@ def judged(pages: DataFrame, rules: DataFrame, url: str = "url", default: str =
     # level 0 holds the list and level 1 its false positives, fewer than a fiftieth of the universe
     parts = -(-max(listed.count(), universe.count() // 50) * BITS_PER_KEY // MAX_BITS)
     part_of = lambda key: F.pmod(F.hash(key), F.lit(parts))
-    found = {f"{a}{i}": F.lit(False) for a in (ALLOW, BLOCK) for i in range(len(shapes))}
-    rows = rows.withColumns(found)
+    size = len(shapes)
     for part in range(parts):
-        for action in (ALLOW, BLOCK):
-            own = listed.where((F.col("action") == action) & (part_of(F.col("key")) == part)).select("key")
-            asks = member(cascade(own, universe.where(part_of(F.col("key")) == part)), spark)
-            key = lambda i: F.when(part_of(F.col("keys")[i]) == part, F.col("keys")[i])
-            rows = rows.withColumns({f"{action}{i}": F.col(f"{action}{i}") | asks(key(i)) for i in range(len(shapes))})
+        inside = part_of(F.col("key")) == part
+        lists = [cascade(listed.where(inside & (F.col("action") == a)).select("key"), universe.where(inside)) for a in (ALLOW, BLOCK)]
+        asks = members(lists, size, spark)
+        rows = rows.withColumn(f"asked{part}", asks([F.col("keys")[i] for i in range(size)]))
+
+    def held(i: int, a: int) -> Column:
+        """Whether list ``a`` has the ``i``-th key, said by the part that the key is in."""
+        said = F.lit(False)
+        for part in range(parts):
+            said = F.when(part_of(F.col("keys")[i]) == part, F.col(f"asked{part}")[f"l{a}_{i}"]).otherwise(said)
+        return F.col("keys")[i].isNotNull() & said
+
     fits = F.array(*[
-        F.when(F.col(f"{ALLOW}{i}") | F.col(f"{BLOCK}{i}"), F.struct(F.length(F.col("keys")[i]).alias("n"), F.col(f"{BLOCK}{i}").alias("blocks"), F.col("keys")[i].alias("rule")))
-        for i in range(len(shapes))
+        F.when(held(i, 0) | held(i, 1), F.struct(F.length(F.col("keys")[i]).alias("n"), held(i, 1).alias("blocks"), F.col("keys")[i].alias("rule")))
+        for i in range(size)
     ])
     best = F.array_max(fits)
     verdict = F.when(best.isNull(), default).when(best["blocks"], BLOCK).otherwise(ALLOW)
