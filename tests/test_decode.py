@@ -250,3 +250,12 @@ def test_strings_of_any_length_and_keys_up_to_the_parsers_limit(spark):
     decoded = decode.decode(spark.createDataFrame(list(enumerate(texts)), "ingest_seq bigint, frame string"))
     assert sorted(r.ingest_seq for r in decoded.trades.select("ingest_seq").collect()) == [0, 1]
     assert sorted(map(tuple, decoded.rejects.select("ingest_seq", "reason").collect())) == [(2, "name_too_long"), (3, "bad_json")]
+
+
+def test_staging_some_families_reads_only_those(spark):
+    texts = [TRADE, QUOTE, BOOK.replace('"t":', '"tt":'), TRADE.replace('"p":', '"pp":'), "oops", '{"ev":"status"}']
+    frames = spark.createDataFrame(list(enumerate(texts)), "ingest_seq bigint, frame string")
+    staged = decode.stage_events(frames, [S.TRADE])
+    rows = sorted((r.ingest_seq, r.family, r.reason) for r in staged.collect())
+    assert rows == [(0, "trade", None), (3, "reject", "schema_mismatch"), (4, "reject", "bad_json"), (5, "reject", "unknown_event_type")]
+    assert staged.columns == ["ingest_seq", "pos", "family", "trade", "raw", "reason"]

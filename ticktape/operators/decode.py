@@ -82,10 +82,11 @@ def decode_family(elements: DataFrame, family: S.Family, event_types=None) -> Da
     return read_fields(wanted, [family]).where(_fits(family)).select(*carried, *event_fields(family))
 
 
-def _reason() -> Column:
+def _reason(families: Iterable[S.Family] = tuple(S.FAMILIES.values())) -> Column:
     """Why an element with its family structs gives no event; NULL when it gives one."""
-    named = " OR ".join(_named(f) for f in S.FAMILIES.values())
-    good = " OR ".join(_fits(f) for f in S.FAMILIES.values())
+    families = tuple(families)
+    named = " OR ".join(_named(f) for f in families)
+    good = " OR ".join(_fits(f) for f in families)
     found = F.expr(
         f"CASE WHEN NOT readable THEN '{S.BAD_JSON}' WHEN code IS NULL OR NOT ({named}) THEN '{S.UNKNOWN_EVENT_TYPE}' "
         f"WHEN NOT ({good}) THEN '{S.SCHEMA_MISMATCH}' END"
@@ -130,23 +131,27 @@ def decode(frames: DataFrame) -> Decoded:
     )
 
 
-def stage_events(frames: DataFrame) -> DataFrame:
-    """All events and rejects of ``frames`` in one pass, ready to be written partitioned by ``family``.
+def stage_events(frames: DataFrame, families: Iterable[S.Family] = tuple(S.FAMILIES.values())) -> DataFrame:
+    """All events of ``families`` and all rejects of ``frames`` in one pass, ready to be written partitioned by ``family``.
 
     ``family`` is an event family or ``reject``; the struct of that name (or ``raw`` and ``reason``) holds
-    the payload and the others are NULL, which costs next to nothing in a columnar file.
+    the payload and the others are NULL, which costs next to nothing in a columnar file.  Elements that name an event
+    type of another family are passed over: they are neither read nor judged.
     """
+    families = tuple(families)
     elements = split_frames(frames)
     carried = S.arrival_columns(elements.columns)
+    codes = [code for f in families for code in f.event_types]
+    if len(codes) < len(S.EVENT_TYPES):
+        elements = elements.where(F.col("code").isNull() | F.col("code").isin(*codes))
     reason = F.col("reason")
     kind = F.lit("reject")
-    for f in S.FAMILIES.values():
+    for f in families:
         kind = F.when(reason.isNull() & F.col("code").isin(*f.event_types), F.lit(f.name)).otherwise(kind)
     payload = [
-        F.when(reason.isNull() & F.col(f.name).isNotNull(), F.struct(*event_fields(f))).alias(f.name)
-        for f in S.FAMILIES.values()
+        F.when(reason.isNull() & F.col(f.name).isNotNull(), F.struct(*event_fields(f))).alias(f.name) for f in families
     ]
-    parsed = read_fields(elements, S.FAMILIES.values()).withColumn("reason", _reason())
+    parsed = read_fields(elements, families).withColumn("reason", _reason(families))
     return parsed.select(
         *carried, kind.alias("family"), *payload, F.when(reason.isNotNull(), F.col("raw")).alias("raw"), "reason"
     )

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ticktape import schemas as S
 from ticktape.operators import decode, filters, price_action, topics
@@ -57,10 +56,9 @@ def run_batch(
     here, and no others.  Returns the run's name, which all of its folders carry.
     """
     spark, run = frames.sparkSession, tables.new_run()
-    families = {f.name: f for f in (S.TRADE, S.BAR, *store)}
-    wanted = F.col("family").isin("reject", *families)
+    families = {f.name: f for f in (S.TRADE, S.BAR, *store)}.values()
     staged_path = f"{root.rstrip('/')}/staged"
-    tables.write_staged(decode.stage_events(frames).where(wanted), staged_path, run)
+    tables.write_staged(decode.stage_events(frames, families), staged_path, run)
     staged = spark.read.option("basePath", staged_path).parquet(f"{staged_path}/run={run}")
     topic_names = None if topic_names is None else list(topic_names)
 

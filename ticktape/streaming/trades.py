@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ticktape import schemas as S
@@ -107,10 +106,10 @@ def _each_staged(frames: DataFrame, checkpoint: str, families: Iterable[S.Family
 
     The decoded rows are kept by the executors while they are read; a lost block is decoded again.
     """
-    wanted = [*(f.name for f in families), "reject"]
+    families = tuple(families)
 
     def one(batch: DataFrame, run: str, batch_id: int) -> None:
-        staged = decode.stage_events(frame_sources.numbered(batch)).where(F.col("family").isin(*wanted)).persist()
+        staged = decode.stage_events(frame_sources.numbered(batch), families).persist()
         try:
             write(staged, run, batch_id)
         finally:
