@@ -90,3 +90,26 @@ def test_a_bad_host_loses_all_and_a_small_one_is_pardoned(spark):
     assert kept.where("source = 'bad'").count() == 0 and kept.where("source = 'tiny'").count() == 1 and kept.where("source is null").count() == 1
     judged = host_rules.judged(docs).where("kept").select("row.*")
     assert sorted(map(repr, judged.collect())) == sorted(map(repr, kept.collect()))
+
+
+def test_own_rules_fail_junk_and_count_for_hosts(spark):
+    good = "one two three four five six seven eight nine ten eleven {}"
+    junk = ["one### two$$$ three&&& four%%% five six seven eight nine ten {}", "a b c d e f g h i j k l {}", "word" * 9 + " {} " + "verylongword" * 20]
+    junk += ["\n".join(f"line {i % 5} has its own few words" for i in range(10)) + " {}"]
+    rows = [("junk", junk[i % 4].format(i)) for i in range(60)] + [("junk", good.format(i)) for i in range(100)]
+    rows += [(f"h{h}", good.format(i)) for h in range(200) for i in range(20)]
+    docs = spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(rows)], "doc_id long, text string, source string")
+    base = host_rules.judged(docs).where("kept")
+    assert base.where("host = 'junk'").count() > 100  # 0.375 of the host's rows at most, under the fixed limit
+    kept = host_rules.judged(docs, own=True)
+    bad = [r for r in kept.collect() if r["failed"]]
+    assert len(bad) == 60 and all(r["host"] == "junk" for r in bad)
+    verdicts = {r["host"]: r["rejected"] for r in host_rules.host_verdicts(docs, own=True).collect()}
+    assert [k for k, v in verdicts.items() if v] == ["junk"]
+    assert kept.where("kept and host = 'junk'").count() == 0 and host_rules.accepted(docs, own=True).count() == 4000
+
+
+def test_the_host_limit_follows_the_prior():
+    assert host_rules.host_limit(1e-6 * 500, 500.0) == host_rules.LEAST_LIMIT  # one odd text condemns no host
+    assert host_rules.host_limit(1.0, 1.0) == host_rules.HOST_LIMIT
+    assert abs(host_rules.host_limit(20.0, 80.0) - (0.2 + 3 * (0.16 / 101) ** 0.5)) < 1e-12

@@ -5,6 +5,10 @@ rate of all hosts by a beta prior whose strength is estimated from how much the
 few documents cannot be condemned by two bad ones.  Hosts whose shrunk rate passes ``HOST_LIMIT`` are rejected, and the
 verdict is joined back to their documents.
 
+``own=True`` adds the operator's own rules (symbols per word, repeated lines, mean word length) to the base ones and derives
+the limit: ``FAR_OUT`` standard deviations of the prior above the rate of all hosts, but at least ``LEAST_LIMIT`` and at most
+``HOST_LIMIT``.  op8 and the pipeline leave it out, as op8's SQL and the pipeline's test state the base rules and the fixed limit.
+
 The counts are made twice, once for the hosts and once for the documents, rather than stored with the texts: no text is
 shuffled and hosts are pre-aggregated, so a host may hold any share of the documents.
 
@@ -27,15 +31,24 @@ from ticktape.llm.tables import text_of, written
 
 LEAST_WORDS, MOST_REPEATED, WINDOW = 10, 20, 5
 HOST_LIMIT = 0.5
+#: The operator's own rules: symbols and repeated lines by tenths, characters a word.
+MOST_SYMBOLS, MOST_DUP_LINES, SHORTEST, LONGEST = 1, 3, 3, 10
+FAR_OUT, LEAST_LIMIT = 3.0, 0.2
 #: Bounds of the prior's strength, in documents.
 WEAKEST, STRONGEST = 1.0, 1e6
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+NAMES = [c.split()[0] for c in COUNTS.split(", ")]
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _BLANKS = str.maketrans("", "", " \t\n\x0b\x0c\r")
 
 
 def counts(text: str, window: int = WINDOW) -> tuple[int, int, int, int, int]:
     """Words, their characters, symbols, repeated lines, words inside repeated windows of one whole text."""
+    return tallies(text, window)[:5]
+
+
+def tallies(text: str, window: int = WINDOW) -> tuple[int, int, int, int, int, int]:
+    """The ``counts``, and the lines that hold more than blanks."""
     words = text.encode("utf-8", "surrogatepass").split()  # bytes: exactly the six ASCII blanks
     lines = [x for x in text.split("\n") if x.translate(_BLANKS)]
     repeated = 0
@@ -46,16 +59,14 @@ def counts(text: str, window: int = WINDOW) -> tuple[int, int, int, int, int]:
             if seen[run] > 1:
                 repeated += i + window - max(i, reach)
                 reach = i + window
-    return len(words), len(text.translate(_BLANKS)), len(_SYMBOLS.findall(text)), len(lines) - len(set(lines)), repeated
+    return len(words), len(text.translate(_BLANKS)), len(_SYMBOLS.findall(text)), len(lines) - len(set(lines)), repeated, len(lines)
 
 
 def counts_udf():
-    names = [c.split()[0] for c in COUNTS.split(", ")]
-
-    @pandas_udf(COUNTS)
+    @pandas_udf(f"{COUNTS}, n_lines long")
     def counted(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            yield pd.DataFrame([counts(t) for t in batch], columns=names, dtype="int64")
+            yield pd.DataFrame([tallies(t) for t in batch], columns=[*NAMES, "n_lines"], dtype="int64")
 
     return counted
 
@@ -64,16 +75,29 @@ def base_failed(found: Column) -> Column:
     return (found["n_words"] < LEAST_WORDS) | (100 * found["n_repeat_words"] > MOST_REPEATED * found["n_words"])
 
 
-def measured(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
-    """``row`` (the input row), ``host``, ``found`` (its counts) and ``base_failed``."""
-    rows = docs.select(F.struct("*").alias("row"), F.col(host).cast("string").alias("host"), counts_udf()(text_of(text)).alias("found"))
-    return rows.withColumn("base_failed", base_failed(F.col("found")))
+def own_failed(found: Column) -> Column:
+    return (
+        (10 * found["n_symbols"] > MOST_SYMBOLS * found["n_words"])
+        | (10 * found["n_dup_lines"] > MOST_DUP_LINES * found["n_lines"])
+        | (found["word_chars"] < SHORTEST * found["n_words"])
+        | (found["word_chars"] > LONGEST * found["n_words"])
+    )
 
 
-def host_verdicts(docs: DataFrame, limit: float = HOST_LIMIT, host: str = "source", text: str = "text") -> DataFrame:
-    """``host``, ``n``, ``failed``, ``rate`` (shrunk) and ``rejected`` of every host."""
+def measured(docs: DataFrame, host: str = "source", text: str = "text", own: bool = False) -> DataFrame:
+    """``row`` (the input row), ``host``, ``found`` (its counts), ``base_failed`` and ``failed`` (any rule)."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(host).cast("string").alias("host"), counts_udf()(text_of(text)).alias("all"))
+    every = F.col("all")
+    base = base_failed(every)
+    failed = base | own_failed(every) if own else base
+    found = F.struct(*[every[n].alias(n) for n in NAMES])
+    return rows.select("row", "host", found.alias("found"), base.alias("base_failed"), failed.alias("failed"))
+
+
+def host_verdicts(docs: DataFrame, limit: float | None = None, host: str = "source", text: str = "text", own: bool = False) -> DataFrame:
+    """``host``, ``n``, ``failed``, ``rate`` (shrunk) and ``rejected`` of every host; a ``limit`` of None is the module's."""
     hosts = written(
-        measured(docs, host, text).groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed")),
+        measured(docs, host, text, own).groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("failed")),
         "hosts",
     )
     n_hosts, n, failed = hosts.agg(F.count("*"), F.sum("n"), F.sum("failed")).first()
@@ -81,9 +105,18 @@ def host_verdicts(docs: DataFrame, limit: float = HOST_LIMIT, host: str = "sourc
     apart = hosts.agg(F.sum(F.col("n") * F.pow(F.col("failed") / F.col("n") - mean, 2)) / max(1, n or 0)).first()[0] or 0.0
     a, b = prior(n_hosts, n or 0, mean, apart)
     rate = (F.col("failed") + a) / (F.col("n") + a + b)
+    if limit is None:
+        limit = host_limit(a, b) if own else HOST_LIMIT
     return hosts.withColumn("rate", rate).withColumn("rejected", F.col("rate") > limit)
 
 
+def host_limit(a: float, b: float) -> float:
+    """The highest rate that is borne, from the prior of the hosts' rates."""
+    mean = a / (a + b)
+    far = mean + FAR_OUT * (mean * (1 - mean) / (a + b + 1)) ** 0.5
+    return min(max(far, LEAST_LIMIT), HOST_LIMIT)
+
+
 def prior(n_hosts: int, n: int, mean: float, apart: float) -> tuple[float, float]:
     """Beta prior of the hosts' rates, by moments: what hosts differ beyond chance sets its strength."""
     beyond = apart - mean * (1 - mean) * n_hosts / max(1, n)
@@ -92,16 +125,16 @@ def prior(n_hosts: int, n: int, mean: float, apart: float) -> tuple[float, float
     return mean * strength, (1 - mean) * strength
 
 
-def judged(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
+def judged(docs: DataFrame, host: str = "source", text: str = "text", own: bool = False) -> DataFrame:
     """``measured`` rows with ``kept``: not failed themselves, and not from a rejected host."""
-    verdicts = host_verdicts(docs, host=host, text=text).select(F.col("host").alias("h"), "rejected")
-    rows = measured(docs, host, text)
+    verdicts = host_verdicts(docs, host=host, text=text, own=own).select(F.col("host").alias("h"), "rejected")
+    rows = measured(docs, host, text, own)
     both = rows.join(verdicts, rows["host"].eqNullSafe(verdicts["h"]), "left").drop("h")
-    return both.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("rejected", F.lit(False)))
+    return both.withColumn("kept", ~F.col("failed") & ~F.coalesce("rejected", F.lit(False)))
 
 
-def accepted(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
+def accepted(docs: DataFrame, host: str = "source", text: str = "text", own: bool = False) -> DataFrame:
     """The rows of ``docs`` that are kept."""
-    bad = host_verdicts(docs, host=host, text=text).where("rejected").select(F.col("host").alias("h"))
-    rows = measured(docs, host, text).where("not base_failed")
+    bad = host_verdicts(docs, host=host, text=text, own=own).where("rejected").select(F.col("host").alias("h"))
+    rows = measured(docs, host, text, own).where("not failed")
     return rows.join(bad, rows["host"].eqNullSafe(bad["h"]), "left_anti").select("row.*")
