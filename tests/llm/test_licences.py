@@ -60,3 +60,27 @@ def test_odd_rows(spark):
     assert len(rows) == odd(spark).count() and all(r["licences"] == [] for r in rows)
     assert {r["n_paragraphs"] for r in rows if not (r["row"]["text"] or "").strip()} == {0}
     assert licences.scanned(none(spark), licences.train(none(spark))).count() == 0
+
+
+def test_notices_that_are_not_built_from_the_templates(model):
+    def families(text):
+        return [f for f, _, _ in licences.scan(model, text)[1]]
+
+    tags = {
+        "SPDX-License-Identifier: MIT": ["MIT"], "// SPDX-License-Identifier: Apache-2.0": ["Apache"], "# SPDX-License-Identifier: GPL-2.0+": ["GPL"],
+        "/* SPDX-License-Identifier: (MIT OR Apache-2.0) */": ["MIT", "Apache"], "SPDX-License-Identifier: CC-BY-NC-SA-4.0": ["CC-BY-NC"],
+        "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0": ["GPL"], "SPDX-License-Identifier: LicenseRef-mine": [],
+    }
+    titles = {
+        "MIT License": ["MIT"], "Apache License, Version 2.0": ["Apache"], "Apache License": ["Apache"], "GNU GENERAL PUBLIC LICENSE": ["GPL"],
+        "Mozilla Public License Version 2.0": ["MPL"], "The ISC License": ["ISC"], "BSD 3-Clause License": ["BSD"],
+    }
+    wraps = {
+        "Licensed under the Apache\nLicense, Version 2.0 (the License);": ["Apache"], "# Released under\n# the MIT\n# License.": ["MIT"],
+        "Redistribution and use in source and\nbinary forms, with or without\nmodification, are permitted": ["BSD"],
+        "Licensed under the Apache\n\nLicense": [],
+    }
+    for text, want in [*tags.items(), *titles.items(), *wraps.items()]:
+        assert families(text) == want, text
+    n, found = licences.notices(model, "SPDX-License-Identifier: MIT OR Apache-2.0\nsome words")
+    assert n == 2 and len(found) == 1

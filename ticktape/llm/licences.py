@@ -5,7 +5,9 @@ with the model, so they are sparse and a paragraph without any licence word is d
 multinomial logistic regression over the families and an ``unknown`` class is trained on varied templates and on ordinary
 paragraphs of the corpus (a bounded sample); its probabilities are calibrated by a temperature on templates and paragraphs
 held out of the training.  A prediction only counts if a template of the family confirms it: enough of the template's
-distinctive words must occur, in order.
+distinctive words must occur, in order, or a title of the family as it stands.  Lines that hold no notice themselves are judged
+together with the next ones up to a blank line, as a notice may be wrapped; the lines it takes are one entry.  SPDX
+identifiers name their families exactly and need no prediction.
 
 Defined cases: a null or empty text has no paragraphs and no families; repeated rows are scanned each; ties between families go
 to the first by name; if the corpus gives no ordinary paragraphs, the built-in ones train the unknown class alone.
@@ -45,6 +47,29 @@ TEMPLATES = {
     "Proprietary": ["all rights reserved", "copyright all rights reserved", "all rights reserved no part of this work may be reproduced without written permission"],
     "Unlicense": ["this is free and unencumbered software released into the public domain", "licensed under the unlicense"],
 }
+# The families' titles, without versions.
+TITLES = {
+    "AGPL": ["gnu affero general public license", "gnu agpl"],
+    "Apache": ["apache license"],
+    "BSD": ["bsd license", "bsd 2-clause license", "bsd 3-clause license"],
+    "CC-BY": ["creative commons attribution"],
+    "CC-BY-NC": ["creative commons attribution-noncommercial"],
+    "CC-BY-ND": ["creative commons attribution-noderivatives"],
+    "CC-BY-SA": ["creative commons attribution-sharealike"],
+    "CC0": ["cc0 1.0 universal", "creative commons zero"],
+    "GPL": ["gnu general public license", "gnu gpl"],
+    "ISC": ["isc license"],
+    "LGPL": ["gnu lesser general public license", "gnu lgpl"],
+    "MIT": ["mit license"],
+    "MPL": ["mozilla public license"],
+    "Unlicense": ["the unlicense"],
+}
+# The families by the beginning of an SPDX identifier.
+SPDX = [
+    ("agpl-", "AGPL"), ("apache-", "Apache"), ("bsd-", "BSD"), ("0bsd", "BSD"), ("cc-by-nc", "CC-BY-NC"), ("cc-by-nd", "CC-BY-ND"),
+    ("cc-by-sa", "CC-BY-SA"), ("cc-by-", "CC-BY"), ("cc0-", "CC0"), ("gpl-", "GPL"), ("isc", "ISC"), ("lgpl-", "LGPL"), ("mit", "MIT"),
+    ("mpl-", "MPL"), ("unlicense", "Unlicense"),
+]
 # Ordinary sentences with licence words in them.
 PLAIN = [
     "his driving license was renewed last week", "the license plate of the car was found", "a licensed doctor works in the city",
@@ -58,6 +83,11 @@ SAMPLE_DOCS, SAMPLE_LINES, SEED = 1_000, 5_000, 11
 #: Least calibrated probability of a family; a template confirms it by this share of its distinctive words in order, or by
 #: so many of them (a passage out of a long notice).
 CERTAIN, CONFIRMED, PASSAGE = 0.7, 0.75, 6
+#: A notice may be wrapped to a word a line.
+WRAPPED = max(len(t.split()) for some in TEMPLATES.values() for t in some)
+_TAGGED = re.compile(r"spdx-license-identifier:[ \t]*([^\n]*)")
+_EXPRESSION = re.compile(r"[(]*[a-z0-9][a-z0-9.+-]*[)]*(?:[ \t]+(?:and|or|with)[ \t]+[(]*[a-z0-9][a-z0-9.+-]*[)]*)*")
+_JOINED = re.compile(r"[ \t]+(?=(?:and|or|with)[ \t])")
 _WORDS = re.compile(r"[a-z0-9][a-z0-9.\-/]*[a-z0-9]|[a-z0-9]")
 _VERSIONS = ("1.0", "2.0", "2.1", "3", "3.0", "4.0", "v2", "v3")
 _BEFORE = ("", "", "copyright 2019 the authors", "copyright (c) 2021 contributors", "notice:", "note that this text is", "all files are", "spdx-license-identifier:")
@@ -107,7 +137,7 @@ def fit(ordinary: list[str], copies: int = 60, seed: int = SEED) -> Model:
     """Trains the classes on varied templates and on ``ordinary`` paragraphs."""
     rng = random.Random(seed)
     classes = [*sorted(TEMPLATES), UNKNOWN]
-    texts = [(varied(rng, t), k) for k, name in enumerate(classes[:-1]) for t in TEMPLATES[name] for _ in range(copies)]
+    texts = [(varied(rng, t), k) for k, name in enumerate(classes[:-1]) for t in [*TEMPLATES[name], *TITLES.get(name, ())] for _ in range(copies)]
     plain = [*PLAIN * 10, *ordinary]
     texts += [(t, len(classes) - 1) for t in plain]
     rng.shuffle(texts)
@@ -169,25 +199,82 @@ def confirmed(family: str, words: list[str], triggers: frozenset[str]) -> bool:
     return False
 
 
-def scan(model: Model, text: str) -> tuple[int, list[tuple[str, float, str]]]:
-    """Number of paragraphs, and (family, probability, paragraph) of those that hold a licence."""
+def titled(family: str, words: list[str]) -> bool:
+    """Whether a title of the family is there, word by word; versions may stand inside."""
+    said = " " + " ".join(w for w in words if w not in _VERSIONS) + " "
+    return any(" " + " ".join(w for w in words_of(t) if w not in _VERSIONS) + " " in said for t in TITLES.get(family, ()))
+
+
+def identified(low: str) -> list[str]:
+    """The families that an SPDX tag of a lower-case line names, each once."""
+    found = []
+    for tag in _TAGGED.findall(low):
+        expression = _EXPRESSION.match(tag)
+        for part in _JOINED.split(expression[0]) if expression else ():
+            joint, _, name = part.strip().rpartition(" ")
+            family = next((f for start, f in SPDX if name.strip("()").startswith(start)), None)
+            if family and joint != "with" and family not in found:
+                found.append(family)
+    return found
+
+
+def judge(model: Model, words: list[str]) -> tuple[str, float] | None:
+    """The family that the words declare and its probability."""
+    p = model.probabilities(words)
+    k = int(p.argmax())
+    family = model.classes[k]
+    if family != UNKNOWN and p[k] >= CERTAIN and (confirmed(family, words, model.triggers) or titled(family, words)):
+        return family, float(p[k])
+    return None
+
+
+def notices(model: Model, text: str) -> tuple[int, list[tuple[str, list[tuple[str, float]]]]]:
+    """Number of paragraphs, and the notices: each with its lines and its families."""
     n, found = 0, []
+    block: list[tuple[str, list[str], bool]] = []  # lines without a notice of their own: line, words, whether a trigger is there
+
+    def wrapped() -> None:
+        i = 0
+        while i < len(block):
+            taken = i + 1
+            if block[i][2]:
+                words = list(block[i][1])
+                for j in range(i + 1, min(len(block), i + WRAPPED)):
+                    words += block[j][1]
+                    if block[j][2] and (one := judge(model, words)):
+                        found.append(("\n".join(line for line, _, _ in block[i : j + 1]), [one]))
+                        taken = j + 1
+                        break
+            i = taken
+        block.clear()
+
     for line in text.split("\n"):
         if not line or line.isspace():
+            wrapped()
             continue
         n += 1
         low = line.lower()
         # without a trigger a paragraph has no feature and is unknown; words are only cut if one can be there
         words = _WORDS.findall(low)
-        if model.triggers.isdisjoint(words):
-            continue
-        p = model.probabilities(words)
-        k = int(p.argmax())
-        if model.classes[k] != UNKNOWN and p[k] >= CERTAIN and confirmed(model.classes[k], words, model.triggers):
-            found.append((model.classes[k], float(p[k]), line))
+        held = not model.triggers.isdisjoint(words)
+        own = [(f, 1.0) for f in identified(low)] if "spdx-license-identifier:" in low else []
+        if not own and held and (one := judge(model, words)):
+            own = [one]
+        if own:
+            wrapped()
+            found.append((line, own))
+        else:
+            block.append((line, words, held))
+    wrapped()
     return n, found
 
 
+def scan(model: Model, text: str) -> tuple[int, list[tuple[str, float, str]]]:
+    """Number of paragraphs, and (family, probability, paragraph) of those that hold a licence."""
+    n, found = notices(model, text)
+    return n, [(f, p, lines) for lines, some in found for f, p in some]
+
+
 def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE_DOCS, lines: int = SAMPLE_LINES) -> Model:
     """A model whose unknown class has seen ordinary paragraphs of about ``sample`` documents, chosen by a hash of their text."""
     n = max(1, docs.count())
@@ -200,13 +287,14 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE_DOCS, lines:
 
 
 def scanned(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``row`` (the input row), ``n_paragraphs`` and ``licences``: family, probability and paragraph of each notice."""
+    """``row`` (the input row), ``n_paragraphs``, ``n_notices`` and ``licences``: family, probability and paragraph of each notice."""
 
-    @pandas_udf("n_paragraphs long, licences array<struct<family: string, probability: double, paragraph: string>>")
+    @pandas_udf("n_paragraphs long, n_notices long, licences array<struct<family: string, probability: double, paragraph: string>>")
     def scan_all(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            rows = [scan(model, t) for t in batch]
-            dicts = [[{"family": f, "probability": p, "paragraph": line} for f, p, line in found] for _, found in rows]
-            yield pd.DataFrame({"n_paragraphs": pd.Series([n for n, _ in rows], dtype="int64"), "licences": dicts})
+            rows = [notices(model, t) for t in batch]
+            dicts = [[{"family": f, "probability": p, "paragraph": line} for line, some in found for f, p in some] for _, found in rows]
+            numbers = {"n_paragraphs": [n for n, _ in rows], "n_notices": [len(found) for _, found in rows]}
+            yield pd.DataFrame({k: pd.Series(v, dtype="int64") for k, v in numbers.items()} | {"licences": dicts})
 
     return docs.select(F.struct("*").alias("row"), scan_all(text_of(text)).alias("found")).select("row", "found.*")

@@ -46,7 +46,7 @@ def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.scanned(docs, licences.train(docs))
     best = F.array_max(F.transform("licences", lambda x: F.struct(x["probability"].alias("p"), x["family"].alias("family"))))
     return found.select(
-        "row.doc_id", "n_paragraphs", F.size("licences").cast("long").alias("n_licence_paragraphs"),
+        "row.doc_id", "n_paragraphs", F.col("n_notices").alias("n_licence_paragraphs"),
         F.array_join(F.array_sort(F.array_distinct(F.col("licences.family"))), " ").alias("families"),
         best["p"].alias("probability"),
     )
