@@ -113,3 +113,15 @@ def test_the_host_limit_follows_the_prior():
     assert host_rules.host_limit(1e-6 * 500, 500.0) == host_rules.LEAST_LIMIT  # one odd text condemns no host
     assert host_rules.host_limit(1.0, 1.0) == host_rules.HOST_LIMIT
     assert abs(host_rules.host_limit(20.0, 80.0) - (0.2 + 3 * (0.16 / 101) ** 0.5)) < 1e-12
+
+
+def test_a_heavy_key_does_not_fill_the_sample(spark, monkeypatch):
+    rows = [(1, f"text {i} of the heavy key") for i in range(900)] + [(2, "the same text")] * 900 + [(k, f"text of {k}") for k in range(3, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(gam, "fit", lambda x, y: seen.append(len(y)))
+    gam.train(docs, labels, sample=200)
+    assert 100 < seen[0] < 300
+    gam.train(docs.where("doc_id > 1"), labels, sample=200)  # equal rows teach once
+    assert seen[1] == sum(zlib.crc32(str(k).encode()) % 4 != 2 for k in range(2, 60))

@@ -6,7 +6,8 @@ all tables still misses; then the pairs whose four-quadrant cut gains most get t
 of table entries through the logistic function, added up for whole batches at once.
 
 Features are counts of the whole text; labels, keys, languages and sources are none.  The model is fitted on the driver
-from at most about ``SAMPLE`` labelled rows, chosen by a hash of their key; everything else covers every row.
+from at most about ``SAMPLE`` labelled rows, chosen by a hash of their key and, if a key has many texts, by a hash of key and
+text; equal rows teach once.  Everything else covers every row.
 
 Defined cases: a null text is an empty text, and empty texts are scored like any other; a key with several labels counts as
 good if at least half of them are; null keys and labels teach nothing; without labelled rows every score is 1.0, as
@@ -202,9 +203,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "
         for batch in texts:
             yield pd.Series([features(t) for t in batch])
 
-    # the sample is bounded by its parameter, so it may be broadcast and collected
-    texts = docs.select(F.col(key).alias("key"), text_of(text).alias("text")).join(F.broadcast(part), "key")
-    rows = texts.select("key", "y", measured("text").alias("x")).collect()
+    # the sampled keys are bounded by the parameter, so they may be broadcast; their distinct texts are bounded in turn
+    body = text_of(text)
+    texts = docs.select(F.col(key).alias("key"), body.alias("text"), F.xxhash64(body).alias("hash")).join(F.broadcast(part), "key")
+    m = texts.select("key", "hash").distinct().count()
+    some = texts.where(F.pmod(F.xxhash64("key", "hash"), F.lit(1 << 20)) < int(min(1, sample / max(1, m)) * (1 << 20)))
+    rows = some.select("key", "hash", "y", measured("text").alias("x")).dropDuplicates(["key", "hash"]).collect()
     rows.sort(key=lambda r: (r["key"], r["x"]))
     return fit(np.array([r["x"] for r in rows], float).reshape(-1, len(FEATURES)), np.array([r["y"] for r in rows], float))
 
