@@ -1,0 +1,85 @@
+"""Ids by the table of distinct chunks against the library on whole texts."""
+
+import hashlib
+
+import pytest
+import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from odd_rows import none, odd
+
+from ticktape.llm import chunk_table, registry, tables
+
+MODEL = sentencepiece.SentencePieceProcessor(model_file=chunk_table.default_vocabulary())
+TABLE = chunk_table.ChunkTable(chunk_table.default_vocabulary())
+
+
+def by_chunks(texts, size=chunk_table.SLICE):
+    ids, ends = TABLE.of(texts, size)
+    begins = [0, *ends[:-1]]
+    return [ids[a:b].tolist() for a, b in zip(begins, ends)]
+
+
+def test_this_vocabulary_is_separable():
+    assert TABLE.separable
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from(" ▁\n\t\x00aeth.é中\U0001f600") | st.characters(exclude_categories=("Cs",)), max_size=60), max_size=4))
+def test_random_texts(texts):
+    assert by_chunks(texts) == MODEL.encode(texts, add_eos=True)
+    assert by_chunks(texts, 5) == MODEL.encode(texts, add_eos=True)
+
+
+@pytest.mark.parametrize("text", ["", " ", "  ", "a ", " a", "▁", "▁ a▁", "</s><s><unk> <0x0A>", "x" * 9000, " " * 9000, "a  " * 5000, "\x00"])
+def test_edges(text):
+    for size in (3, 1000, chunk_table.SLICE):
+        assert by_chunks([text], size) == [MODEL.encode(text, add_eos=True)]
+        assert "".join(chunk_table.slices(text.replace(" ", chunk_table.MARK), size)) == text.replace(" ", chunk_table.MARK)
+
+
+def test_a_chunk_is_segmented_once_and_a_full_table_is_emptied(monkeypatch):
+    own, seen = chunk_table.ChunkTable(chunk_table.default_vocabulary()), []
+    segment = own._segment
+    monkeypatch.setattr(own, "_segment", lambda: (seen.extend(own.new), segment())[1])
+    own.of(["the cat the dog the cat", "a cat"])
+    assert sorted(seen) == sorted(chunk_table.MARK + w for w in ("the", "cat", "dog", "a"))
+    monkeypatch.setattr(chunk_table, "CHUNKS", 2)
+    assert own.of(["the cat", "the bird"])[0].tolist() == sum(MODEL.encode(["the cat", "the bird"], add_eos=True), [])
+    assert len(own) <= 4
+
+
+def test_other_vocabularies_take_whole_texts(monkeypatch):
+    own = chunk_table.ChunkTable(chunk_table.default_vocabulary())
+    own.separable = False
+    assert own.of(["the cat", ""])[0].tolist() == [*MODEL.encode("the cat", add_eos=True), 2]
+
+    class Crossing:
+        get_piece_size = staticmethod(lambda: 2)
+        id_to_piece = staticmethod(["▁", "e▁"].__getitem__)
+        is_control = staticmethod(lambda i: False)
+        normalize = staticmethod(lambda text: MODEL.normalize(text))
+
+    assert not chunk_table.separable(Crossing)
+
+
+def test_query_against_the_library(spark, sf_dir):
+    texts = {r["doc_id"]: r["text"] or "" for r in tables.documents(spark, sf_dir).collect()}
+    rows = registry.queries()["op11_chunk_table"](spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = MODEL.encode(texts[r["doc_id"]], add_eos=True)
+        assert r["n_tokens"] == len(ids)
+        assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(MODEL.decode(ids).encode()).hexdigest()
+
+
+def test_odd_rows(spark):
+    rows = chunk_table.decoded(chunk_table.encoded(odd(spark))).collect()
+    assert len(rows) == odd(spark).count()
+    for r in rows:
+        assert r["ids"] == MODEL.encode(r["row"]["text"] or "", add_eos=True)
+        assert r["decoded"] == (r["row"]["text"] or "")
+    assert chunk_table.decoded(chunk_table.encoded(none(spark))).collect() == []
+    nulls = spark.createDataFrame([(None,), ([],)], "ids array<int>")
+    assert [r["decoded"] for r in chunk_table.decoded(nulls).collect()] == ["", ""]

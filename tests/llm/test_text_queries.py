@@ -21,6 +21,7 @@ COLUMNS = {
     "op8_host_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     "op9_source_mix": "doc_id size source_size target taken",
     "op10_simhash": "doc_id fingerprint component_id",
+    "op11_chunk_table": "doc_id n_tokens ids_sha256 decoded_sha256",
     "pipeline": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
 }
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticktape.llm import apportion, best_fit, bloom_cascade, gam, host_rules, licences, min_cut, resharding, simhash_bits, spotsigs, sql, tables
+from ticktape.llm import apportion, best_fit, bloom_cascade, chunk_table, gam, host_rules, licences, min_cut, resharding, simhash_bits, spotsigs, sql, tables
 
 
 def op1_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +73,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chunk_table.decoded(chunk_table.encoded(tables.documents(spark, sf_dir)))
+    return rows.select(
+        "row.doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,7 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_spot_signatures, op2_flow_resharding, op3_best_fit_packing, op4_min_cut_text, op5_url_cascade, op6_licence_scan, op7_quality_gam,
-        op8_host_rules, op9_source_mix, op10_simhash, pipeline,
+        op8_host_rules, op9_source_mix, op10_simhash, op11_chunk_table, pipeline,
     )
     return {f.__name__: f for f in named}
 
