@@ -33,6 +33,8 @@ def test_random_texts(texts):
 
 @pytest.mark.parametrize("text", ["", " ", "  ", "a ", " a", "▁", "▁ a▁", "</s><s><unk> <0x0A>", "x" * 9000, " " * 9000, "a  " * 5000, "\x00"])
 def test_edges(text):
+    ids = MODEL.encode(text, add_eos=True)
+    assert TABLE.text(ids) == MODEL.decode(ids)
     for size in (3, 1000, chunk_table.SLICE):
         assert by_chunks([text], size) == [MODEL.encode(text, add_eos=True)]
         assert "".join(chunk_table.slices(text.replace(" ", chunk_table.MARK), size)) == text.replace(" ", chunk_table.MARK)
@@ -43,12 +45,19 @@ def test_a_chunk_is_segmented_once_and_a_full_table_is_emptied(monkeypatch):
     segment = own._segment
     monkeypatch.setattr(own, "_segment", lambda: (seen.extend(own.new), segment())[1])
     own.of(["the cat the dog the cat", "a cat"])
+    assert len(seen) == 4
     assert sorted(seen) == sorted(chunk_table.MARK + w for w in ("the", "cat", "dog", "a"))
     monkeypatch.setattr(chunk_table, "CHUNKS", 2)
     assert own.of(["the cat", "the bird"])[0].tolist() == sum(MODEL.encode(["the cat", "the bird"], add_eos=True), [])
     assert len(own) <= 4
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 31_999) | st.integers(0, 300), max_size=8))
+def test_any_ids_decode_as_by_the_library(ids):
+    assert TABLE.text(ids) == MODEL.decode(ids)
+
+
 def test_other_vocabularies_take_whole_texts(monkeypatch):
     own = chunk_table.ChunkTable(chunk_table.default_vocabulary())
     own.separable = False

@@ -1,13 +1,13 @@
 """SentencePiece ids by a table of distinct chunks, and texts back from ids.
 
-In normalised text every blank is a marker.  Where no piece of the vocabulary holds a marker after anything else, no merge can
-cross from the end of a word into the next marker, so a text's ids are the ids of its chunks (markers and what follows them, up to
-the next marker) one after the other.  A task keeps a table of the distinct chunks it has met: new ones are segmented together,
+In normalised text every blank is a marker.  Where no piece of the vocabulary holds a marker after anything else, and none a line end,
+no merge can cross from the end of a word into the next marker or line end, so a text's ids are the ids of its chunks (markers or
+line ends and what follows them, up to the next ones) one after the other.  A task keeps a table of the distinct chunks it has met: new ones are segmented together,
 once, and every text's ids are taken from the table by the places of its chunks.
 
 The table lives in the task: in prose two thirds of all distinct chunks are seen once, and joining them back through a
 shuffle would move several times the corpus.  It is started anew at ``CHUNKS`` entries, and texts are worked off in slices of about
-``SLICE`` characters that end before a marker, so memory is bounded by the longest word, not by the longest text.  A lost task is
+``SLICE`` characters that end before a chunk, so memory is bounded by the longest word, not by the longest text.  A lost task is
 run again on its own rows.  A vocabulary whose pieces cross markers, or that normalises more than blanks, is served by the library on
 whole texts.
 
@@ -30,9 +30,10 @@ from pyspark.sql.functions import arrow_udf
 
 from ticktape.llm.tables import text_of
 
-MARK = "▁"
-CHUNKS, SLICE = 400_000, 1 << 22
-_CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
+MARK, LINE = "▁", "\n"
+CHUNKS, SLICE, JOINED = 500_000, 1 << 20, 2000
+_CHUNK = re.compile(f"(?:{MARK}+|{LINE}+)[^{MARK}{LINE}]*")
+_BEGIN = re.compile(f"(?<!{MARK}){MARK}|(?<!{LINE}){LINE}")
 
 
 def default_vocabulary() -> str:
@@ -42,10 +43,11 @@ def default_vocabulary() -> str:
 
 
 def separable(model) -> bool:
-    """Whether texts may be segmented chunk by chunk: no piece crosses into a marker and only blanks are normalised."""
+    """Whether texts may be segmented chunk by chunk: no piece crosses into a marker, none holds a line end, only blanks are
+    normalised."""
     pieces = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not model.is_control(i)]
-    crossing = any(" " in p or re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
-    probe = " a  ﬁ é½ \t　Ａ "
+    crossing = any(" " in p or LINE in p or re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
+    probe = " a  ﬁ é½ \t　Ａ \n"
     return not crossing and MARK in pieces and model.normalize(probe) == MARK + probe.replace(" ", MARK)
 
 
@@ -56,8 +58,16 @@ class ChunkTable(dict):
         super().__init__()
         import sentencepiece
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
-        self.separable, self.mark = separable(self.model), self.model.piece_to_id(MARK)
+        self.model = model = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
+        self.separable = separable(model)
+        spelled = [(model.id_to_piece(i), model.is_control(i), model.is_byte(i)) for i in range(model.get_piece_size())]
+        #: What a piece stands for; None for the unknown one, which the library spells in its own way.
+        self.spelled = [b"" if c else bytes([int(p[3:5], 16)]) if b else p.replace(MARK, " ").encode() for p, c, b in spelled]
+        self.spelled[model.unk_id()] = None
+        self.marked = [p.startswith(MARK) for p, _, _ in spelled]
+        #: Bytes of marked text that a piece covers.
+        self.covers = np.array([1 if b else len(p.encode()) for p, _, b in spelled])
+        self.lead = len(model.encode(LINE))
         self._empty()
 
     def _empty(self) -> None:
@@ -71,54 +81,84 @@ class ChunkTable(dict):
         return number
 
     def _segment(self) -> None:
-        """Segments the new chunks.  The library puts a marker before every text, so a chunk goes in without its first one."""
-        found = self.model.encode([c[1:] for c in self.new], num_threads=1)
-        found = [ids if c != MARK else [self.mark] for c, ids in zip(self.new, found)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        """Segments the new chunks, many to a call, and finds where each one's ids end by the bytes that they cover.
+
+        A line end goes before them: the library's own marker sticks to it and not to the first chunk.  A chunk of markers
+        alone, which stands at a text's end, goes by itself, as the next one's markers would join it.
+        """
+        texts, size = [[]], 0
+        for chunk in self.new:
+            alone = not chunk.strip(MARK)
+            if size > JOINED or alone:
+                texts.append([])
+                size = 0
+            texts[-1].append(chunk)
+            size = JOINED + 1 if alone else size + len(chunk)
+        found = self.model.encode([LINE + "".join(t) for t in texts], num_threads=1)
+        flat = np.fromiter(chain.from_iterable(ids[self.lead :] for ids in found), np.int32)
+        ends = np.searchsorted(np.cumsum(self.covers[flat]), np.cumsum([len(c.encode()) for c in self.new])) + 1
+        sizes = np.diff(ends, prepend=0)
+        self.starts = np.concatenate([self.starts, len(self.ids) + ends - sizes])
         self.sizes, self.ids, self.new = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, flat]), []
 
-    def _taken(self, marked: str) -> np.ndarray:
-        """The ids of one slice of marked text, taken from the table by the places of its chunks."""
+    def _taken(self, slices: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of slices of marked text, taken from the table by the places of their chunks, and each slice's number of ids."""
         if len(self) >= CHUNKS:
             self._empty()
-        numbers = np.fromiter(map(self.__getitem__, _CHUNK.findall(marked)), np.int64)
+        chunks = [_CHUNK.findall(s) for s in slices]
+        numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(chunks)), np.int64)
         if self.new:
             self._segment()
         sizes = self.sizes[numbers]
-        ends = np.cumsum(sizes)
-        return self.ids[np.repeat(self.starts[numbers] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.ids[np.repeat(self.starts[numbers] - ends[:-1], sizes) + np.arange(ends[-1])]
+        return ids, np.diff(ends[np.cumsum([0, *map(len, chunks)])])
 
     def of(self, texts: list[str], size: int = SLICE) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all ``texts`` in a row, each text's with the end id behind, and where each ends."""
         if not self.separable:
             found = [np.asarray(i, np.int32) for i in self.model.encode(texts, add_eos=True, num_threads=1)]
             return np.concatenate([np.empty(0, np.int32), *found]), np.cumsum([len(i) for i in found], dtype=np.int64)
-        end, parts, counts = np.array([self.model.eos_id()], np.int32), [], []
-        for text in texts:
-            before = len(parts)
-            if text:
-                parts += map(self._taken, slices(MARK + text.replace(" ", MARK), size))
-            parts.append(end)
-            counts.append(sum(map(len, parts[before:])))
-        return np.concatenate([np.empty(0, np.int32), *parts]), np.cumsum(counts, dtype=np.int64)
+        out, counts, waiting, held = [np.empty(0, np.int32)], np.zeros(len(texts), np.int64), [], 0
+
+        def work() -> None:
+            ids, sizes = self._taken([s for _, s in waiting])
+            out.append(ids)
+            np.add.at(counts, [n for n, _ in waiting], sizes)
+            waiting.clear()
+
+        for n, text in enumerate(texts):
+            for part in slices(MARK + text.replace(" ", MARK), size) if text else ():
+                waiting.append((n, part))
+                held += len(part)
+                if held >= size:
+                    work()
+                    held = 0
+        if waiting:
+            work()
+        ends = np.cumsum(counts)
+        return np.insert(np.concatenate(out), ends, self.model.eos_id()), ends + np.arange(1, len(texts) + 1)
+
+    def text(self, ids: list[int]) -> str:
+        """What the library decodes: the pieces' spellings in a row, without the first marker.  Ids that begin with a piece for
+        nothing, are unknown or spell no UTF-8 are left to it."""
+        try:
+            if ids and self.spelled[ids[0]]:
+                return b"".join([self.spelled[i] for i in ids])[self.marked[ids[0]] :].decode()
+        except (TypeError, UnicodeDecodeError):
+            pass
+        return self.model.decode(ids)
 
 
 def slices(marked: str, size: int = SLICE) -> Iterator[str]:
-    """``marked`` in slices of about ``size`` characters, each but the first beginning with a chunk."""
+    """``marked`` in slices of about ``size`` characters, each beginning with a chunk."""
     begin = 0
     while len(marked) - begin > size:
-        cut = marked.rfind(MARK, begin + 1, begin + size)
-        while cut > begin and marked[cut - 1] == MARK:  # a run of markers stays together
-            cut -= 1
-        if cut <= begin:  # one chunk fills the slice: go on to the next one's beginning
-            following = re.compile(f"(?<=[^{MARK}]){MARK}").search(marked, begin + 1)
-            if following is None:
-                break
-            cut = following.start()
-        yield marked[begin:cut]
-        begin = cut
+        following = _BEGIN.search(marked, begin + size)
+        if following is None:
+            break
+        yield marked[begin : following.start()]
+        begin = following.start()
     yield marked[begin:]
 
 
@@ -151,10 +191,10 @@ def text_from(ids: Column, vocabulary: str | None = None) -> Column:
     @arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            model = table(vocabulary).model
+            decoder = table(vocabulary).text
             values, ends = batch.values.to_numpy(zero_copy_only=False), batch.offsets.to_numpy()
             known = zip(ends[:-1], ends[1:], batch.is_valid().to_pylist())
-            yield pa.array([model.decode(values[a:b].tolist()) if valid else "" for a, b, valid in known], pa.string())
+            yield pa.array([decoder(values[a:b].tolist()) if valid else "" for a, b, valid in known], pa.string())
 
     return decode(ids)
 
