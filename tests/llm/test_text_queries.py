@@ -22,6 +22,7 @@ COLUMNS = {
     "op9_source_mix": "doc_id size source_size target taken",
     "op10_simhash": "doc_id fingerprint component_id",
     "op11_chunk_table": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op12_filter_audit": "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley",
     "pipeline": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
 }
 

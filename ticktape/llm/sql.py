@@ -88,3 +88,34 @@ verdicts AS (SELECT source, (failed + mean * strength) / (n + strength) > {host_
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
 FROM judged JOIN verdicts ON judged.source IS NOT DISTINCT FROM verdicts.source
 """
+
+OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+toxic AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
+judged AS (
+  SELECT part, good.doc_id IS NOT NULL AS is_good, toxic.doc_id IS NOT NULL AS is_toxic,
+    (len(words) < 100)::INT + 2 * (100 * len(list_distinct(words)) < 80 * len(words))::INT
+    + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text))::INT
+    + 8 * regexp_matches(text, '[#$%&*|]')::INT
+    + 16 * coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY text), false)::INT AS fails
+  FROM d LEFT JOIN good ON d.doc_id = good.doc_id LEFT JOIN toxic ON d.doc_id = toxic.doc_id),
+letters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS t(letter, bit)),
+orders AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31
+    AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+steps AS (SELECT filter_order, s::INT AS step, bits[s] AS bit, coalesce(list_sum(bits[1:s - 1]), 0)::INT AS earlier
+  FROM orders, range(1, 6) AS t(s)),
+counted AS (
+  SELECT part, filter_order, step, bit,
+    count(*) FILTER (fails & (earlier | bit) = 0) AS kept,
+    count(*) FILTER (fails & bit <> 0 AND fails & earlier = 0) AS removed,
+    count(*) FILTER (fails & bit <> 0 AND fails & earlier <> 0) AS redundant,
+    count(*) FILTER (fails = bit) AS unique_fails,
+    count(*) FILTER (fails & bit <> 0 AND fails & earlier = 0 AND is_good) AS good_lost,
+    count(*) FILTER (fails & bit <> 0 AND fails & earlier = 0 AND is_toxic) AS toxic_lost
+  FROM judged, steps GROUP BY ALL)
+SELECT * EXCLUDE (bit), (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM counted
+"""

@@ -46,6 +46,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def looked_up(rows: DataFrame, side: DataFrame, key: str, busy: int = 1000) -> DataFrame:
+    """``rows``, a written table, with the columns of ``side``, which has one row per key; null where it has none.
+
+    A key with more than a ``busy``-th of the rows meets its row of ``side`` by a broadcast; there are fewer than ``busy`` such keys
+    whatever the input.  The others are shuffled, and no key is then a large part of it.  Null keys match nothing and stay where they are.
+    """
+    known = rows.where(F.col(key).isNotNull())
+    many = known.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") * busy > known.count()).select(key)
+    many = F.broadcast(written(many, "busy-keys"))
+    there = known.join(many, key, "left_semi").join(F.broadcast(side.join(many, key, "left_semi")), key, "left")
+    elsewhere = known.join(many, key, "left_anti").join(side, key, "left")
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in side.schema.fields if f.name != key]
+    columns = [*rows.columns, *[c for c in side.columns if c != key]]
+    lone = rows.where(F.col(key).isNull()).select("*", *nothing)
+    return there.select(*columns).unionByName(elsewhere.select(*columns)).unionByName(lone.select(*columns))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -60,4 +77,4 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-__all__ = ["documents", "labels", "new_folder", "pages", "shared_folder", "ship", "text_of", "written"]
+__all__ = ["documents", "labels", "looked_up", "new_folder", "pages", "shared_folder", "ship", "text_of", "written"]
