@@ -23,6 +23,7 @@ COLUMNS = {
     "op10_simhash": "doc_id fingerprint component_id",
     "op11_chunk_table": "doc_id n_tokens ids_sha256 decoded_sha256",
     "op12_filter_audit": "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley",
+    "op13_source_divergence": "lang source part item value rank",
     "pipeline": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
 }
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticktape.llm import apportion, best_fit, bloom_cascade, chunk_table, filter_audit, gam, host_rules, licences, min_cut, resharding, simhash_bits, spotsigs, sql, tables
+from ticktape.llm import apportion, best_fit, bloom_cascade, chunk_table, divergence, filter_audit, gam, host_rules, licences, min_cut, resharding, simhash_bits, spotsigs, sql, tables
 
 
 def op1_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +85,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audited(tables.documents(spark, sf_dir), tables.labels(spark, sf_dir))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.compared(tables.documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -94,10 +98,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_spot_signatures, op2_flow_resharding, op3_best_fit_packing, op4_min_cut_text, op5_url_cascade, op6_licence_scan, op7_quality_gam,
-        op8_host_rules, op9_source_mix, op10_simhash, op11_chunk_table, op12_filter_audit, pipeline,
+        op8_host_rules, op9_source_mix, op10_simhash, op11_chunk_table, op12_filter_audit, op13_source_divergence, pipeline,
     )
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_spot_signatures": sql.OP1, "op5_url_cascade": sql.OP5, "op8_host_rules": sql.OP8, "op12_filter_audit": sql.OP12}
+    return {"op1_spot_signatures": sql.OP1, "op5_url_cascade": sql.OP5, "op8_host_rules": sql.OP8, "op12_filter_audit": sql.OP12, "op13_source_divergence": sql.OP13}
