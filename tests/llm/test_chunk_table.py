@@ -2,6 +2,7 @@
 
 import hashlib
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -83,12 +84,20 @@ def test_query_against_the_library(spark, sf_dir):
         assert r["decoded_sha256"] == hashlib.sha256(MODEL.decode(ids).encode()).hexdigest()
 
 
+def test_runs_of_rows():
+    batch = pa.array(["ab", None, "", "a" * 10, "b", "c" * 4, "d" * 4])
+    found = [r.to_pylist() for r in chunk_table.runs(batch, 8)]
+    assert sum(found, []) == batch.to_pylist() and [len(r) for r in found] == [3, 1, 2, 1]
+    assert list(chunk_table.runs(batch.slice(0, 0), 8)) == []
+
+
 def test_odd_rows(spark):
     rows = chunk_table.decoded(chunk_table.encoded(odd(spark))).collect()
     assert len(rows) == odd(spark).count()
     for r in rows:
         assert r["ids"] == MODEL.encode(r["row"]["text"] or "", add_eos=True)
         assert r["decoded"] == (r["row"]["text"] or "")
-    assert chunk_table.decoded(chunk_table.encoded(none(spark))).collect() == []
+    assert sorted(map(repr, chunk_table.coded(odd(spark)).collect())) == sorted(map(repr, rows))
+    assert chunk_table.coded(none(spark)).collect() == chunk_table.decoded(chunk_table.encoded(none(spark))).collect() == []
     nulls = spark.createDataFrame([(None,), ([],)], "ids array<int>")
     assert [r["decoded"] for r in chunk_table.decoded(nulls).collect()] == ["", ""]

@@ -24,6 +24,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -31,7 +32,7 @@ from pyspark.sql.functions import arrow_udf
 from ticktape.llm.tables import text_of
 
 MARK, LINE = "▁", "\n"
-CHUNKS, SLICE, JOINED = 500_000, 1 << 20, 2000
+CHUNKS, SLICE, JOINED = 300_000, 1 << 20, 2000
 _CHUNK = re.compile(f"(?:{MARK}+|{LINE}+)[^{MARK}{LINE}]*")
 _BEGIN = re.compile(f"(?<!{MARK}){MARK}|(?<!{LINE}){LINE}")
 
@@ -171,6 +172,26 @@ def table(vocabulary: str) -> ChunkTable:
     return _TABLES[vocabulary]
 
 
+def runs(batch: pa.Array, most: int = SLICE) -> Iterator[pa.Array]:
+    """A batch in runs of rows of about ``most`` bytes, so that a worker holds the lists of few texts at a time."""
+    ends, begin = np.cumsum(pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False)), 0
+    while begin < len(batch):
+        before = ends[begin - 1] if begin else 0
+        stop = max(begin + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(begin, stop - begin)
+        begin = stop
+
+
+def _lists(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))
+
+
+def _spans(lists: pa.Array) -> Iterator[list[int]]:
+    values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    for a, b, valid in zip(ends[:-1], ends[1:], lists.is_valid().to_pylist()):
+        yield values[a:b].tolist() if valid else []
+
+
 def ids_of(text: Column, vocabulary: str | None = None) -> Column:
     """The ids of a text column, end id included."""
     vocabulary = vocabulary or default_vocabulary()
@@ -178,8 +199,8 @@ def ids_of(text: Column, vocabulary: str | None = None) -> Column:
     @arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            ids, ends = table(vocabulary).of(batch.to_pylist())
-            yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))
+            for run in runs(batch):
+                yield _lists(*table(vocabulary).of(run.to_pylist()))
 
     return encode(text)
 
@@ -191,14 +212,26 @@ def text_from(ids: Column, vocabulary: str | None = None) -> Column:
     @arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            decoder = table(vocabulary).text
-            values, ends = batch.values.to_numpy(zero_copy_only=False), batch.offsets.to_numpy()
-            known = zip(ends[:-1], ends[1:], batch.is_valid().to_pylist())
-            yield pa.array([decoder(values[a:b].tolist()) if valid else "" for a, b, valid in known], pa.string())
+            yield pa.array(map(table(vocabulary).text, _spans(batch)), pa.string())
 
     return decode(ids)
 
 
+def both_of(text: Column, vocabulary: str | None = None) -> Column:
+    """``ids`` of a text column and the text ``decoded`` from them, by one Python worker."""
+    vocabulary = vocabulary or default_vocabulary()
+
+    @arrow_udf("ids array<int>, decoded string")
+    def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for run in runs(batch):
+                ids = _lists(*table(vocabulary).of(run.to_pylist()))
+                texts = pa.array(map(table(vocabulary).text, _spans(ids)), pa.string())
+                yield pa.StructArray.from_arrays([ids, texts], ["ids", "decoded"])
+
+    return code(text)
+
+
 def encoded(docs: DataFrame, vocabulary: str | None = None, text: str = "text") -> DataFrame:
     """``row`` (the input row) and ``ids`` of every document."""
     return docs.select(F.struct("*").alias("row"), ids_of(text_of(text), vocabulary).alias("ids"))
@@ -207,3 +240,9 @@ def encoded(docs: DataFrame, vocabulary: str | None = None, text: str = "text")
 def decoded(rows: DataFrame, vocabulary: str | None = None, ids: str = "ids") -> DataFrame:
     """``rows`` with the text ``decoded`` from their ids."""
     return rows.withColumn("decoded", text_from(F.col(ids), vocabulary))
+
+
+def coded(docs: DataFrame, vocabulary: str | None = None, text: str = "text") -> DataFrame:
+    """``row`` (the input row), ``ids`` and the text ``decoded`` from them."""
+    both = docs.select(F.struct("*").alias("row"), both_of(text_of(text), vocabulary).alias("both"))
+    return both.select("row", "both.ids", "both.decoded")

@@ -74,7 +74,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunk_table.decoded(chunk_table.encoded(tables.documents(spark, sf_dir)))
+    rows = chunk_table.coded(tables.documents(spark, sf_dir))
     return rows.select(
         "row.doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
