@@ -87,3 +87,48 @@ def test_sources_over_many_shards(spark, monkeypatch):
         shards = -(-len(own) // 5)
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= apportion.BLOCK * shards
         assert all(r["taken"] <= 2 * r["size"] for r in own)
+
+
+def words_of(rows):
+    found = {}
+    for r in rows:
+        found.setdefault(r["doc_id"], []).extend((r["text"] or "").split())
+    return {k: sorted(v) for k, v in found.items()}
+
+
+def test_the_mix_takes_what_the_plan_gives_in_small_shards(spark, monkeypatch):
+    monkeypatch.setattr(apportion, "SHARD_ROWS", 7)
+    rows = [(i, " ".join(f"w{i}.{j}" for j in range(i * i % 61)), f"s{i % 5}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    took = {r["doc_id"]: r["taken"] for r in apportion.mixed(docs).collect()}
+    found = words_of(apportion.mix(docs).collect())
+    assert {k: len(v) for k, v in found.items()} == {k: n for k, n in took.items() if n}
+    # no word more than once oftener than another of its document: the two spans of a run do not overlap
+    assert all(max(map(v.count, set(v))) - min(map(v.count, set(v))) <= 1 or took[k] < len(set(v)) for k, v in found.items())
+
+
+def test_identical_rows_are_mixed_like_any(spark, monkeypatch):
+    monkeypatch.setattr(apportion, "SHARD_ROWS", 50)
+    rows = [(1, "a b c d e f g", "x", {"k": 1})] * 200 + [(1, "a b c d e f g", "x", {"k": 2})] * 20 + [(i, "p q r", "y", None) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, more map<string,int>")
+    took = sum(r["taken"] for r in apportion.mixed(docs).where("source = 'x'").collect())
+    mixed = apportion.mix(docs)
+    found = mixed.where("source = 'x'").collect()
+    assert mixed.columns == docs.columns
+    assert sum(len(r["text"].split()) for r in found) == took
+    assert {r["more"]["k"] for r in found} <= {1, 2} and len(found) >= took // 7
+
+
+def test_shards_are_bounded_in_all(spark, monkeypatch):
+    monkeypatch.setattr(apportion, "SHARD_ROWS", 2)
+    monkeypatch.setattr(apportion, "SHARDS", 10)
+    docs = spark.createDataFrame([(i, "a b c", "big" if i % 10 else f"s{i}") for i in range(200)], "doc_id long, text string, source string")
+    sizes = tables.written(apportion.sized(docs), "sizes")
+    sources, quotas = apportion.plan(sizes)
+    assert quotas.count() <= 10 + sources.count()
+    assert sum(r["taken"] for r in apportion.mixed(docs).collect()) == sum(len(r["text"].split()) for r in apportion.mix(docs).collect())
+
+
+def test_texts_are_not_shuffled(spark, sf_dir):
+    plan = apportion.mix(tables.documents(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet [doc_id") == 2 and "Window" not in plan  # once for whole rows, once for those that are cut

@@ -8,12 +8,16 @@
    fills whole rounds, and one run of further blocks from a seeded start, around the end.  A document is taken whole or
    not at all but where a run begins or ends inside it.
 
-A source has a shard for every ``SHARD_ROWS`` documents (``SHARDS`` at most), so a source that holds a third of all rows
-is spread over many tasks.  Sources are counted in Spark; their table comes to the driver, as a list of weights has to,
-and more than ``MOST_SOURCES`` sources are an error.
+A source has a shard for every ``SHARD_ROWS`` documents, or its part of ``SHARDS`` shards in all where that is less, so a source that
+holds a third of all rows is spread over many tasks and the shards' table has a bounded size.  Sources are counted in Spark; their
+table comes to the driver, as a list of weights has to, and more than ``MOST_SOURCES`` sources are an error.
+
+Only sizes are sorted and summed.  A shard's run comes down to the places where it begins and ends, so ``mix`` reads the texts once,
+where they lie: a document before, inside or behind the run is left, taken or left.  Only those that a run cuts, a few of a
+shard, are put beside their spans by a join.  ``twin``, a hash of the whole row, tells rows of one key and text apart.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source of its own, last in order; identical
-rows lie next to each other in their shard; a mix of nothing is empty.
+rows lie next to each other in their shard, and one of them stands for all that a run cuts; a mix of nothing is empty.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 from ticktape.llm.tables import text_of, written
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
-BLOCK, SHARD_ROWS, SHARDS, SEED = 16, 512, 4096, 17
+BLOCK, SHARD_ROWS, SHARDS, SEED = 16, 512, 1 << 16, 17
 MOST_SOURCES = 100_000
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -75,13 +79,22 @@ def highest_quotients(seats: int, weights: list, caps: list[int] | None = None)
     return [int(t) for t in taken]
 
 
-def sized(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", row: bool = False) -> DataFrame:
-    """``key``, ``source``, ``size`` and ``order``, the seeded place of a row among others; with ``row`` the input row too."""
-    body = text_of(text)
+def order_of(key: str, text: str) -> Column:
+    """The seeded place of a row among others."""
+    return F.xxhash64(F.lit(SEED), F.col(key), F.xxhash64(text_of(text)))
+
+
+def twin_of(docs: DataFrame) -> Column:
+    """A hash of the whole row, whatever its types."""
+    plain = [F.to_json(F.struct(f"`{f.name}`")) if any(t in f.dataType.simpleString() for t in ("map<", "variant")) else F.col(f"`{f.name}`") for f in docs.schema.fields]
+    return F.xxhash64(*plain)
+
+
+def sized(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """``key``, ``source``, ``size``, ``order`` (the seeded place of a row among others) and ``twin``."""
     return docs.select(
-        *([F.struct("*").alias("row")] if row else []),
-        F.col(key).alias("key"), F.col(source).cast("string").alias("source"), n_words(body).alias("size"),
-        F.xxhash64(F.lit(SEED), F.col(key), F.xxhash64(body)).alias("order"),
+        F.col(key).alias("key"), F.col(source).cast("string").alias("source"), n_words(text_of(text)).alias("size"),
+        order_of(key, text).alias("order"), twin_of(docs).alias("twin"),
     )
 
 
@@ -95,8 +108,10 @@ def plan(sizes: DataFrame, share: float = SHARE, most: int = MOST, block: int =
     held = {r["source"]: r["size"] for r in found}
     goal = targets(held, {r["source"]: WEIGHTS[i % len(WEIGHTS)] for i, r in enumerate(found)}, share, most)
     seats = highest_quotients(int(sum(goal.values()) / block + Fraction(1, 2)), list(map(goal.get, held)))
+    n = sum(r["n"] for r in found)
+    shards_of = lambda own: min(-(-own // SHARD_ROWS), -(-own * SHARDS // n))
     rows = [
-        (i, r["source"], r["size"], float(goal[r["source"]]), max(1, min(SHARDS, -(-r["n"] // SHARD_ROWS))), q, bool(goal[r["source"]] >= most * r["size"]))
+        (i, r["source"], r["size"], float(goal[r["source"]]), shards_of(r["n"]), q, bool(goal[r["source"]] >= most * r["size"]))
         for i, (r, q) in enumerate(zip(found, seats))
     ]
     known = spark.createDataFrame(rows, "no int, source string, source_size long, target double, shards int, quota long, all_of_it boolean")
@@ -125,7 +140,7 @@ def sharded(rows: DataFrame, sources: DataFrame) -> DataFrame:
 
 def placed(rows: DataFrame, quotas: DataFrame, block: int = BLOCK) -> DataFrame:
     """``sharded`` rows with what they give: ``rounds`` times all of their words, and two spans (``skip``, ``take``) to the run."""
-    window = Window.partitionBy("no", "shard").orderBy("order", "key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    window = Window.partitionBy("no", "shard").orderBy("order", "key", "size", "twin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at = rows.withColumn("stop", F.sum("size").over(window)).join(quotas, ["no", "shard"])
     n = F.greatest("blocks", F.lit(1))
     first = F.pmod(F.xxhash64(F.lit(SEED), "no", "shard"), n)
@@ -154,16 +169,46 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     )
 
 
+def _runs(given: DataFrame) -> DataFrame:
+    """One row per shard that gives anything: its ``rounds``, the first and last place that each span of its run takes whole
+    (``from0, to0, from1, to1``), and ``cuts``, the places that a run cuts; there are four at most."""
+    at, takes = F.struct("order", "twin"), [F.col("spans")[i]["take"] for i in (0, 1)]
+    alike = given.groupBy("no", "shard", "order", "twin").agg(
+        F.first("rounds").alias("rounds"),
+        *[F.min(F.coalesce(t == F.col("size"), F.lit(False)) & (F.col("size") > 0)).alias(f"in{i}") for i, t in enumerate(takes)],
+        F.max(takes[0] + takes[1]).alias("most"),
+    )
+    inside = [F.when(F.col(f"in{i}"), at) for i in (0, 1)]
+    cut = F.when((F.col("most") > 0) & ~F.col("in0") & ~F.col("in1"), at)
+    ends = [a for i, x in enumerate(inside) for a in (F.min(x).alias(f"from{i}"), F.max(x).alias(f"to{i}"))]
+    runs = alike.groupBy("no", "shard").agg(F.max("rounds").alias("rounds"), *ends, F.collect_set(cut).alias("cuts"))
+    return runs.where("rounds > 0 OR from0 IS NOT NULL OR from1 IS NOT NULL OR size(cuts) > 0")
+
+
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for every time a document is taken, its text cut to the words
     taken where a run begins or ends inside it."""
-    sources, quotas = plan(written(sized(docs, key, text, source), "sizes"))
-    rows = placed(sharded(sized(docs, key, text, source, row=True), sources), quotas)
-    whole = F.array_repeat(F.struct(F.lit(0).cast("long").alias("skip"), F.col("size").alias("take")), F.col("rounds").cast("int"))
-    spans = F.filter(F.concat(whole, "spans"), lambda s: s["take"] > 0)
-    taken = rows.select("row", "size", F.explode(spans).alias("span"))
-    old = F.col("row").getField(text)
+    sizes = written(sized(docs, key, text, source), "sizes")
+    sources, quotas = plan(sizes)
+    places = ["no", "shard", "order", "twin"]
+    given = written(placed(sharded(sizes, sources), quotas).select(*places, "size", "rounds", "spans"), "given")
+    runs = written(_runs(given), "runs")
+    told = docs.select(F.struct("*").alias("row"), F.col(source).cast("string").alias("source"), order_of(key, text).alias("order"), twin_of(docs).alias("twin"))
+    at, old = F.struct("order", "twin"), F.col("row").getField(text)
+    # the shards' table is bounded by SHARDS and MOST_SOURCES
+    rows = sharded(told, sources).join(F.broadcast(runs), ["no", "shard"]).where(text_of("row." + text).rlike(_WORD))
+    rows = rows.withColumn("is_cut", F.array_contains("cuts", at))
+    inside = [F.coalesce(at.between(F.col(f"from{i}"), F.col(f"to{i}")), F.lit(False)).cast("long") for i in (0, 1)]
+    whole = rows.where("NOT is_cut").select("row", F.explode(F.array_repeat(F.lit(0), (F.col("rounds") + inside[0] + inside[1]).cast("int"))))
+    one = rows.where("is_cut").groupBy(*places).agg(F.first("row").alias("row"))
+    parts = F.filter(
+        F.concat(F.array_repeat(F.struct(F.lit(0).cast("long").alias("skip"), F.col("size").alias("take")), F.col("rounds").cast("int")), "spans"),
+        lambda s: s["take"] > 0,
+    )
+    taken = given.join(one, places).select("row", "size", F.explode(parts).alias("span"))
     words = F.regexp_extract_all(old, F.lit(_WORD), F.lit(0))
     cut = F.array_join(F.slice(words, (F.col("span.skip") + 1).cast("int"), F.col("span.take").cast("int")), " ")
     new = F.when(F.col("span.take") == F.col("size"), old).otherwise(cut)
-    return taken.select(*[new.alias(f.name) if f.name == text else F.col("row").getField(f.name).alias(f.name) for f in docs.schema.fields])
+    fields = {f.name: F.col("row").getField(f.name) for f in docs.schema.fields}
+    shape = lambda part, body: part.select(*[(body if n == text else c).alias(n) for n, c in fields.items()])
+    return shape(whole, old).unionByName(shape(taken, new))

@@ -257,10 +257,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay when one row of each component is kept: the one of the smallest key."""
-    row, same = F.struct("*").alias("row"), F.xxhash64(text_of(text))
-    ident = F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"), same.alias("same"))
+    ident = F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"), F.xxhash64(text_of(text)).alias("same"))
     marks = written(docs.select(ident.alias("smallest"), fingerprint_udf(shingle)(text_of(text)).alias("mark")), "simhash")
-    kept = classes(marks, radius).select(F.col("smallest.key").alias("key"), F.col("smallest.same").alias("same")).distinct()
-    rows = docs.select(row, F.col(key).alias("key"), same.alias("same"))
-    stay = rows.alias("r").join(kept.alias("k"), F.col("r.key").eqNullSafe(F.col("k.key")) & (F.col("r.same") == F.col("k.same")), "left_semi")
-    return stay.dropDuplicates(["key", "same"]).select("row.*")
+    place = lambda i: F.struct(i["no_key"].alias("no_key"), F.coalesce(i["key"].cast("string"), F.lit("")).alias("key"), i["same"].alias("same"))
+    kept = classes(marks, radius).select(place(F.col("smallest")).alias("place")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), place(ident).alias("place"))
+    # repeated rows go where they lie, and what is left of them is dealt out once for both steps
+    return rows.dropDuplicates(["place"]).join(kept, "place", "left_semi").select("row.*")
