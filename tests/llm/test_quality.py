@@ -1,10 +1,11 @@
+import functools
 import zlib
 
 import numpy as np
 from odd_rows import none, odd
 from pyspark.sql import functions as F
 
-from ticktape.llm import gam, host_rules, tables
+from ticktape.llm import gam, host_rules, registry, tables
 
 
 def test_held_out_accuracy(spark, sf_dir):
@@ -84,7 +85,7 @@ def test_a_bad_host_loses_all_and_a_small_one_is_pardoned(spark):
     rows = [("bad", good.format(i) if i % 10 == 0 else "short") for i in range(200)]
     rows += [(f"h{h}", good.format(i)) for h in range(40) for i in range(20)] + [("tiny", "short"), ("tiny", good), (None, good), (None, "short")]
     docs = spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(rows)], "doc_id long, text string, source string")
-    verdicts = {r["host"]: r["rejected"] for r in host_rules.host_verdicts(docs).collect()}
+    verdicts = {r["host"]: r["rejected"] for r in host_rules.host_verdicts(host_rules.measured(docs)).collect()}
     assert verdicts["bad"] and not any(v for k, v in verdicts.items() if k != "bad") and None in verdicts
     kept = host_rules.accepted(docs)
     assert kept.where("source = 'bad'").count() == 0 and kept.where("source = 'tiny'").count() == 1 and kept.where("source is null").count() == 1
@@ -99,14 +100,29 @@ def test_own_rules_fail_junk_and_count_for_hosts(spark):
     rows = [("junk", junk[i % 4].format(i)) for i in range(60)] + [("junk", good.format(i)) for i in range(100)]
     rows += [(f"h{h}", good.format(i)) for h in range(200) for i in range(20)]
     docs = spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(rows)], "doc_id long, text string, source string")
-    base = host_rules.judged(docs).where("kept")
+    base = host_rules.judged(docs, own=False).where("kept")
     assert base.where("host = 'junk'").count() > 100  # 0.375 of the host's rows at most, under the fixed limit
-    kept = host_rules.judged(docs, own=True)
+    kept = host_rules.judged(docs)
     bad = [r for r in kept.collect() if r["failed"]]
     assert len(bad) == 60 and all(r["host"] == "junk" for r in bad)
-    verdicts = {r["host"]: r["rejected"] for r in host_rules.host_verdicts(docs, own=True).collect()}
+    verdicts = {r["host"]: r["rejected"] for r in host_rules.host_verdicts(host_rules.measured(docs)).collect()}
     assert [k for k, v in verdicts.items() if v] == ["junk"]
-    assert kept.where("kept and host = 'junk'").count() == 0 and host_rules.accepted(docs, own=True).count() == 4000
+    assert kept.where("kept and host = 'junk'").count() == 0 and host_rules.accepted(docs).count() == 4000
+
+
+def test_the_query_rejects_a_planted_bad_host(spark, sf_dir, tmp_path):
+    """Three of four documents of one host become junk of symbols: the query's own settings then keep none of that host."""
+    docs = tables.documents(spark, sf_dir)
+    host = docs.first()["source"]
+    again = [docs.where(F.col("source") == host).withColumn("doc_id", F.col("doc_id") + i * 10**6) for i in range(1, 12)]
+    rows = functools.reduce(lambda a, b: a.unionByName(b), again, docs)
+    junk = (F.col("source") == host) & (F.pmod(F.xxhash64("doc_id"), F.lit(4)) > 0)
+    rows.withColumn("text", F.when(junk, F.concat(F.repeat(F.lit("### "), 200), "text")).otherwise(F.col("text"))).write.parquet(f"{tmp_path}/documents.parquet")
+    found = registry.queries()["op8_host_rules"](spark, str(tmp_path)).join(rows.select("doc_id", "source"), "doc_id")
+    kept = {r["source"]: r["n"] for r in found.where("kept").groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert host not in kept and len(kept) == docs.select("source").distinct().count() - 1
+    before = registry.queries()["op8_host_rules"](spark, sf_dir).join(docs.select("doc_id", "source"), "doc_id")
+    assert before.where("kept").where(F.col("source") == host).count() > 0
 
 
 def test_the_host_limit_follows_the_prior():

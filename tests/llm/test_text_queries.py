@@ -49,15 +49,29 @@ def test_query(spark, sf_dir, name):
         assert sorted((tuple(r[c] for c in names) for r in rows), key=repr) == sorted(cursor.fetchall(), key=repr)
 
 
+def passing(rows):
+    """What the quality rules keep, host by host."""
+    fails = {}
+    for r in rows:
+        words, chars, symbols, dup, repeated, lines = host_rules.tallies(r["text"])
+        own = 10 * symbols > words or (dup >= 3 and 10 * dup > 3 * lines) or not 3 * words <= chars <= 12 * words
+        fails.setdefault(r["source"], []).append(words < 10 or 100 * repeated > 20 * words or own)
+    n, mean = sum(map(len, fails.values())), sum(map(sum, fails.values())) / sum(map(len, fails.values()))
+    beyond = sum(len(f) * (sum(f) / len(f) - mean) ** 2 for f in fails.values()) / n - mean * (1 - mean) * len(fails) / n
+    strength = min(max(mean * (1 - mean) / beyond - 1, 1.0), 1e6) if beyond > 0 else 1e6
+    limit = min(max(mean + 3 * (mean * (1 - mean) / (strength + 1)) ** 0.5, 0.2), 0.5)
+    bad = {s for s, f in fails.items() if (sum(f) + mean * strength) / (len(f) + strength) > limit}
+    at = {s: iter(f) for s, f in fails.items()}
+    return [r for r in rows if not next(at[r["source"]]) and r["source"] not in bad]
+
+
 def test_pipeline_against_plain_steps(spark, sf_dir):
     docs, labels = tables.documents(spark, sf_dir), tables.labels(spark, sf_dir)
     model = gam.train(docs, labels)
     rows = [r.asDict() for r in docs.collect()]
     kept = [r for r, s in zip(rows, model.score(gam.feature_matrix(r["text"] for r in rows))) if s >= 0.7]
     assert 0 < len(kept) < len(rows)
-    fails = [r for r in kept if (c := host_rules.counts(r["text"]))[0] < 10 or 100 * c[4] > 20 * c[0]]
-    failed = {r["doc_id"] for r in fails}
-    kept = [r for r in kept if r["doc_id"] not in failed]  # no host fails here
+    kept = passing(kept)
     marks = [simhash_bits.fingerprint(r["text"]) for r in kept]
     root = list(range(len(kept)))
     for i in range(len(kept)):

@@ -1,16 +1,14 @@
 """Quality rules judged per document and per host.
 
-Every document is counted and put to plain rules.  Failures are added up by host; a host's failure rate is shrunk towards the
-rate of all hosts by a beta prior whose strength is estimated from how much the hosts differ, so a host with
-few documents cannot be condemned by two bad ones.  Hosts whose shrunk rate passes ``HOST_LIMIT`` are rejected, and the
-verdict is joined back to their documents.
+Every document is counted and put to plain rules: the base ones (too few words, too many in repeated windows) and the operator's own
+(symbols a word, repeated lines, mean word length).  Failures of any rule are added up by host; a host's failure rate is shrunk
+towards the rate of all hosts by a beta prior whose strength is estimated from how much the hosts differ, so a host with few documents
+cannot be condemned by two bad ones.  Hosts whose shrunk rate passes a limit are rejected, and the verdict is joined back to their
+documents.  The limit follows from the prior: ``FAR_OUT`` standard deviations above the rate of all hosts, but at least
+``LEAST_LIMIT`` and at most ``HOST_LIMIT``.  ``own=False`` judges by the base rules and ``HOST_LIMIT`` alone.
 
-``own=True`` adds the operator's own rules (symbols per word, repeated lines, mean word length) to the base ones and derives
-the limit: ``FAR_OUT`` standard deviations of the prior above the rate of all hosts, but at least ``LEAST_LIMIT`` and at most
-``HOST_LIMIT``.  op8 and the pipeline leave it out, as op8's SQL and the pipeline's test state the base rules and the fixed limit.
-
-The counts are made twice, once for the hosts and once for the documents, rather than stored with the texts: no text is
-shuffled and hosts are pre-aggregated, so a host may hold any share of the documents.
+Every text is counted once and its counts are stored beside what the caller carries along; hosts are pre-aggregated from there, so
+a host may hold any share of the documents.
 
 Defined cases: a null text has no words and fails; a null host is a host of its own; repeated rows count each;
 no rows give no rows and no hosts.
@@ -32,7 +30,7 @@ from ticktape.llm.tables import text_of, written
 LEAST_WORDS, MOST_REPEATED, WINDOW = 10, 20, 5
 HOST_LIMIT = 0.5
 #: The operator's own rules: symbols and repeated lines by tenths, characters a word.
-MOST_SYMBOLS, MOST_DUP_LINES, SHORTEST, LONGEST = 1, 3, 3, 10
+MOST_SYMBOLS, MOST_DUP_LINES, LEAST_DUP_LINES, SHORTEST, LONGEST = 1, 3, 3, 3, 12
 FAR_OUT, LEAST_LIMIT = 3.0, 0.2
 #: Bounds of the prior's strength, in documents.
 WEAKEST, STRONGEST = 1.0, 1e6
@@ -78,36 +76,32 @@ def base_failed(found: Column) -> Column:
 def own_failed(found: Column) -> Column:
     return (
         (10 * found["n_symbols"] > MOST_SYMBOLS * found["n_words"])
-        | (10 * found["n_dup_lines"] > MOST_DUP_LINES * found["n_lines"])
+        | ((found["n_dup_lines"] >= LEAST_DUP_LINES) & (10 * found["n_dup_lines"] > MOST_DUP_LINES * found["n_lines"]))
         | (found["word_chars"] < SHORTEST * found["n_words"])
         | (found["word_chars"] > LONGEST * found["n_words"])
     )
 
 
-def measured(docs: DataFrame, host: str = "source", text: str = "text", own: bool = False) -> DataFrame:
-    """``row`` (the input row), ``host``, ``found`` (its counts), ``base_failed`` and ``failed`` (any rule)."""
-    rows = docs.select(F.struct("*").alias("row"), F.col(host).cast("string").alias("host"), counts_udf()(text_of(text)).alias("all"))
+def measured(docs: DataFrame, host: str = "source", text: str = "text", own: bool = True, carry: list[str] | None = None) -> DataFrame:
+    """``row`` (the columns to ``carry``, all by default), ``host``, ``found`` (its counts), ``base_failed`` and ``failed`` (any rule)."""
+    row = F.struct(*carry) if carry else F.struct("*")
+    rows = docs.select(row.alias("row"), F.col(host).cast("string").alias("host"), counts_udf()(text_of(text)).alias("all"))
     every = F.col("all")
     base = base_failed(every)
     failed = base | own_failed(every) if own else base
     found = F.struct(*[every[n].alias(n) for n in NAMES])
-    return rows.select("row", "host", found.alias("found"), base.alias("base_failed"), failed.alias("failed"))
+    return written(rows.select("row", "host", found.alias("found"), base.alias("base_failed"), failed.alias("failed")), "measured")
 
 
-def host_verdicts(docs: DataFrame, limit: float | None = None, host: str = "source", text: str = "text", own: bool = False) -> DataFrame:
-    """``host``, ``n``, ``failed``, ``rate`` (shrunk) and ``rejected`` of every host; a ``limit`` of None is the module's."""
-    hosts = written(
-        measured(docs, host, text, own).groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("failed")),
-        "hosts",
-    )
+def host_verdicts(rows: DataFrame, own: bool = True) -> DataFrame:
+    """``host``, ``n``, ``failed``, ``rate`` (shrunk) and ``rejected`` of every host of ``measured`` rows."""
+    hosts = written(rows.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("failed")), "hosts")
     n_hosts, n, failed = hosts.agg(F.count("*"), F.sum("n"), F.sum("failed")).first()
     mean = min(max((failed or 0) / max(1, n or 0), 1e-6), 1 - 1e-6)
     apart = hosts.agg(F.sum(F.col("n") * F.pow(F.col("failed") / F.col("n") - mean, 2)) / max(1, n or 0)).first()[0] or 0.0
     a, b = prior(n_hosts, n or 0, mean, apart)
     rate = (F.col("failed") + a) / (F.col("n") + a + b)
-    if limit is None:
-        limit = host_limit(a, b) if own else HOST_LIMIT
-    return hosts.withColumn("rate", rate).withColumn("rejected", F.col("rate") > limit)
+    return hosts.withColumn("rate", rate).withColumn("rejected", F.col("rate") > (host_limit(a, b) if own else HOST_LIMIT))
 
 
 def host_limit(a: float, b: float) -> float:
@@ -125,16 +119,14 @@ def prior(n_hosts: int, n: int, mean: float, apart: float) -> tuple[float, float
     return mean * strength, (1 - mean) * strength
 
 
-def judged(docs: DataFrame, host: str = "source", text: str = "text", own: bool = False) -> DataFrame:
+def judged(docs: DataFrame, host: str = "source", text: str = "text", own: bool = True, carry: list[str] | None = None) -> DataFrame:
     """``measured`` rows with ``kept``: not failed themselves, and not from a rejected host."""
-    verdicts = host_verdicts(docs, host=host, text=text, own=own).select(F.col("host").alias("h"), "rejected")
-    rows = measured(docs, host, text, own)
-    both = rows.join(verdicts, rows["host"].eqNullSafe(verdicts["h"]), "left").drop("h")
-    return both.withColumn("kept", ~F.col("failed") & ~F.coalesce("rejected", F.lit(False)))
+    rows = measured(docs, host, text, own, carry)
+    bad = host_verdicts(rows, own).where("rejected").select(F.col("host").alias("h"), "rejected")
+    both = rows.join(bad, rows["host"].eqNullSafe(bad["h"]), "left").drop("h")
+    return both.withColumn("kept", ~F.col("failed") & F.col("rejected").isNull())
 
 
-def accepted(docs: DataFrame, host: str = "source", text: str = "text", own: bool = False) -> DataFrame:
+def accepted(docs: DataFrame, host: str = "source", text: str = "text", own: bool = True) -> DataFrame:
     """The rows of ``docs`` that are kept."""
-    bad = host_verdicts(docs, host=host, text=text, own=own).where("rejected").select(F.col("host").alias("h"))
-    rows = measured(docs, host, text, own).where("not failed")
-    return rows.join(bad, rows["host"].eqNullSafe(bad["h"]), "left_anti").select("row.*")
+    return judged(docs, host, text, own).where("kept").select("row.*")

@@ -61,7 +61,8 @@ def op7_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return host_rules.judged(tables.documents(spark, sf_dir)).select("row.doc_id", "found.*", "base_failed", "kept")
+    rows = host_rules.judged(tables.documents(spark, sf_dir), carry=["doc_id"])
+    return rows.select("row.doc_id", "found.*", "base_failed", "kept")
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

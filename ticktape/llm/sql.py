@@ -75,17 +75,21 @@ covered AS (
 counted AS (
   SELECT doc_id, source, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
     len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
-    coalesce(covered.n, 0) AS n_repeat_words
+    len(lines) AS n_lines, coalesce(covered.n, 0) AS n_repeat_words
   FROM windows LEFT JOIN covered USING (doc_id)),
-judged AS (SELECT *, n_words < {host_rules.LEAST_WORDS} OR 100 * n_repeat_words > {host_rules.MOST_REPEATED} * n_words AS base_failed FROM counted),
-hosts AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS failed FROM judged GROUP BY source),
+judged AS (SELECT *, n_words < {host_rules.LEAST_WORDS} OR 100 * n_repeat_words > {host_rules.MOST_REPEATED} * n_words AS base_failed,
+    base_failed OR 10 * n_symbols > {host_rules.MOST_SYMBOLS} * n_words
+    OR (n_dup_lines >= {host_rules.LEAST_DUP_LINES} AND 10 * n_dup_lines > {host_rules.MOST_DUP_LINES} * n_lines)
+    OR word_chars < {host_rules.SHORTEST} * n_words OR word_chars > {host_rules.LONGEST} * n_words AS any_failed FROM counted),
+hosts AS (SELECT source, count(*) AS n, count(*) FILTER (any_failed) AS failed FROM judged GROUP BY source),
 average AS (SELECT count(*) AS hosts, sum(n) AS n, least(greatest(sum(failed) / sum(n), 1e-6), 1 - 1e-6) AS mean FROM hosts),
 apart AS (SELECT sum(hosts.n * (hosts.failed / hosts.n - mean) ** 2) / any_value(average.n)
     - any_value(mean * (1 - mean) * hosts / average.n) AS beyond, any_value(mean) AS mean FROM hosts, average),
 prior AS (SELECT mean, CASE WHEN beyond > 0 THEN least(greatest(mean * (1 - mean) / beyond - 1, {host_rules.WEAKEST}), {host_rules.STRONGEST})
     ELSE {host_rules.STRONGEST} END AS strength FROM apart),
-verdicts AS (SELECT source, (failed + mean * strength) / (n + strength) > {host_rules.HOST_LIMIT} AS rejected FROM hosts, prior)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
+verdicts AS (SELECT source, (failed + mean * strength) / (n + strength) > least(greatest(
+    mean + {host_rules.FAR_OUT} * sqrt(mean * (1 - mean) / (strength + 1)), {host_rules.LEAST_LIMIT}), {host_rules.HOST_LIMIT}) AS rejected FROM hosts, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT any_failed AND NOT rejected AS kept
 FROM judged JOIN verdicts ON judged.source IS NOT DISTINCT FROM verdicts.source
 """
 
