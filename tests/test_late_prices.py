@@ -1,0 +1,106 @@
+"""Bars in any order of landing give what the batch operator gives for all of them."""
+
+import glob
+import os
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from ticktape.operators.price_action import price_action
+from ticktape.streaming import late_prices
+
+COLUMNS = ["ingest_seq", "pair", "open", "close", "last", "direction", "pct", "kind"]
+SHAPE = "ingest_seq long, pos int, pair string, open double, close double, timestamp long, event_type string"
+
+
+def _bars(n, seed, pairs=4):
+    rng = random.Random(seed)
+    return [(i, rng.randint(0, 1), rng.choice("ABCD"[:pairs]), rng.uniform(90, 110), rng.uniform(90, 110), 1_700_000_000_000 + i, "XA") for i in range(n)]
+
+
+def _rows(df):
+    return sorted(map(repr, df.select(*COLUMNS).collect()))
+
+
+def _measure(spark, rows, batch_id, folder):
+    late_prices.measure(spark.createDataFrame(rows, SHAPE), f"{folder}/out", f"{folder}/checkpoint", "r", batch_id, 5.0)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_any_order_of_bars(spark, tmp_path, seed):
+    rows = _bars(60, seed)
+    mixed = random.Random(seed).sample(rows, len(rows))
+    batches = [mixed[i : i + 12] for i in range(0, 60, 12)]
+    for n, batch in enumerate(batches):
+        _measure(spark, batch, n, tmp_path)
+        so_far = spark.createDataFrame(sum(batches[: n + 1], []), SHAPE)
+        assert _rows(late_prices.read_current(spark, f"{tmp_path}/out")) == _rows(price_action(so_far, 5.0))
+
+
+def test_a_repeated_micro_batch_changes_nothing(spark, tmp_path):
+    rows = _bars(40, 5)
+    for n, batch in enumerate((rows[20:30], rows[:10], rows[10:20], rows[30:])):
+        _measure(spark, batch, n, tmp_path)
+        before = _rows(late_prices.read_current(spark, f"{tmp_path}/out"))
+        _measure(spark, batch, n, tmp_path)
+        assert _rows(late_prices.read_current(spark, f"{tmp_path}/out")) == before
+    assert before == _rows(price_action(spark.createDataFrame(rows, SHAPE), 5.0))
+
+
+def test_bars_in_order_are_written_once_and_read_no_history(spark, tmp_path, monkeypatch):
+    rows = _bars(30, 7)
+    seen = []
+    inner = late_prices._neighbours
+    monkeypatch.setattr(late_prices, "_neighbours", lambda *a: seen.append(inner(*a)) or seen[-1])
+    for n in range(3):
+        _measure(spark, rows[10 * n : 10 * n + 10], n, tmp_path)
+    assert seen == [(None, None)] * 2
+    assert spark.read.parquet(f"{tmp_path}/out").where("rewritten").count() == 0
+    # one late bar rewrites its follower alone, and reads only the micro-batches that overlap it
+    late = [(14, 5, rows[15][2], 100.0, 101.0, rows[14][5], "XA")]
+    _measure(spark, late, 3, tmp_path)
+    assert spark.read.parquet(f"{tmp_path}/out").where("rewritten").count() <= 1
+    assert _rows(late_prices.read_current(spark, f"{tmp_path}/out")) == _rows(price_action(spark.createDataFrame(rows + late, SHAPE), 5.0))
+
+
+def test_empty_micro_batches_and_new_pairs(spark, tmp_path):
+    rows = _bars(20, 9, pairs=2)
+    other = [(5, 0, "Z", 10.0, 11.0, 1_700_000_000_000, "XA"), (2, 0, "Z", 9.0, 9.5, 1_700_000_000_000, "XA")]
+    for n, batch in enumerate((rows[10:], [], other[:1], rows[:10], other[1:])):
+        _measure(spark, batch, n, tmp_path)
+    assert _rows(late_prices.read_current(spark, f"{tmp_path}/out")) == _rows(price_action(spark.createDataFrame(rows + other, SHAPE), 5.0))
+
+
+def test_late_stream_needs_an_order(spark, tmp_path):
+    stream = spark.readStream.schema("pair string, open double, close double").parquet(str(tmp_path))
+    with pytest.raises(ValueError):
+        late_prices.late_price_stream(stream, "out", "checkpoint")
+
+
+def test_previous_values_beside_the_close(spark):
+    rows = _bars(50, 11)
+    df = spark.createDataFrame(rows, SHAPE).withColumn("mark", F.col("ingest_seq") % 3)
+    got = {r["ingest_seq"]: r["last_mark"] for r in price_action(df, 5.0, beside=("mark",)).collect()}
+    newest = {}
+    for seq, _, pair, *_ in sorted(rows):
+        assert got[seq] == newest.get(pair)
+        newest[pair] = seq % 3
+
+
+def test_output_survives_a_restart(spark, tmp_path):
+    rows = _bars(20, 3)
+    spark.createDataFrame(rows[10:], SHAPE).coalesce(1).write.parquet(f"{tmp_path}/landed")
+
+    def run():
+        landed = spark.readStream.schema(SHAPE).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/landed")
+        query = late_prices.late_price_stream(landed, f"{tmp_path}/out", f"{tmp_path}/checkpoint", 5.0).trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    run()
+    spark.createDataFrame(rows[:10], SHAPE).coalesce(1).write.mode("append").parquet(f"{tmp_path}/landed")
+    run()
+    for file in glob.glob(f"{tmp_path}/checkpoint/commits/*1*") + glob.glob(f"{tmp_path}/checkpoint/commits/.*1*"):
+        os.remove(file)
+    run()
+    assert _rows(late_prices.read_current(spark, f"{tmp_path}/out")) == _rows(price_action(spark.createDataFrame(rows, SHAPE), 5.0))

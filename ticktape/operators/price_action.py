@@ -86,12 +86,14 @@ def price_action(
     scope: str = "pair",
     arrival: Arrival | None = None,
     carried: DataFrame | None = None,
+    beside: tuple[str, ...] = (),
 ) -> DataFrame:
     """Bars with ``last``, ``direction`` (up, down, same), ``pct`` and ``kind`` (spike, drop or NULL).
 
     ``scope='pair'`` compares with the pair's previous close, minute and second bars alike; a pair's first bar
     is compared with its own open, or with the pair's price in ``carried`` (``pair, last``) if there is one.
-    ``scope='bar'`` compares every bar with its own open.
+    ``scope='bar'`` compares every bar with its own open.  ``beside`` names columns of ``bars`` whose value in the pair's previous bar
+    is wanted as ``last_<name>`` (scope ``pair`` only; NULL for a pair's first bar here).
 
     Bars are dealt out by (pair, bucket), once; the previous close is found inside a group, and only the last
     close of each group travels on, to the first bar of the pair's next one.  So a pair that holds much of the
@@ -107,16 +109,19 @@ def price_action(
     # The whole last row, not its close alone: with other columns this would be another exchange, and another
     # reading of the source.
     latest = F.max_by(F.struct(*dealt.columns), F.struct(*arrival.rank))
-    closing = dealt.groupBy(*keys).agg(latest.alias("_row")).select(*keys, F.col("_row.close").alias("_close"))
+    wanted = ("close", *beside)
+    closing = dealt.groupBy(*keys).agg(latest.alias("_row")).select(*keys, *[F.col(f"_row.{c}").alias(f"_{c}") for c in wanted])
     # A pair has one row here per bucket.
-    before = F.lag("_close").over(Window.partitionBy("pair").orderBy(*keys[1:]))
-    opening = closing.select(*keys, before.alias("_before"))
+    by_bucket = Window.partitionBy("pair").orderBy(*keys[1:])
+    opening = closing.select(*keys, *[F.lag(f"_{c}").over(by_bucket).alias(f"_before_{c}") for c in wanted])
     if carried is not None:
         seed = carried.select("pair", F.col("last").alias("_seed"))
-        opening = opening.join(seed, "pair", "left").select(*keys, F.coalesce("_before", "_seed").alias("_before"))
-    previous = F.lag("close").over(Window.partitionBy(*keys).orderBy(*arrival.rank))
-    rows = dealt.join(opening, keys).withColumn("last", F.coalesce(previous, "_before", "open"))
-    return _measure(rows.select(*bars.columns, "last"), threshold)
+        opening = opening.join(seed, "pair", "left").withColumn("_before_close", F.coalesce("_before_close", "_seed")).drop("_seed")
+    inside = Window.partitionBy(*keys).orderBy(*arrival.rank)
+    previous = {c: F.coalesce(F.lag(c).over(inside), f"_before_{c}") for c in wanted}
+    rows = dealt.join(opening, keys).withColumn("last", F.coalesce(previous.pop("close"), "open"))
+    rows = rows.withColumns({f"last_{c}": value for c, value in previous.items()}) if beside else rows
+    return _measure(rows.select(*bars.columns, "last", *[f"last_{c}" for c in beside]), threshold)
 
 
 def last_prices(bars: DataFrame, arrival: Arrival | None = None, carried: DataFrame | None = None) -> DataFrame:

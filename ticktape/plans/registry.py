@@ -17,7 +17,7 @@ from ticktape.plans import event_feed as feed
 from ticktape.plans import market
 from ticktape.sinks import tables
 from ticktape.sources import filter_config, frames
-from ticktape.streaming import prices, trades, workdir
+from ticktape.streaming import late_prices, prices, trades, workdir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -587,6 +587,20 @@ def stream_price_action(spark, sf_dir):
     return prices.read_price_action(spark, f"{work}/prices").select(*_ACTION)
 
 
+def stream_late_files(spark, sf_dir):
+    """Bar frames whose files land in another order than they were recorded in, a file to a micro-batch."""
+    work = workdir.new_folder(spark, "stream")
+    feed.family_frames(_all_bars(spark, sf_dir), S.BAR).write.parquet(f"{work}/recorded")
+    bar_frames = spark.read.parquet(f"{work}/recorded")
+    part = F.pmod(F.floor(F.col("ingest_seq") / (bar_frames.agg(F.max("ingest_seq")).first()[0] / 12 + 1)), F.lit(12))
+    for chosen in ((3, 8), (0,), (5, 11), (1, 2, 9), (4, 7), (6, 10)):
+        bar_frames.where(part.isin(*chosen)).coalesce(1).write.mode("append").parquet(f"{work}/landed")
+    landed = frames.stream_frame_table(spark, f"{work}/landed", max_files=1)
+    bars = decode.decode_family(decode.split_frames(landed), S.BAR)
+    _run(late_prices.late_price_stream(bars, f"{work}/prices", f"{work}/checkpoint", 50.0))
+    return late_prices.read_current(spark, f"{work}/prices").select(*_ACTION)
+
+
 def _run(stream) -> None:
     stream.trigger(availableNow=True).start().awaitTermination()
 
@@ -757,6 +771,7 @@ _REGISTRY: dict[str, tuple[Query, str]] = {
         alerts_two_runs,
         " UNION ALL ".join([f"SELECT {_ALERT_COLUMNS} FROM ({_action_sql('fx_hour', _LAG)}) WHERE kind IS NOT NULL"] * 3),
     ),
+    "stream_late_files": (stream_late_files, _action_sql("fx_bars", _LAG)),
     "stream_price_action": (stream_price_action, _action_sql("fx_bars", _LAG)),
 }
 
