@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from ticktape import schemas as S
 from ticktape.operators import decode, filters, price_action, topics
-from ticktape.sinks import tables
+from ticktape.sinks import commits, tables
 from ticktape.streaming.trades import matches
 
 
@@ -53,12 +53,13 @@ def run_batch(
 
     Under ``root``: the trade table of matches, ``alerts``, ``rejects``, and a table for each family in ``store`` (quotes,
     books, bars) with its events of the wanted topics.  ``staged`` holds the decoded rows of the families that are read
-    here, and no others.  Returns the run's name, which all of its folders carry.
+    here, and no others.  The tables show the run when all of them are written.  Returns the run's name, which all of its folders
+    carry.
     """
     spark, run = frames.sparkSession, tables.new_run()
     families = {f.name: f for f in (S.TRADE, S.BAR, *store)}.values()
     staged_path = f"{root.rstrip('/')}/staged"
-    tables.write_staged(decode.stage_events(frames, families), staged_path, run)
+    tables.write_staged(decode.stage_events(frames, families), staged_path, run, commit=False)
     staged = spark.read.option("basePath", staged_path).parquet(f"{staged_path}/run={run}")
     topic_names = None if topic_names is None else list(topic_names)
 
@@ -67,10 +68,12 @@ def run_batch(
         return rows if topic_names is None else topics.topic_filter(rows, topic_names)
 
     chosen = {"default": filters.parameterized()} if event_filters is None else event_filters
-    tables.write_table(filters.fan_out(events(S.TRADE), chosen, S.TRADE), S.TRADE, root, conditions, run)
+    tables.write_table(filters.fan_out(events(S.TRADE), chosen, S.TRADE), S.TRADE, root, conditions, run, commit=False)
     measured = price_action.price_action(events(S.BAR), threshold, scope)
-    tables.write_alerts(price_action.alerts(measured), f"{root.rstrip('/')}/alerts", run)
+    tables.write_alerts(price_action.alerts(measured), f"{root.rstrip('/')}/alerts", run, commit=False)
     for family in store:
-        tables.write_table(events(family), family, root, run=run)
-    tables.write_rejects(staged, root, run)
+        tables.write_table(events(family), family, root, run=run, commit=False)
+    tables.write_rejects(staged, root, run, commit=False)
+    written = [tables.table_path("", f) for f in (S.TRADE, *store)]
+    commits.record(spark, root, [*[commits.place(p)[1] for p in written], "alerts", "rejects"], run, 0)
     return run

@@ -15,7 +15,7 @@ from ticktape import schemas as S
 from ticktape.operators import decode, filters, price_action, topics
 from ticktape.plans import event_feed as feed
 from ticktape.plans import market
-from ticktape.sinks import tables
+from ticktape.sinks import commits, tables
 from ticktape.sources import filter_config, frames
 from ticktape.streaming import late_prices, prices, trades, workdir
 
@@ -544,6 +544,20 @@ _FLOW_SQL = f"""SELECT what, event_type, pair, count(*) AS n, CAST(sum(timestamp
 ) GROUP BY what, event_type, pair"""
 
 
+def persist_half_written(spark, sf_dir):
+    """Two jobs have appended to the trade table, a third died halfway, and a fourth came after the answer that is asked for again."""
+    root = workdir.new_folder(spark, "persist")
+    found = market.trade_matches(feed.mixed_frames(_trades(spark, sf_dir)))
+    odd = F.col("ingest_seq") % 8 >= 4
+    tables.write_table(found.where(odd), S.TRADE, root, run="first")
+    tables.write_table(found.where(odd), S.TRADE, root, run="first")  # run again: nothing is added
+    tables.write_table(found.where(~odd), S.TRADE, root, run="second")
+    tables.write_table(found.where(odd), S.TRADE, root, run="died", commit=False)
+    then = commits.newest(spark, root)
+    tables.write_table(found, S.TRADE, root, run="later")
+    return _show(tables.read_table(spark, S.TRADE, root, as_of=then), S.TRADE, "filter_id", _dated())
+
+
 # --- streams ----------------------------------------------------------------------------------------
 
 
@@ -601,6 +615,25 @@ def stream_late_files(spark, sf_dir):
     return late_prices.read_current(spark, f"{work}/prices").select(*_ACTION)
 
 
+def stream_flow(spark, sf_dir):
+    """Both flows on one stream, decoded once, summed up from what they stored."""
+    work = workdir.new_folder(spark, "stream")
+    _all_frames(spark, sf_dir).write.parquet(f"{work}/recorded")
+    recorded = spark.read.parquet(f"{work}/recorded")
+    top = recorded.agg(F.max("ingest_seq")).first()[0]
+    for step in range(3):
+        low, high = top * step // 3, top * (step + 1) // 3
+        arrived = recorded.where((F.col("ingest_seq") > (low if step else -1)) & (F.col("ingest_seq") <= high))
+        arrived.coalesce(1).write.mode("append").parquet(f"{work}/landed")
+    landed = frames.stream_frame_table(spark, f"{work}/landed", max_files=1)
+    _run(trades.persist_all(landed, f"{work}/root", f"{work}/checkpoint", threshold=50.0))
+    stored = tables.read_table(spark, S.TRADE, f"{work}/root").select(F.lit("match").alias("what"), "pair", "event_type", "timestamp")
+    raised = tables.read_appended(spark, f"{work}/root/alerts").select(F.col("kind").alias("what"), "pair", "event_type", "timestamp")
+    return stored.unionByName(raised).groupBy("what", "event_type", "pair").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("timestamp").alias("timestamps")
+    )
+
+
 def _run(stream) -> None:
     stream.trigger(availableNow=True).start().awaitTermination()
 
@@ -758,6 +791,8 @@ _REGISTRY: dict[str, tuple[Query, str]] = {
     ),
     "flow_trades": (flow_trades, _FLOW_TRADES.format(date=_DATE)),
     "flow_batch": (flow_batch, _FLOW_SQL),
+    "stream_flow": (stream_flow, _FLOW_SQL),
+    "persist_half_written": (persist_half_written, _FLOW_TRADES.format(date=_DATE)),
     "stream_filter_persist": (stream_filter_persist, _FLOW_TRADES.format(date="").replace("filter_id,  FROM", "filter_id FROM")),
     "stream_staged": (
         stream_staged,

@@ -5,7 +5,8 @@ run, the arrival columns and ``filter_id`` identify a row, so no serial number i
 
 Every writer, batch or stream, writes ``run=<run>/batch_id=<n>/`` below the table's folder, so any number of them
 may share one.  A batch job is a run of its own; a stream's run is kept in its checkpoint, so that a micro-batch that
-is run again overwrites what it wrote and a new checkpoint never touches an older one's rows.
+is run again meets what it wrote and a new checkpoint never touches an older one's rows.  What is whole is noted in a log
+(``commits``), and ``read_table`` and its like give nothing else.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from ticktape import schemas as S
+from ticktape.sinks import commits
 
 _DAY_MS = 86_400_000
 # 0001-01-01 and 9999-12-31 in epoch days, the dates a partition can be named after.
@@ -74,31 +76,49 @@ def stream_run(spark: SparkSession, checkpoint: str) -> str:
         return run
 
 
-def append(rows: DataFrame, path: str, run: str | None = None, batch_id: int = 0, by: str | None = "event_date") -> None:
-    """Rows of one run and batch, partitioned by ``by``.  The same run and batch written again is replaced."""
+def append(
+    rows: DataFrame, path: str, run: str | None = None, batch_id: int = 0, by: str | None = "event_date", commit: bool = True
+) -> None:
+    """Rows of one run and batch, partitioned by ``by``, noted in the log when they are in place.
+
+    A batch that the log holds is not written again.  With ``commit=False`` the caller notes it, together with other tables.
+    """
+    spark, (root, name) = rows.sparkSession, commits.place(path)
+    if commit and run is not None and commits.is_done(spark, root, [name], run, batch_id):
+        return
+    run = run or new_run()
     writer = rows.write.mode("overwrite")
     if by is not None:
         writer = writer.partitionBy(by)
-    writer.parquet(f"{path.rstrip('/')}/run={run or new_run()}/batch_id={batch_id}")
+    writer.parquet(f"{path.rstrip('/')}/run={run}/batch_id={batch_id}")
+    if commit:
+        commits.record(spark, root, [name], run, batch_id)
 
 
 def write_table(
     events: DataFrame, family: S.Family, root: str, conditions: str = "keep", run: str | None = None, batch_id: int = 0,
-    rebalance: bool = True,
+    rebalance: bool = True, commit: bool = True,
 ) -> None:
     """Append events to the family's table.
 
     ``rebalance`` lets Spark even out the files: small dates share a task, a large one is split over many.
     """
     rows = table_rows(events, family, conditions)
-    append(rows.hint("rebalance", "event_date") if rebalance else rows, table_path(root, family), run, batch_id)
+    append(rows.hint("rebalance", "event_date") if rebalance else rows, table_path(root, family), run, batch_id, commit=commit)
 
 
-def read_table(spark: SparkSession, family: S.Family, root: str) -> DataFrame:
-    """The family's table, as written by all runs.  Columns that a run did not have are NULL."""
+def read_table(spark: SparkSession, family: S.Family, root: str, as_of: int | None = None) -> DataFrame:
+    """The family's table, as written by all finished runs, or by those that had finished ``as_of`` an entry of the log.  Columns
+    that a run did not have are NULL."""
     arrival = [T.StructField(c, S.ARRIVAL_TYPES[c]) for c in S.ARRIVAL_COLUMNS]
     schema = T.StructType([*family.table_schema.fields, *arrival, T.StructField("filter_id", T.StringType())])
-    return spark.read.schema(schema).parquet(table_path(root, family))
+    path = table_path(root, family)
+    return commits.visible(spark.read.schema(schema).parquet(path), path, as_of)
+
+
+def read_appended(spark: SparkSession, path: str, as_of: int | None = None) -> DataFrame:
+    """Alerts, rejects or any other table that ``append`` wrote: its finished runs and batches."""
+    return commits.visible(spark.read.parquet(path), path, as_of)
 
 
 def for_each(frames: DataFrame, checkpoint: str, write: Callable[[DataFrame, str, int], None]) -> DataStreamWriter:
@@ -121,21 +141,23 @@ def stream_table(
     return for_each(events, checkpoint, write)
 
 
-def write_staged(staged: DataFrame, path: str, run: str | None = None, batch_id: int = 0) -> None:
+def write_staged(staged: DataFrame, path: str, run: str | None = None, batch_id: int = 0, commit: bool = True) -> None:
     """Write ``stage_events`` output: every family and the rejects of one pass over the frames."""
-    append(staged, path, run, batch_id, by="family")
+    append(staged, path, run, batch_id, by="family", commit=commit)
 
 
-def write_alerts(alerts: DataFrame, path: str, run: str | None = None, batch_id: int = 0, rebalance: bool = True) -> None:
+def write_alerts(
+    alerts: DataFrame, path: str, run: str | None = None, batch_id: int = 0, rebalance: bool = True, commit: bool = True
+) -> None:
     """Publish alerts, or any measured bars, to a table by UTC date."""
     dated = alerts.withColumn("event_date", event_date(F.col("timestamp")))
-    append(dated.hint("rebalance", "event_date") if rebalance else dated, path, run, batch_id)
+    append(dated.hint("rebalance", "event_date") if rebalance else dated, path, run, batch_id, commit=commit)
 
 
-def write_rejects(staged: DataFrame, root: str, run: str | None = None, batch_id: int = 0) -> None:
+def write_rejects(staged: DataFrame, root: str, run: str | None = None, batch_id: int = 0, commit: bool = True) -> None:
     """The rejects among ``stage_events`` rows, with their reason."""
     columns = [*S.arrival_columns(staged.columns), "raw", "reason"]
-    append(staged.where(F.col("family") == "reject").select(*columns), f"{root.rstrip('/')}/rejects", run, batch_id, by=None)
+    append(staged.where(F.col("family") == "reject").select(*columns), f"{root.rstrip('/')}/rejects", run, batch_id, None, commit)
 
 
 def database_rows(events: DataFrame, family: S.Family, conditions: str = "keep") -> DataFrame:

@@ -114,7 +114,7 @@ def _neighbours(spark: SparkSession, state: str, batch_id: int, late: DataFrame,
 
 def read_current(spark: SparkSession, output: str) -> DataFrame:
     """Every bar once, as last measured.  Only bars with more than one version are looked up, and those are few."""
-    rows = spark.read.parquet(output)
+    rows = tables.read_appended(spark, output)
     bar = ["run", "pair", *_order(rows.columns)]
     newer = rows.where("rewritten").groupBy(*bar).agg(F.max("batch_id").alias("_newest"))
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"n.{c}")) for c in bar]

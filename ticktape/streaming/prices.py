@@ -47,17 +47,17 @@ def price_action_stream(
 
 
 def measure(
-    bars: DataFrame, output: str, checkpoint: str, run: str, batch_id: int, threshold: float, scope: str, keep: Keep
+    bars: DataFrame, output: str, checkpoint: str, run: str, batch_id: int, threshold: float, scope: str, keep: Keep, commit: bool = True
 ) -> None:
     """One micro-batch of bars: measured against the carried prices, written, and the prices carried on."""
     if scope == "bar":
-        tables.write_alerts(keep(price_action(bars, threshold, scope="bar")), output, run, batch_id, rebalance=False)
+        tables.write_alerts(keep(price_action(bars, threshold, scope="bar")), output, run, batch_id, rebalance=False, commit=commit)
         return
     state = f"{checkpoint.rstrip('/')}-prices"
     carried, arrival = _read_prices(bars.sparkSession, state, batch_id), arrival_of(bars)
     measured = price_action(bars, threshold, arrival=arrival, carried=carried)
-    tables.write_alerts(keep(measured), output, run, batch_id, rebalance=False)
     last_prices(bars, arrival, carried).write.mode("overwrite").parquet(_slot(state, batch_id))
+    tables.write_alerts(keep(measured), output, run, batch_id, rebalance=False, commit=commit)
 
 
 def _slot(state: str, batch_id: int) -> str:
@@ -72,5 +72,5 @@ def _read_prices(spark: SparkSession, state: str, batch_id: int) -> DataFrame:
 
 
 def read_price_action(spark: SparkSession, output: str) -> DataFrame:
-    """Everything the streams have written so far."""
-    return spark.read.parquet(output)
+    """Everything the streams have finished so far."""
+    return tables.read_appended(spark, output)

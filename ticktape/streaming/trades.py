@@ -9,7 +9,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ticktape import schemas as S
 from ticktape.operators import decode, filters, price_action, topics
-from ticktape.sinks import tables
+from ticktape.sinks import commits, tables
 from ticktape.sources import frames as frame_sources
 from ticktape.streaming import prices
 
@@ -44,10 +44,9 @@ def persist_matches(
         if topic_names is not None:
             trades = topics.topic_filter(trades, topic_names)
         found = filters.fan_out(trades, chosen, S.TRADE)
-        tables.write_table(found, S.TRADE, root, conditions, run, batch_id, rebalance=False)
-        tables.write_rejects(staged, root, run, batch_id)
+        tables.write_table(found, S.TRADE, root, conditions, run, batch_id, rebalance=False, commit=False)
 
-    return _each_staged(frames, checkpoint, (S.TRADE,), write)
+    return _each_staged(frames, root, checkpoint, (S.TRADE,), [_name(S.TRADE)], write)
 
 
 def persist_families(
@@ -62,10 +61,9 @@ def persist_families(
         for family in families:
             events = decode.staged_family(staged, family)
             events = events if topic_names is None else topics.topic_filter(events, topic_names)
-            tables.write_table(events, family, root, run=run, batch_id=batch_id, rebalance=False)
-        tables.write_rejects(staged, root, run, batch_id)
+            tables.write_table(events, family, root, run=run, batch_id=batch_id, rebalance=False, commit=False)
 
-    return _each_staged(frames, checkpoint, families, write)
+    return _each_staged(frames, root, checkpoint, families, map(_name, families), write)
 
 
 def persist_alerts(
@@ -83,13 +81,45 @@ def persist_alerts(
     def write(staged: DataFrame, run: str, batch_id: int) -> None:
         bars = decode.staged_family(staged, S.BAR)
         bars = bars if topic_names is None else topics.topic_filter(bars, topic_names)
-        prices.measure(bars, output, checkpoint, run, batch_id, threshold, scope, price_action.alerts)
+        prices.measure(bars, output, checkpoint, run, batch_id, threshold, scope, price_action.alerts, commit=False)
         if also is not None:
             shape = price_action.alerts(price_action.price_action(bars, threshold, scope="bar")).schema
             also(staged.sparkSession.read.schema(shape).parquet(f"{output}/run={run}/batch_id={batch_id}").select(*shape.names))
-        tables.write_rejects(staged, root, run, batch_id)
 
-    return _each_staged(frames, checkpoint, (S.BAR,), write)
+    return _each_staged(frames, root, checkpoint, (S.BAR,), ["alerts"], write)
+
+
+def persist_all(
+    frames: DataFrame, root: str, checkpoint: str, event_filters: Mapping[str, filters.EventFilter] | None = None,
+    topic_names: Iterable[str] | None = topics.DEFAULT_TOPICS, threshold: float = price_action.DEFAULT_THRESHOLD, scope: str = "pair",
+    conditions: str = "keep", store: Iterable[S.Family] = (),
+) -> DataStreamWriter:
+    """Both flows beside each other on one stream, which is split and decoded once: filter matches to the trade table, spikes
+    and drops to ``alerts``, the families in ``store`` to their tables, and what cannot be read to ``rejects``.
+
+    A micro-batch counts as done, in all of its tables at once, when the last of them is written.
+    """
+    chosen = {"default": filters.parameterized()} if event_filters is None else event_filters
+    topic_names, store = None if topic_names is None else list(topic_names), tuple(store)
+    names = [_name(S.TRADE), "alerts", *map(_name, store)]
+
+    def write(staged: DataFrame, run: str, batch_id: int) -> None:
+        def events(family: S.Family) -> DataFrame:
+            rows = decode.staged_family(staged, family)
+            return rows if topic_names is None else topics.topic_filter(rows, topic_names)
+
+        found = filters.fan_out(events(S.TRADE), chosen, S.TRADE)
+        tables.write_table(found, S.TRADE, root, conditions, run, batch_id, rebalance=False, commit=False)
+        output = f"{root.rstrip('/')}/alerts"
+        prices.measure(events(S.BAR), output, checkpoint, run, batch_id, threshold, scope, price_action.alerts, commit=False)
+        for family in store:
+            tables.write_table(events(family), family, root, run=run, batch_id=batch_id, rebalance=False, commit=False)
+
+    return _each_staged(frames, root, checkpoint, {f.name: f for f in (S.TRADE, S.BAR, *store)}.values(), names, write)
+
+
+def _name(family: S.Family) -> str:
+    return commits.place(tables.table_path("", family))[1]
 
 
 def persist_staged(frames: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
@@ -101,17 +131,24 @@ def persist_staged(frames: DataFrame, path: str, checkpoint: str) -> DataStreamW
     return tables.for_each(frames, checkpoint, write)
 
 
-def _each_staged(frames: DataFrame, checkpoint: str, families: Iterable[S.Family], write) -> DataStreamWriter:
-    """Each micro-batch split and decoded once; ``write`` gets the events of ``families`` and the rejects.
+def _each_staged(
+    frames: DataFrame, root: str, checkpoint: str, families: Iterable[S.Family], names: Iterable[str], write
+) -> DataStreamWriter:
+    """Each micro-batch split and decoded once; ``write`` gets the events of ``families`` and fills the tables ``names``, to which
+    the rejects are added.  The log then takes the batch for all of them; a batch that it holds is passed over.
 
     The decoded rows are kept by the executors while they are read; a lost block is decoded again.
     """
-    families = tuple(families)
+    families, names = tuple(families), [*names, "rejects"]
 
     def one(batch: DataFrame, run: str, batch_id: int) -> None:
+        if commits.is_done(batch.sparkSession, root, names, run, batch_id):
+            return
         staged = decode.stage_events(frame_sources.numbered(batch), families).persist()
         try:
             write(staged, run, batch_id)
+            tables.write_rejects(staged, root, run, batch_id, commit=False)
+            commits.record(staged.sparkSession, root, names, run, batch_id)
         finally:
             staged.unpersist()
 
