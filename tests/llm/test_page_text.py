@@ -94,3 +94,36 @@ def test_odd_pages(spark):
     assert len(rows) == pages.count()
     assert all(r["text"] == "" for r in rows if not (r["row"]["html"] or "").strip())
     assert min_cut.extracted(pages.where("false")).count() == 0
+
+
+def test_values_are_not_attributes():
+    """Words inside another attribute's value, or of a longer name, say nothing about an element."""
+    want = f"Of the old mill.\n\n{STORY}\n\n{MORE}"
+    for link in (
+        '<a href="https://x.org/hidden-gems">the old mill</a>', "<a href=https://x.org/hidden>the old mill</a>",
+        '<span title="hidden valley">the old mill</span>', "<span data-x='style=display:none hidden'>the old mill</span>",
+        '<span data-hidden aria-hidden="false">the old mill</span>', '<span title="a > b, hidden">the old mill</span>',
+    ):
+        assert min_cut.main_text(page(f"<p>Of {link}.</p><p>{STORY}</p><p>{MORE}</p>")) == want, link
+    for attributes in ('data-role="search"', 'data-id="related-7"', "my-class=sidebar", 'data-kind="x" data-style="display:none"'):
+        loose = page(f"<p>Of the old mill.</p><p>{STORY}</p><div {attributes}><p>{MORE}</p></div>").replace("article>", "div>")
+        assert min_cut.main_text(loose) == want, attributes
+    for gone in ("hidden", "HIDDEN=''", 'style="color:red; display : none"', "aria-hidden=true", "title='x' hidden"):
+        assert min_cut.main_text(page(f"<p>{STORY}</p><p {gone}>{MORE}</p>")) == STORY, gone
+    for gone in ('class="sidebar"', "id=comments", "CLASS='x sidebar'", 'role="search"'):
+        assert min_cut.main_text(page(f"<p>{STORY}</p>", after=f"<div {gone}><p>{MORE}</p></div>")) == STORY, gone
+
+
+def test_tags_of_any_length():
+    for n in (10, 25_000, 300_000):
+        menu = f"<div class=menu data-x='{'y' * n}'><p>{MORE}</p></div>"
+        assert min_cut.main_text(page(f"<p>{STORY}</p>", before=menu).replace("article>", "div>")) == STORY
+
+
+def test_broken_tags_are_read_in_one_go():
+    import time
+
+    begin = time.perf_counter()
+    for broken in ('<b "', "<b '", "<b \"'", '<b x="'):
+        min_cut.main_text(page(f"<p>{STORY}</p>") + broken * 100_001)
+    assert time.perf_counter() - begin < 30

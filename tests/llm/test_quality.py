@@ -141,3 +141,15 @@ def test_a_heavy_key_does_not_fill_the_sample(spark, monkeypatch):
     assert 100 < seen[0] < 300
     gam.train(docs.where("doc_id > 1"), labels, sample=200)  # equal rows teach once
     assert seen[1] == sum(zlib.crc32(str(k).encode()) % 4 != 2 for k in range(2, 60))
+
+
+def test_samples_keep_their_size_beside_any_number_of_rows(spark):
+    hashes = spark.range(100_000).select(F.xxhash64("id").alias("h"))
+    for n in (10**5, 10**6):
+        found = hashes.where(tables.sampled(F.col("h"), 20_000, n)).count()
+        assert abs(found - 10**5 * 20_000 / n) < 5 * (20_000) ** 0.5
+    assert hashes.where(tables.sampled(F.col("h"), 20_000, 10)).count() == 10**5
+    # of 10^12 rows a 50-millionth: the lowest hashes pass, and the share of all values that does is the sample's
+    limit = (20_000 << 62) // 10**12
+    ends = spark.createDataFrame([(0,), (limit - 1,), (limit,), (-1,)], "h long").where(tables.sampled(F.col("h"), 20_000, 10**12))
+    assert [r["h"] for r in ends.collect()] == [0, limit - 1] and abs(limit / 2**62 * 10**12 - 20_000) < 1

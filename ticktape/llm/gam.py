@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ticktape.llm.spotsigs import ANCHORS
-from ticktape.llm.tables import text_of
+from ticktape.llm.tables import sampled, text_of
 
 SAMPLE = 20_000
 THRESHOLD = 0.7
@@ -196,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "
         .groupBy(F.col(key).alias("key")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     )
     n = known.count()
-    part = known.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(min(1, sample / max(1, n)) * (1 << 20)))
+    part = known.where(sampled(F.xxhash64("key"), sample, n))
 
     @pandas_udf("array<double>")
     def measured(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -207,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "
     body = text_of(text)
     texts = docs.select(F.col(key).alias("key"), body.alias("text"), F.xxhash64(body).alias("hash")).join(F.broadcast(part), "key")
     m = texts.select("key", "hash").distinct().count()
-    some = texts.where(F.pmod(F.xxhash64("key", "hash"), F.lit(1 << 20)) < int(min(1, sample / max(1, m)) * (1 << 20)))
+    some = texts.where(sampled(F.xxhash64("key", "hash"), sample, m))
     rows = some.select("key", "hash", "y", measured("text").alias("x")).dropDuplicates(["key", "hash"]).collect()
     rows.sort(key=lambda r: (r["key"], r["x"]))
     return fit(np.array([r["x"] for r in rows], float).reshape(-1, len(FEATURES)), np.array([r["y"] for r in rows], float))

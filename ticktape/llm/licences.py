@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ticktape.llm.tables import text_of
+from ticktape.llm.tables import sampled, text_of
 
 # The notices by which each family is commonly declared.
 TEMPLATES = {
@@ -279,10 +279,10 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE_DOCS, lines:
     """A model whose unknown class has seen ordinary paragraphs of about ``sample`` documents, chosen by a hash of their text."""
     n = max(1, docs.count())
     body = text_of(text)
-    some = docs.select(body.alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < int(min(1, sample / n) * (1 << 20)))
+    some = docs.select(body.alias("t")).where(sampled(F.xxhash64("t"), sample, n))
     named = r"(?i)licen[sc]|copyright|public domain|all rights|spdx|\bcc[ -]by"
     cut = some.select(F.explode(F.split("t", "\n")).alias("line")).where((F.trim("line") != "") & ~F.col("line").rlike(named))
-    rows = cut.select(F.substring("line", 1, 400).alias("line")).distinct().orderBy(F.xxhash64("line"), "line").limit(lines).collect()
+    rows = cut.distinct().orderBy(F.xxhash64("line"), "line").limit(lines).collect()
     return fit([r["line"] for r in rows])
 
 

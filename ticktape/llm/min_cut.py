@@ -59,12 +59,36 @@ UNIT = 1000
 #: Ties of neighbours, of consecutive children of one parent, and for each shared step of their paths.
 TIE_NEAR, TIE_PARENT, TIE_STEP = 0.4, 1.2, 0.1
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'){0,20000}+)>")
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_TAG_STOP = re.compile(r"[\"'>]")
+#: A whole name, and its value if it has one: what stands inside a value is no attribute.
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _NAME = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 
 
+def _tag(page: str, at: int, dead: set[int]) -> tuple[str, str, str, int] | None:
+    """The tag that begins at ``at``: slash, name, attributes and where it ends; None if it never ends.
+
+    Quoted values may hold anything and be of any length.  ``dead`` remembers opening quotes from which no end was reached, so that a
+    page of broken tags is not searched to its end for each of them.
+    """
+    head = _TAG.match(page, at)
+    if not head:
+        return None
+    pos, opened = head.end(), []
+    while (stop := _TAG_STOP.search(page, pos)) is not None:
+        if stop[0] == ">":
+            return head[1], head[2], page[head.end() : stop.start()], stop.end()
+        opened.append(stop.start())
+        close = -1 if stop.start() in dead else page.find(stop[0], stop.end())
+        if close < 0:
+            break
+        pos = close + 1
+    dead.update(opened)
+    return None
+
+
 def _attributes(text: str) -> tuple[int, bool]:
     """What class, id and role say about an element (1 content, -1 boilerplate, 0 nothing), and whether it is hidden."""
     says, hidden = 0, False
@@ -140,7 +164,7 @@ def blocks(page: str) -> list[Block]:
     def close(at: int) -> None:
         del stack[at:]
 
-    pos, size = 0, len(page)
+    pos, size, dead = 0, len(page), set()
     while pos < size:
         at = page.find("<", pos)
         if at < 0:
@@ -156,7 +180,7 @@ def blocks(page: str) -> list[Block]:
             stop = page.find(">", at)
             pos = size if stop < 0 else stop + 1
             continue
-        tag = _TAG.match(page, at)
+        tag = _tag(page, at, dead)
         if not tag:
             following = page[at + 1 : at + 3].lstrip("/")
             if following[:1].isalpha() or not following:
@@ -166,8 +190,8 @@ def blocks(page: str) -> list[Block]:
                 say("<")
                 pos = at + 1
             continue
-        pos, name = tag.end(), tag[2].lower()
-        if tag[1]:
+        pos, name = tag[3], tag[1].lower()
+        if tag[0]:
             if name in _BLOCK_TAGS:
                 end_block()
             for i in range(len(stack) - 1, 0, -1):
@@ -201,13 +225,13 @@ def blocks(page: str) -> list[Block]:
                     if stack[i].tag == "head":
                         close(i)
                         break
-        if name in _VOID or tag[3].endswith("/") and name not in _BLOCK_TAGS:
+        if name in _VOID or tag[2].endswith("/") and name not in _BLOCK_TAGS:
             continue
         if name in _RAW:
             stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, pos)
             pos = size if stop is None else stop.end()
             continue
-        stack.append(_Element(name, stack[-1], *_attributes(tag[3])) if tag[3].strip() else _Element(name, stack[-1]))
+        stack.append(_Element(name, stack[-1], *_attributes(tag[2])) if tag[2].strip() else _Element(name, stack[-1]))
     end_block()
     return found
 

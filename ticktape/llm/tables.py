@@ -46,6 +46,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sampled(hash: Column, sample: int, n: int) -> Column:
+    """Whether a row is among about ``sample`` of ``n``, by a 64-bit hash; a share of any smallness is kept, so none rounds to 0."""
+    return hash.bitwiseAND(F.lit((1 << 62) - 1)) < F.lit(min(1 << 62, (sample << 62) // max(1, n)))
+
+
 def looked_up(rows: DataFrame, side: DataFrame, key: str, busy: int = 1000) -> DataFrame:
     """``rows``, a written table, with the columns of ``side``, which has one row per key; null where it has none.
 
@@ -77,4 +82,4 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-__all__ = ["documents", "labels", "looked_up", "new_folder", "pages", "shared_folder", "ship", "text_of", "written"]
+__all__ = ["documents", "labels", "looked_up", "new_folder", "pages", "sampled", "shared_folder", "ship", "text_of", "written"]
