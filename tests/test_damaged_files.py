@@ -1,0 +1,74 @@
+"""A damaged file among good ones: the good ones are read, the damaged one is named."""
+
+import glob
+import gzip
+
+from test_decode import QUOTE, TRADE
+
+from ticktape import schemas as S
+from ticktape.plans import market
+from ticktape.sinks import tables
+from ticktape.sources import frames
+from ticktape.streaming import trades
+
+
+def _land(spark, path):
+    """Five good files of two frames, one cut short and one that is no table at all."""
+    rows = [(i, TRADE if i % 2 else QUOTE) for i in range(12)]
+    spark.createDataFrame(rows, frames.FRAME_TABLE_SCHEMA).repartition(6, "ingest_seq").write.parquet(path)
+    cut = sorted(glob.glob(f"{path}/*.parquet"))[2]
+    gone = spark.read.parquet(cut).count()
+    data = open(cut, "rb").read()
+    with open(cut, "wb") as file:
+        file.write(data[: len(data) // 2])
+    spark.createDataFrame([("x",)], "value string").coalesce(1).write.mode("append").text(path)
+    return 12 - gone
+
+
+def _names(rows):
+    return sorted(r["raw"].rsplit("/")[-1] for r in rows.where("reason = 'unreadable_file'").select("raw").collect())
+
+
+def test_batch_reads_on_and_names_the_damaged(spark, tmp_path):
+    left = _land(spark, f"{tmp_path}/landed")
+    found, lost = frames.read_with_losses(spark, f"{tmp_path}/landed")
+    assert found.count() == left and lost.count() == 2
+    assert {r["reason"] for r in lost.collect()} == {S.UNREADABLE_FILE}
+    market.run_batch(found, f"{tmp_path}/root", topic_names=None, store=(S.QUOTE,), lost=lost)
+    rejects = tables.read_appended(spark, f"{tmp_path}/root/rejects")
+    assert len(_names(rejects)) == 2 and rejects.count() == 2
+    assert tables.read_table(spark, S.TRADE, f"{tmp_path}/root").count() + tables.read_table(spark, S.QUOTE, f"{tmp_path}/root").count() <= left
+
+
+def test_no_damage_costs_one_job_and_names_nothing(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, TRADE) for i in range(8)], frames.FRAME_TABLE_SCHEMA).repartition(4).write.parquet(f"{tmp_path}/landed")
+    asked = []
+    read = lambda s, files, tolerant: asked.append(len(files)) or frames.read_frame_table(s, files, tolerant=tolerant)
+    found, lost = frames.read_with_losses(spark, f"{tmp_path}/landed", read)
+    assert found.count() == 8 and lost.count() == 0 and asked == [4, 4]
+
+
+def test_a_text_file_cut_short_gives_its_first_lines(spark, tmp_path):
+    (tmp_path / "landed").mkdir()
+    lines = "".join(f"{TRADE}\n" for _ in range(20_000)).encode()
+    with gzip.open(f"{tmp_path}/landed/good.gz", "wb") as file:
+        file.write(lines)
+    noisy = b"".join(b'{"ev":"XT","n":"%d"}\n' % (i * 7919 % 1_000_003) for i in range(60_000))
+    packed = gzip.compress(noisy)
+    (tmp_path / "landed" / "cut.gz").write_bytes(packed[: len(packed) // 2])
+    found, lost = frames.read_with_losses(spark, f"{tmp_path}/landed", frames.read_text_frames)
+    assert _names(lost) == ["cut.gz"]
+    assert 20_000 < found.count() < 80_000
+
+
+def test_a_stream_reads_on_and_the_account_is_kept_once(spark, tmp_path):
+    left = _land(spark, f"{tmp_path}/landed")
+    landed = frames.stream_frame_table(spark, f"{tmp_path}/landed", max_files=2, tolerant=True)
+    root = f"{tmp_path}/root"
+    query = trades.persist_families(landed, root, f"{tmp_path}/checkpoint", (S.TRADE, S.QUOTE)).trigger(availableNow=True).start()
+    query.awaitTermination()
+    stored = sum(tables.read_table(spark, f, root).count() for f in (S.TRADE, S.QUOTE))
+    assert stored == left
+    assert tables.note_lost_files(spark, f"{tmp_path}/landed", root) == 2
+    assert tables.note_lost_files(spark, f"{tmp_path}/landed", root) == 0
+    assert len(_names(tables.read_appended(spark, f"{root}/rejects"))) == 2

@@ -48,12 +48,13 @@ def run_batch(
     scope: str = "pair",
     conditions: str = "keep",
     store: Iterable[S.Family] = (),
+    lost: DataFrame | None = None,
 ) -> str:
     """Both flows over one set of frames, which is split and decoded once.
 
     Under ``root``: the trade table of matches, ``alerts``, ``rejects``, and a table for each family in ``store`` (quotes,
     books, bars) with its events of the wanted topics.  ``staged`` holds the decoded rows of the families that are read
-    here, and no others.  The tables show the run when all of them are written.  Returns the run's name, which all of its folders
+    here, and no others.  ``lost`` are the damaged files of ``read_with_losses``, which ``rejects`` then names.  The tables show the run when all of them are written.  Returns the run's name, which all of its folders
     carry.
     """
     spark, run = frames.sparkSession, tables.new_run()
@@ -73,7 +74,7 @@ def run_batch(
     tables.write_alerts(price_action.alerts(measured), f"{root.rstrip('/')}/alerts", run, commit=False)
     for family in store:
         tables.write_table(events(family), family, root, run=run, commit=False)
-    tables.write_rejects(staged, root, run, commit=False)
+    tables.write_rejects(staged, root, run, commit=False, lost=lost)
     written = [tables.table_path("", f) for f in (S.TRADE, *store)]
     commits.record(spark, root, [*[commits.place(p)[1] for p in written], "alerts", "rejects"], run, 0)
     return run

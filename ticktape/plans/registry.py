@@ -198,6 +198,19 @@ _STAGED_SQL = f"""SELECT family, code, count(*) AS n, CAST(sum(seq) AS BIGINT) A
 ) GROUP BY family, code"""
 
 
+def decode_with_damaged_files(spark, sf_dir):
+    """Trades out of a folder in which some files cannot be read; the others are, and ``rejects`` names those."""
+    work = workdir.new_folder(spark, "damaged")
+    feed.mixed_frames(_trades(spark, sf_dir)).repartition(5).write.parquet(f"{work}/landed")
+    spark.createDataFrame([("no frames",), ("at all",)], "value string").repartition(2).write.mode("append").text(f"{work}/landed")
+    landed, lost = frames.read_with_losses(spark, f"{work}/landed")
+    market.run_batch(landed, f"{work}/root", {"all": filters.EventFilter(S.TRADE, lambda: F.lit(True))}, None, lost=lost)
+    stored = tables.read_table(spark, S.TRADE, f"{work}/root").select(F.lit("trade").alias("what"), "timestamp")
+    gone = tables.read_appended(spark, f"{work}/root/rejects").where(F.col("reason") == S.UNREADABLE_FILE)
+    gone = gone.select(F.col("reason").alias("what"), F.lit(0).cast("long").alias("timestamp"))
+    return stored.unionByName(gone).groupBy("what").agg(F.count(F.lit(1)).alias("n"), F.sum("timestamp").alias("timestamps"))
+
+
 def read_text_frames(spark, sf_dir):
     """Frames landed as text files, read back and decoded."""
     path = workdir.new_folder(spark, "landed")
@@ -792,6 +805,11 @@ _REGISTRY: dict[str, tuple[Query, str]] = {
     "flow_trades": (flow_trades, _FLOW_TRADES.format(date=_DATE)),
     "flow_batch": (flow_batch, _FLOW_SQL),
     "stream_flow": (stream_flow, _FLOW_SQL),
+    "decode_with_damaged_files": (
+        decode_with_damaged_files,
+        "SELECT 'trade' AS what, count(*) AS n, CAST(sum(timestamp) AS BIGINT) AS timestamps FROM fx_trades "
+        "UNION ALL SELECT 'unreadable_file', 2, 0",
+    ),
     "persist_half_written": (persist_half_written, _FLOW_TRADES.format(date=_DATE)),
     "stream_filter_persist": (stream_filter_persist, _FLOW_TRADES.format(date="").replace("filter_id,  FROM", "filter_id FROM")),
     "stream_staged": (

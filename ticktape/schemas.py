@@ -131,6 +131,8 @@ ARRIVAL_COLUMNS = tuple(ARRIVAL_TYPES)
 # Reject reasons.
 BAD_JSON = "bad_json"
 NAME_TOO_LONG = "name_too_long"
+#: A landed file that cannot be read to its end; ``raw`` is its path.
+UNREADABLE_FILE = "unreadable_file"
 UNKNOWN_EVENT_TYPE = "unknown_event_type"
 SCHEMA_MISMATCH = "schema_mismatch"
 

@@ -22,6 +22,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ticktape import schemas as S
 from ticktape.sinks import commits
+from ticktape.sources import frames as frame_sources
 
 _DAY_MS = 86_400_000
 # 0001-01-01 and 9999-12-31 in epoch days, the dates a partition can be named after.
@@ -154,10 +155,29 @@ def write_alerts(
     append(dated.hint("rebalance", "event_date") if rebalance else dated, path, run, batch_id, commit=commit)
 
 
-def write_rejects(staged: DataFrame, root: str, run: str | None = None, batch_id: int = 0, commit: bool = True) -> None:
-    """The rejects among ``stage_events`` rows, with their reason."""
+def write_rejects(
+    staged: DataFrame, root: str, run: str | None = None, batch_id: int = 0, commit: bool = True, lost: DataFrame | None = None
+) -> None:
+    """The rejects among ``stage_events`` rows, with their reason, and the files that were ``lost``."""
     columns = [*S.arrival_columns(staged.columns), "raw", "reason"]
-    append(staged.where(F.col("family") == "reject").select(*columns), f"{root.rstrip('/')}/rejects", run, batch_id, None, commit)
+    rows = staged.where(F.col("family") == "reject").select(*columns)
+    rows = rows if lost is None else rows.unionByName(lost, allowMissingColumns=True)
+    append(rows, f"{root.rstrip('/')}/rejects", run, batch_id, None, commit)
+
+
+def note_lost_files(spark: SparkSession, path: str, root: str, read=frame_sources.read_frame_table) -> int:
+    """Adds the damaged files under ``path`` that ``rejects`` does not name yet, for streams that read on over them; their number."""
+    lost = frame_sources.lost_rows(spark, frame_sources.unreadable_files(spark, frame_sources.landed_files(spark, path), read))
+    rejects = f"{root.rstrip('/')}/rejects"
+    try:
+        known = read_appended(spark, rejects).where(F.col("reason") == S.UNREADABLE_FILE).select("raw").distinct()
+        lost = lost.join(known, "raw", "left_anti")
+    except AnalysisException:  # no rejects so far
+        pass
+    files = [r["raw"] for r in lost.collect()]
+    if files:
+        append(frame_sources.lost_rows(spark, files), rejects, by=None)
+    return len(files)
 
 
 def database_rows(events: DataFrame, family: S.Family, conditions: str = "keep") -> DataFrame:

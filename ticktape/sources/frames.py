@@ -5,9 +5,15 @@ Every source gives ``frame`` plus ``ingest_*`` columns that say in which order f
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ticktape import schemas as S
+
 FRAME_TABLE_SCHEMA = "ingest_seq BIGINT, frame STRING"
 
 
@@ -35,35 +41,83 @@ def _text_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_text_frames(spark: SparkSession, path: str, line_sep: str = "\n") -> DataFrame:
+def read_text_frames(spark: SparkSession, path: str | list[str], line_sep: str = "\n", tolerant: bool = False) -> DataFrame:
     """Landed text files, one frame to a line.
 
-    Files arrive by modification time and name; inside a file, blocks and lines keep their order.
+    Files arrive by modification time and name; inside a file, blocks and lines keep their order.  ``tolerant`` reads a damaged
+    file as far as it goes instead of ending the job.
     """
-    return spread(numbered(_text_lines(spark.read.option("lineSep", line_sep).text(path))))
+    reader = spark.read.option("ignoreCorruptFiles", tolerant).option("lineSep", line_sep)
+    return spread(numbered(_text_lines(reader.text(path))))
+
+
+def read_frame_table(spark: SparkSession, path: str | list[str], file_format: str = "parquet", tolerant: bool = False) -> DataFrame:
+    """A table of ``ingest_seq`` and ``frame`` (Parquet, ORC or JSON lines).  ``tolerant`` as for text."""
+    reader = spark.read.schema(FRAME_TABLE_SCHEMA).option("ignoreCorruptFiles", tolerant)
+    return spread(reader.format(file_format).load(path))
+
 
+def landed_files(spark: SparkSession, path: str) -> list[str]:
+    """The files under a path, as Spark lists them."""
+    return sorted(r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect())
+
+
+def unreadable_files(spark: SparkSession, files: list[str], read: Callable[..., DataFrame]) -> list[str]:
+    """Those of ``files`` that cannot be read to their end.
+
+    All of them are read in one distributed job; only if it fails are they halved, again and again, so b damaged files among n cost
+    about b log n jobs, and none costs one.
+    """
+    if not files:
+        return []
+    try:
+        read(spark, files, tolerant=False).agg(F.max(F.length("frame"))).collect()
+        return []
+    except (PySparkException, Py4JJavaError):
+        if len(files) == 1:
+            return files
+    half = len(files) // 2
+    return unreadable_files(spark, files[:half], read) + unreadable_files(spark, files[half:], read)
 
-def read_frame_table(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
-    """A table of ``ingest_seq`` and ``frame`` (Parquet, ORC or JSON lines)."""
-    return spread(spark.read.schema(FRAME_TABLE_SCHEMA).format(file_format).load(path))
 
+def lost_rows(spark: SparkSession, files: list[str]) -> DataFrame:
+    """Damaged files as rejects: the path and the reason."""
+    return spark.createDataFrame([(f, S.UNREADABLE_FILE) for f in files], "raw STRING, reason STRING")
 
-def stream_text_frames(spark: SparkSession, path: str, max_files: int = 100, line_sep: str = "\n") -> DataFrame:
+
+def read_with_losses(spark: SparkSession, path: str, read: Callable[..., DataFrame] = read_frame_table) -> tuple[DataFrame, DataFrame]:
+    """The frames under a path, damaged files as far as they go, and the damaged files as rejects.
+
+    ``read`` is ``read_frame_table`` or ``read_text_frames``.  The files are read once more than without the account of losses.
+    """
+    files = landed_files(spark, path)
+    lost = unreadable_files(spark, files, read)
+    return read(spark, files, tolerant=bool(lost)), lost_rows(spark, lost)
+
+
+def stream_text_frames(
+    spark: SparkSession, path: str, max_files: int = 100, line_sep: str = "\n", tolerant: bool = False
+) -> DataFrame:
     """Text files as they land, a frame to a line, each with its file and block.
 
     A stream cannot number its lines; ``numbered`` does in its micro-batches, which gives every frame its place as
     in ``read_text_frames``.  ``max_files`` per micro-batch is the back-pressure.
     """
-    return _text_lines(spark.readStream.option("maxFilesPerTrigger", max_files).option("lineSep", line_sep).text(path))
+    reader = spark.readStream.option("maxFilesPerTrigger", max_files).option("ignoreCorruptFiles", tolerant)
+    return _text_lines(reader.option("lineSep", line_sep).text(path))
 
 
 def stream_frame_table(
-    spark: SparkSession, path: str, file_format: str = "parquet", max_files: int = 100
+    spark: SparkSession, path: str, file_format: str = "parquet", max_files: int = 100, tolerant: bool = False
 ) -> DataFrame:
-    """A growing table of ``ingest_seq`` and ``frame``, for work that depends on arrival order."""
+    """A growing table of ``ingest_seq`` and ``frame``, for work that depends on arrival order.
+
+    ``tolerant`` reads a damaged file as far as it goes; ``tables.note_lost_files`` then keeps the account.
+    """
     return (
         spark.readStream.schema(FRAME_TABLE_SCHEMA)
         .option("maxFilesPerTrigger", max_files)
+        .option("ignoreCorruptFiles", tolerant)
         .format(file_format)
         .load(path)
     )
