@@ -259,8 +259,10 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, k
     """The rows of ``docs`` that stay when one row of each component is kept: the one of the smallest key."""
     ident = F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"), F.xxhash64(text_of(text)).alias("same"))
     marks = written(docs.select(ident.alias("smallest"), fingerprint_udf(shingle)(text_of(text)).alias("mark")), "simhash")
-    place = lambda i: F.struct(i["no_key"].alias("no_key"), F.coalesce(i["key"].cast("string"), F.lit("")).alias("key"), i["same"].alias("same"))
-    kept = classes(marks, radius).select(place(F.col("smallest")).alias("place")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), place(ident).alias("place"))
+    # three plain columns: a struct of other nullability would be cast, and dealt out once more
+    place = lambda i: [i["no_key"].alias("no_key"), F.coalesce(i["key"].cast("string"), F.lit("")).alias("key"), i["same"].alias("same")]
+    columns = ["no_key", "key", "same"]
+    kept = classes(marks, radius).select(*place(F.col("smallest"))).distinct()
+    rows = docs.select(F.struct("*").alias("row"), *place(ident))
     # repeated rows go where they lie, and what is left of them is dealt out once for both steps
-    return rows.dropDuplicates(["place"]).join(kept, "place", "left_semi").select("row.*")
+    return rows.dropDuplicates(columns).join(kept, columns, "left_semi").select("row.*")
