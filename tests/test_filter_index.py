@@ -1,0 +1,122 @@
+"""Saved filters found by the index of their limits, against the compiled fan-out and a plain loop."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import plan_of
+from ticktape import schemas as S
+from ticktape.operators import filter_index, filters
+from ticktape.sources.filter_config import FilterConfigError
+
+NAN, INF = float("nan"), float("inf")
+DDL = "event_type string, pair string, price double, size double, ingest_seq bigint"
+
+
+def _number(field, operation, value):
+    return {"field": field, "operation": operation, "value": {"Number": value}}
+
+
+def _text(operation, value):
+    return {"field": "pair", "operation": operation, "value": {"Text": value}}
+
+
+def _index(spark, tmp_path, by_id, **options):
+    return filter_index.write_filter_index(filter_index.saved_filters(spark, by_id), str(tmp_path / "index"), **options)
+
+
+def _found(df):
+    return sorted((r.ingest_seq, r.filter_id) for r in df.select("ingest_seq", "filter_id").collect())
+
+
+def _random_filters(rng, n, values):
+    by_id = {}
+    for i in range(n):
+        entries = {}
+        for pair in rng.sample(["A", "B", "C", None], rng.randint(1, 3)):
+            entries[pair] = [
+                rng.choice([
+                    _number(rng.choice(["price", "size"]), rng.choice("><="), rng.choice(values)),
+                    _number(rng.choice(["price", "size"]), rng.choice("><"), rng.uniform(-2, 12)),
+                    _text(rng.choice(["=", "!="]), rng.choice("ABZ")),
+                    _number("price", ">=", 1.0) if rng.random() < 0.1 else _number("price", ">", -INF),
+                ])
+                for _ in range(rng.randint(0, 3))
+            ]
+        by_id[f"f{i}"] = entries
+    return by_id
+
+
+def _compiled(by_id):
+    """Each saved filter as an expression of the ordinary fan-out."""
+    def predicate(entries):
+        listed = [p for p in entries if p is not None]
+        passes = F.lit(False)
+        for pair, criteria in entries.items():
+            of_pair = F.col("pair") == pair if pair is not None else ~F.col("pair").isin(*listed) if listed else F.lit(True)
+            for c in criteria:
+                of_pair = of_pair & filters.criterion_predicate(c)
+            passes = passes | of_pair
+        return passes
+
+    return {name: filters.EventFilter(S.TRADE, predicate(entries)) for name, entries in by_id.items()}
+
+
+@pytest.mark.parametrize("levels,limits", [(1, {}), (6, {}), (4, {"max_broadcast_bytes": 0}), (3, {"max_broadcast_bytes": 0, "salts": 3})])
+def test_same_rows_as_the_compiled_fan_out(spark, tmp_path, levels, limits):
+    rng = random.Random(levels)
+    values = [0.0, -0.0, 0.3, 0.1 + 0.2, 1.0, 1.0 + 2**-52, 5.0, 10.0, 1e300, INF, -INF, NAN, 5e-324, 2**-53]
+    by_id = _random_filters(rng, 60, values)
+    rows = [
+        ("XT", rng.choice("AABCD"), *[rng.choice([rng.choice(values), rng.uniform(-2, 12)]) for _ in range(2)], i) for i in range(400)
+    ]
+    trades = spark.createDataFrame(rows, DDL).repartition(3)
+    index = _index(spark, tmp_path, by_id, levels=levels)
+    found = _found(index.fan_out(trades, **limits))
+    assert found == _found(filters.fan_out(trades, _compiled(by_id), S.TRADE))
+    assert len(found) == len(set(found)) > 1000
+
+
+def test_a_range_is_made_of_its_nodes_and_no_others(spark):
+    levels = 4
+    ranges = spark.range(0, 16).select(F.col("id").cast("int").alias("a")).crossJoin(spark.range(0, 16).select(F.col("id").cast("int").alias("b")))
+    for r in ranges.select("a", "b", filter_index._nodes(F.col("a"), F.col("b"), levels).alias("nodes")).collect():
+        held = [s for n in r.nodes for s in range(16) if (s + 16) >> n.level == n.node]
+        assert sorted(held) == list(range(r.a, r.b + 1))
+        assert len(r.nodes) <= 2 * levels
+
+
+def test_many_filters_do_not_grow_the_plan(spark, tmp_path):
+    """100,000 filters, a third of them on one pair with the same limit; counts per trade by a plain search."""
+    n = 100_000
+    number, pair = F.col("id") % 1000 / 10.0, F.when(F.col("id") % 3 == 0, "HOT").otherwise(F.concat(F.lit("P"), (F.col("id") % 50).cast("string")))
+    limit = F.when(F.col("id") % 3 == 0, F.lit(40.0)).otherwise(number)
+    criterion = F.struct(
+        F.lit("price").alias("field"), F.lit(">").alias("operation"), F.struct(limit.alias("Number"), F.lit(None).cast("string").alias("Text")).alias("value")
+    )
+    saved = spark.range(n).select(F.concat(F.lit("f"), "id").alias("filter_id"), pair.alias("pair"), F.array(criterion).alias("criteria"))
+    index = filter_index.write_filter_index(saved, str(tmp_path / "index"))
+    rows = [("XT", p, float(x), 1.0, i) for i, (p, x) in enumerate([("HOT", 40), ("HOT", 41), ("P7", 50), ("P8", 3), ("NONE", 1)])]
+    found = index.fan_out(spark.createDataFrame(rows, DDL))
+    assert len(plan_of(found)) < 40_000
+    counts = {r.ingest_seq: r["count"] for r in found.groupBy("ingest_seq").count().collect()}
+    of = lambda name, price: sum(1 for i in range(n) if i % 3 and f"P{i % 50}" == name and i % 1000 / 10.0 < price)
+    assert counts == {1: len(range(0, n, 3)), 2: of("P7", 50.0), 3: of("P8", 3.0)}
+
+
+def test_defined_edges(spark, tmp_path):
+    """No filters, events without a pair or values, and saved rows that have no one meaning."""
+    rows = [("XT", None, 1.0, 1.0, 0), ("XT", "A", None, 1.0, 1), ("XT", "A", None, None, 2), ("XT", "", 2.0, 2.0, 3)]
+    trades = spark.createDataFrame(rows, DDL)
+    by_id = {"any": {None: []}, "sized": {None: [_number("size", ">", 0.5)]}, "priced": {"A": [_number("price", ">", 0.0)]}, "blank": {"": []}}
+    index = _index(spark, tmp_path, by_id)
+    assert _found(index.fan_out(trades)) == [(1, "any"), (1, "sized"), (2, "any"), (3, "any"), (3, "blank"), (3, "sized")]
+    assert index.fan_out(trades.limit(0)).count() == 0
+    assert filters.fan_out(trades, index, S.BAR).count() == 0
+    empty = filter_index.write_filter_index(filter_index.saved_filters(spark, {}), str(tmp_path / "empty"))
+    assert empty.fan_out(trades).count() == 0
+    twice = filter_index.saved_filters(spark, {"a": {"A": []}})
+    for bad in (twice.union(twice), twice.withColumn("filter_id", F.lit(None).cast("string"))):
+        with pytest.raises(FilterConfigError):
+            filter_index.write_filter_index(bad, str(tmp_path / "bad"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,9 @@ from ticktape.functions import floats as N
 from ticktape.operators.lookup import MAX_BROADCAST_BYTES, lookup_join
 from ticktape.sources.filter_config import FilterConfigError
 
+if TYPE_CHECKING:
+    from ticktape.operators.filter_index import FilterIndex
+
 # The filter configuration used when none is given, and the size gate's limit.
 DEFAULT_CRITERIA = {
     "BTC-USD": [{"field": "size", "operation": ">", "value": {"Number": 0.3}}],
@@ -176,8 +180,13 @@ def size_gate(minimum: float = DEFAULT_SIZE_GATE) -> Column:
 # --- fan-out ----------------------------------------------------------------------------------------
 
 
-def fan_out(events: DataFrame, filters: Mapping[str, EventFilter], family: S.Family) -> DataFrame:
-    """Events of one family, once per filter they pass, tagged ``filter_id``.  One scan for all filters."""
+def fan_out(events: DataFrame, filters: Mapping[str, EventFilter] | FilterIndex, family: S.Family) -> DataFrame:
+    """Events of one family, once per filter they pass, tagged ``filter_id``.  One scan for all filters.
+
+    Filters in great number come as a ``FilterIndex``, which reads trades.
+    """
+    if not isinstance(filters, Mapping):
+        return filters.fan_out(events if family.name == S.TRADE.name else events.where(F.lit(False)))
     mine = {name: f for name, f in filters.items() if f.family.name == family.name}
     if not mine:
         return events.where(F.lit(False)).withColumn("filter_id", F.lit(""))

@@ -25,7 +25,7 @@ def lookup_join(
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
     salts: int | None = None,
 ) -> DataFrame:
-    """``df`` joined ``left`` or ``left_semi`` to a ``table`` that has at most one row per key.
+    """``df`` joined to a ``table``: ``left`` if that has at most one row per key, else ``left_semi``, ``left_anti`` or ``inner``.
 
     A table measured to be small is broadcast; a larger one is shuffled.  Adaptive execution then splits
     the partition of a key that holds much of ``df`` into as many tasks as its size asks for.  Where it does

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticktape import schemas as S
-from ticktape.operators import decode, filters, price_action, topics
+from ticktape.operators import decode, filter_index, filters, price_action, topics
 from ticktape.plans import event_feed as feed
 from ticktape.plans import market
 from ticktape.sinks import commits, tables
@@ -324,6 +324,41 @@ def filter_fanout(spark, sf_dir):
     return _show(filters.fan_out(_trades(spark, sf_dir), _three_filters(), S.TRADE), S.TRADE, "filter_id")
 
 
+def filter_index_fanout(spark, sf_dir):
+    """The trade filters of ``filter_fanout`` as saved rows, found by the index of their limits."""
+    above = lambda field, number: [{"field": field, "operation": ">", "value": {"Number": number}}]
+    saved = filter_index.saved_filters(spark, {
+        "default": {**filters.DEFAULT_CRITERIA, None: []},
+        "gate": {None: above("size", filters.DEFAULT_SIZE_GATE)},
+        "dear": {None: above("price", 100.0)},
+    })
+    index = filter_index.write_filter_index(saved, workdir.new_folder(spark, "index"))
+    return _show(filters.fan_out(_trades(spark, sf_dir), index, S.TRADE), S.TRADE, "filter_id")
+
+
+def filter_index_users(spark, sf_dir):
+    """A saved filter per user: for each of the user's pairs, trades at the user's highest price and of more than the user's
+    smallest size there."""
+    rows = _trades(spark, sf_dir)
+    one = lambda field, operation, number: F.struct(
+        F.lit(field).alias("field"), F.lit(operation).alias("operation"),
+        F.struct(F.col(number).alias("Number"), F.lit(None).cast("string").alias("Text")).alias("value"),
+    )
+    wanted = rows.groupBy("exchange_id", "pair").agg(F.max("price").alias("price"), F.min("size").alias("size"))
+    saved = wanted.select(
+        F.col("exchange_id").cast("string").alias("filter_id"), "pair", F.array(one("price", "=", "price"), one("size", ">", "size")).alias("criteria")
+    )
+    index = filter_index.write_filter_index(saved, workdir.new_folder(spark, "index"))
+    return _show(filters.fan_out(rows, index, S.TRADE), S.TRADE, "filter_id")
+
+
+_USERS_SQL = (
+    f"SELECT {', '.join('t.' + c.strip() for c in _TRADE_COLUMNS.split(','))}, CAST(u.exchange_id AS VARCHAR) AS filter_id "
+    "FROM fx_trades t JOIN (SELECT exchange_id, pair, max(price) AS price, min(size) AS size FROM fx_trades GROUP BY exchange_id, pair) u "
+    "ON t.pair = u.pair AND t.price = u.price AND t.size > u.size"
+)
+
+
 def filter_fanout_families(spark, sf_dir):
     """Filters over two families at once, as counts per filter and pair."""
     tagged = filters.apply_filters(
@@ -752,6 +787,8 @@ _REGISTRY: dict[str, tuple[Query, str]] = {
     ),
     "filter_size_gate": (filter_size_gate, f"SELECT {_TRADE_COLUMNS} FROM fx_trades WHERE size > 0.005::DOUBLE"),
     "filter_fanout": (filter_fanout, _fanout_sql(_TRADE_COLUMNS)),
+    "filter_index_fanout": (filter_index_fanout, _fanout_sql(_TRADE_COLUMNS)),
+    "filter_index_users": (filter_index_users, _USERS_SQL),
     "filter_fanout_families": (
         filter_fanout_families,
         f"SELECT filter_id, event_type, pair, count(*) AS n FROM ({_fanout_sql('event_type, pair')} UNION ALL "

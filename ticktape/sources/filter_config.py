@@ -29,14 +29,22 @@ def save_filter_config(config: DataFrame, path: str, mode: str = "error") -> Non
 
 
 def check_filter_config(config: DataFrame) -> None:
+    check_criteria(config, ["pair"])
+
+
+def check_criteria(entries: DataFrame, keys: list[str], may_be_null: tuple[str, ...] = ()) -> None:
+    """Entries are complete, and each combination of ``keys`` has one."""
+
     def incomplete(c):
         one_value = c["value"]["Number"].isNotNull() != c["value"]["Text"].isNotNull()
         return ~F.coalesce(c["field"].isNotNull() & c["operation"].isNotNull() & one_value, F.lit(False))
 
-    bad = F.col("pair").isNull() | F.col("criteria").isNull() | F.exists("criteria", incomplete)
-    per_pair = config.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.max(bad).alias("bad"))
-    found = per_pair.agg(F.max("n").alias("n"), F.max("bad").alias("bad")).first()
+    bad = F.col("criteria").isNull() | F.exists("criteria", incomplete)
+    for key in keys:
+        bad = bad if key in may_be_null else bad | F.col(key).isNull()
+    per_key = entries.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(bad).alias("bad"))
+    found = per_key.agg(F.max("n").alias("n"), F.max("bad").alias("bad")).first()
     if found["bad"]:
-        raise FilterConfigError("an entry lacks its pair, criteria, field, operation or one value")
+        raise FilterConfigError(f"an entry lacks its {', '.join(keys)}, criteria, field, operation or one value")
     if (found["n"] or 0) > 1:
-        raise FilterConfigError("a pair has more than one entry")
+        raise FilterConfigError(f"a {' and '.join(keys)} has more than one entry")
