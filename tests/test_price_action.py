@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import plan_of
+from ticktape.operators import price_action as price_actions
 from ticktape.operators.price_action import Arrival, alerts, arrival_of, last_prices, price_action
 
 DDL = "ingest_seq long, pos int, event_type string, pair string, open double, close double, timestamp long, end_time long"
@@ -144,6 +145,39 @@ def test_buckets_follow_rows_and_not_their_numbers(spark, shape):
     assert len(sizes) == 2 and max(sizes) <= 1 << 17  # two closes travel, not 200,000
 
 
+def test_bounds_take_one_reading_of_the_source(spark, tmp_path):
+    """Every row is read once while the bounds are cut."""
+    spark.range(0, 50_000, 1, 4).selectExpr("id AS ingest_seq", "id % 7 AS x").write.parquet(str(tmp_path / "rows"))
+    read = spark.sparkContext.accumulator(0)
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    arrival = arrival_of(rows.mapInArrow(counted, "ingest_seq long, x long"), bucket_bits=10)
+    assert read.value == 50_000
+    sizes = [r["count"] for r in rows.groupBy(*arrival.bucket).count().collect()]
+    assert len(sizes) == 64 and max(sizes) <= 1 << 10
+
+
+@pytest.mark.parametrize("numbers", ["id", "id * id", "id - 9000000000000000000", "id DIV 3", "0"])
+def test_a_second_level_of_buckets_keeps_the_order(spark, numbers, monkeypatch):
+    monkeypatch.setattr(price_actions, "_MOST_QUANTILES", 8)
+    bars = spark.range(0, 20_000).selectExpr(f"{numbers} AS ingest_seq", "CAST(id AS INT) AS pos")
+    arrival = arrival_of(bars, bucket_bits=6)
+    assert len(arrival.bucket) == 2
+    placed = bars.groupBy(*[b.alias(f"b{i}") for i, b in enumerate(arrival.bucket)]).agg(
+        F.min("ingest_seq").alias("low"), F.max("ingest_seq").alias("high"), F.count("*").alias("n")
+    ).orderBy("b0", "b1").collect()
+    assert all(a.high < b.low for a, b in zip(placed, placed[1:]))
+    if numbers != "0":
+        assert len(placed) > 40
+    if numbers in ("id", "id - 9000000000000000000"):
+        assert max(r.n for r in placed) <= 2 << 6
+
+
 def test_a_hot_pair_is_spread_over_buckets(spark):
     bars = spark.range(0, 400_000).selectExpr(
         "id AS ingest_seq", "0 AS pos", "'XAS' AS event_type",

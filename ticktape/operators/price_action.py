@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ticktape import schemas as S
 from ticktape.functions import floats as N
@@ -14,8 +15,14 @@ from ticktape.functions import floats as N
 DEFAULT_THRESHOLD = 0.0001  # fixed value: percent
 
 _BUCKET_BITS = 17
-#: Buckets at most; beyond 2^29 frames they grow instead of becoming more.
+#: Buckets at most where the order has several columns; beyond 2^29 frames they grow instead of becoming more.
 _MOST_BUCKETS = 4096
+#: Buckets at most of the first level where the order is one number; a second level has no limit.
+_MOST_QUANTILES = 1024
+#: Size of a quantile sketch: places are right within about a tenth of a percent of the rows.
+_SKETCH = 4096
+#: Sketches merged side by side before the last one.
+_SKETCHED_TOGETHER = 64
 #: Sampled rows per bucket from which the bounds are taken.
 _SAMPLED = 32
 
@@ -35,17 +42,49 @@ class Arrival:
 def arrival_of(bars: DataFrame, bucket_bits: int = _BUCKET_BITS, order_from: DataFrame | None = None) -> Arrival:
     """Arrival by the ingest columns, else by bar time, in buckets of about 2^bucket_bits rows.
 
-    Buckets are ranges of the order whose bounds come from a sample, so neither sparse sequence numbers nor many
-    small files make more of them.  ``order_from`` is what to count and sample instead of ``bars``: the frames, say,
-    which need no decoding for it.
+    Buckets are ranges of the order, so neither sparse sequence numbers nor many small files make more of them.  Where the
+    order is one number, their bounds come from one pass, a quantile sketch; else from a count and a sample.
+    ``order_from`` is what to read for that instead of ``bars``: the frames, say, which need no decoding for it.
     """
     if "ingest_seq" not in bars.columns:
         order, rank = ["end_time"], ("end_time", "timestamp", "event_type")
     else:
         order = [c for c in S.ARRIVAL_COLUMNS[:3] if c in bars.columns]
         rank = (*order, "pos") if "pos" in bars.columns else tuple(order)
-    cuts = _range_cuts(bars if order_from is None else order_from, order, 1 << bucket_bits)
-    return Arrival((_bucket(order, cuts),), tuple(F.col(c) for c in rank))
+    rows, rank = bars if order_from is None else order_from, tuple(F.col(c) for c in rank)
+    if len(order) == 1 and isinstance(rows.schema[order[0]].dataType, T.IntegralType):
+        return Arrival(_sketched_buckets(rows, order[0], 1 << bucket_bits), rank)
+    return Arrival((_bucket(order, _range_cuts(rows, order, 1 << bucket_bits)),), rank)
+
+
+def _sketched_buckets(rows: DataFrame, column: str, per_bucket: int) -> tuple[Column, ...]:
+    """Buckets of about ``per_bucket`` rows by ranges of one number, found in one reading of ``rows``.
+
+    Up to 1,024 ranges hold equal shares; if that is too few, each is cut further into spans of equal width.  Rows that
+    crowd in a part of a range make uneven spans, but never a wrong order.
+    """
+    group = (F.spark_partition_id() % _SKETCHED_TOGETHER).alias("group")
+    partial = rows.select(F.col(column).cast("long").alias("v"), group).groupBy("group").agg(F.kll_sketch_agg_bigint("v", _SKETCH).alias("s"))
+    whole = partial.agg(F.kll_merge_agg_bigint("s", _SKETCH).alias("s"))
+    places = F.array(*[F.lit(i / _MOST_QUANTILES) for i in range(_MOST_QUANTILES + 1)])
+    n = F.kll_sketch_get_n_bigint("s")
+    found = whole.select(n.alias("n"), F.when(n > 0, F.kll_sketch_get_quantile_bigint("s", places)).alias("places")).first()
+    wanted = -(-(found["n"] or 0) // per_bucket)
+    if wanted < 2:
+        return (F.lit(0),)
+    first = min(_MOST_QUANTILES, 1 << (wanted - 1).bit_length())
+    low, *between, high = found["places"][:: _MOST_QUANTILES // first]
+    cuts = sorted(set(between))
+    bucket = _bucket([column], [(c,) for c in cuts])
+    spans = -(-wanted // first)
+    if spans == 1:
+        return (bucket,)
+    # Differences of 64-bit numbers, exact and without overflow, then as doubles.
+    bounds = F.array(*[F.lit(b) for b in (low, *cuts, high)])
+    start, end = (F.element_at(bounds, bucket + i).cast("decimal(20,0)") for i in (1, 2))
+    into, width = (F.col(column).cast("decimal(20,0)") - start).cast("double"), (end - start).cast("double")
+    part = F.floor(into / F.nullif(width, F.lit(0.0)) * F.lit(float(spans)))
+    return bucket, F.greatest(F.lit(0), F.least(F.lit(spans - 1), F.coalesce(part, F.lit(0)))).cast("int")
 
 
 def _order_value(columns: list[str]) -> Column:
