@@ -129,6 +129,10 @@ def test_plan_splits_pairs_and_reads_the_source_once(spark, tmp_path):
     measured.collect()
     final = plan_of(measured).split("+- == Initial Plan ==")[0]
     assert final.count("FileScan") == 1 and "ReusedExchange" in final
+    few = alerts(measured).select("pair", "kind")  # pruning must not part the two sides
+    few.collect()
+    final = plan_of(few).split("+- == Initial Plan ==")[0]
+    assert final.count("FileScan") == 1 and "ReusedExchange" in final
     assert "Exchange" not in plan_of(price_action(spark.range(1).selectExpr("0D open", "1D close"), 1.0, scope="bar"))
 
 

@@ -156,7 +156,9 @@ def price_action(
     if carried is not None:
         seed = carried.select("pair", F.col("last").alias("_seed"))
         opening = opening.join(seed, "pair", "left").withColumn("_before_close", F.coalesce("_before_close", "_seed")).drop("_seed")
-    inside = Window.partitionBy(*keys).orderBy(*arrival.rank)
+    # The order ends in all columns, so that no column is pruned on this side alone: the two sides would not share the
+    # exchange any more, and the source would be read and decoded twice.
+    inside = Window.partitionBy(*keys).orderBy(*arrival.rank, F.xxhash64(*_hashable(bars)))
     previous = {c: F.coalesce(F.lag(c).over(inside), f"_before_{c}") for c in wanted}
     rows = dealt.join(opening, keys).withColumn("last", F.coalesce(previous.pop("close"), "open"))
     rows = rows.withColumns({f"last_{c}": value for c, value in previous.items()}) if beside else rows
@@ -176,6 +178,10 @@ def last_prices(bars: DataFrame, arrival: Arrival | None = None, carried: DataFr
     return latest.unionByName(kept)
 
 
+def _hashable(rows: DataFrame) -> list[str]:
+    return [f.name for f in rows.schema if not any(t in f.dataType.json() for t in ('"map"', "variant"))]
+
+
 def _bucket_names(arrival: Arrival) -> list[str]:
     return [f"_bucket{i}" for i in range(len(arrival.bucket))]
 
@@ -195,6 +201,11 @@ def _measure(bars: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def alert_columns(bars: DataFrame) -> DataFrame:
+    """What ``price_action`` needs of bars of which only the alerts are wanted."""
+    return bars.select(*S.arrival_columns(bars.columns), "event_type", "pair", "open", "close", "timestamp", "end_time")
+
+
 def alerts(measured: DataFrame) -> DataFrame:
     """The spikes and drops among ``price_action`` rows, with a readable ``message``."""
     carried = S.arrival_columns(measured.columns)

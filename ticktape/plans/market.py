@@ -33,8 +33,8 @@ def price_alerts(
     scope: str = "pair",
     topic_names: Iterable[str] | None = topics.DEFAULT_TOPICS,
 ) -> DataFrame:
-    """Spikes and drops.  Nothing is written; the frames are counted and sampled to cut their order into buckets."""
-    bars = bars_of(frames, topic_names)
+    """Spikes and drops.  Nothing is written; the frames are read once for the bounds of buckets and once for the alerts."""
+    bars = price_action.alert_columns(bars_of(frames, topic_names))
     arrival = price_action.arrival_of(bars, order_from=frames) if scope == "pair" else None
     return price_action.alerts(price_action.price_action(bars, threshold, scope, arrival))
 
@@ -70,7 +70,7 @@ def run_batch(
 
     chosen = {"default": filters.parameterized()} if event_filters is None else event_filters
     tables.write_table(filters.fan_out(events(S.TRADE), chosen, S.TRADE), S.TRADE, root, conditions, run, commit=False)
-    measured = price_action.price_action(events(S.BAR), threshold, scope)
+    measured = price_action.price_action(price_action.alert_columns(events(S.BAR)), threshold, scope)
     tables.write_alerts(price_action.alerts(measured), f"{root.rstrip('/')}/alerts", run, commit=False)
     for family in store:
         tables.write_table(events(family), family, root, run=run, commit=False)
