@@ -1,0 +1,106 @@
+"""A filter configuration that changes while events flow, against a plain loop over the changes."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import plan_of
+from ticktape import schemas as S
+from ticktape.operators import config_versions, filters
+from ticktape.sources import filter_config
+from ticktape.sources.filter_config import FilterConfigError
+
+DDL = "event_type string, pair string, price double, size double, ingest_seq bigint"
+
+
+def _above(field, number):
+    return {"field": field, "operation": ">", "value": {"Number": float(number)}}
+
+
+def _changes(spark, rows):
+    """``rows`` of (effective_from, pair, criteria or None)."""
+    entry = lambda c: (c["field"], c["operation"], (c["value"].get("Number"), c["value"].get("Text")))
+    return spark.createDataFrame([(at, p, None if cs is None else [entry(c) for c in cs]) for at, p, cs in rows], S.FILTER_CHANGES_SCHEMA)
+
+
+def _plain(trades, changes):
+    kept = []
+    for t in trades:
+        held = [(at, cs) for at, pair, cs in changes if pair == t[1] and t[4] is not None and at <= t[4]]
+        criteria = max(held, key=lambda h: h[0])[1] if held else None
+        values = {"price": t[2], "size": t[3]}
+        if all(values[c["field"]] is not None and values[c["field"]] > c["value"]["Number"] for c in criteria or []):
+            kept.append(t[4:])
+    return sorted(kept, key=repr)
+
+
+def _found(trades, changes, **options):
+    kept = filters.filter_events(trades, config_versions.versioned(changes, **options))
+    assert kept.columns == trades.columns
+    return sorted((tuple(r)[4:] for r in kept.collect()), key=repr)
+
+
+FORMS = [{}, {"max_in_array": 0, "bucket_bits": 4}, {"max_broadcast_bytes": 0}, {"max_in_array": 0, "bucket_bits": 8}]
+
+
+@pytest.mark.parametrize("options", FORMS)
+def test_each_event_meets_what_held_when_it_arrived(spark, options):
+    rng = random.Random(7)
+    # A third of the trades of one pair, repeated places, places far apart, a pair whose every change lies before its trades.
+    seqs = [rng.choice([rng.randrange(300), rng.randrange(10**15), -5]) for _ in range(600)]
+    trades = [("XT", rng.choice(["HOT", "HOT", "A", "B", "C", "D"]), rng.uniform(0, 9), rng.uniform(0, 9), s) for s in seqs]
+    places = rng.sample(range(300), 40) + [10**14, 5 * 10**14]
+    changes = [
+        (at, pair, rng.choice([None, [], [_above("size", rng.uniform(0, 9))], [_above("price", 3), _above("size", 2)]]))
+        for pair in ("HOT", "A", "B", "NEVER") for at in rng.sample(places, 20)
+    ] + [(-100, "D", [_above("size", 8)])]
+    df = spark.createDataFrame(trades, DDL).repartition(5)
+    assert _found(df, _changes(spark, changes), **options) == _plain(trades, changes)
+
+
+@pytest.mark.parametrize("options", FORMS[:2])
+def test_defined_edges(spark, options):
+    """No changes, no trades, trades without pair, value or place, columns that clash with those inside."""
+    rows = [("XT", None, 1.0, 1.0, 1), ("XT", "A", 1.0, 1.0, None), ("XT", "A", 1.0, 1.0, 4), ("XT", "A", None, None, 5), ("XT", "A", 1.0, 1.0, 5)]
+    trades = spark.createDataFrame(rows, DDL)
+    changes = [(5, "A", [_above("size", 0.5)]), (0, "B", [])]
+    assert _found(trades, _changes(spark, changes), **options) == [(1,), (4,), (5,), (None,)]
+    assert len(_found(trades, _changes(spark, []), **options)) == 5
+    assert _found(trades.limit(0), _changes(spark, changes), **options) == []
+    clashing = trades.withColumns({c: F.lit(9) for c in ("_event", "_change", "_before", "_bucket0", "_last", "criteria", "effective_from")})
+    assert len(_found(clashing, _changes(spark, changes), **options)) == 4
+
+
+def test_a_version_replaces_the_one_before(spark, tmp_path):
+    path = str(tmp_path / "log")
+    versions = [{"A": [_above("size", 1)], "B": []}, {"B": [_above("size", 2)]}, {"B": [_above("size", 2)], "A": []}]
+    changes = _changes(spark, [])
+    for at, criteria in enumerate(versions):
+        filter_config.save_filter_changes(config_versions.supersede(changes, filters.criteria_table(spark, criteria), at), path)
+        changes = filter_config.load_filter_changes(spark, path)
+        assert filters.collect_criteria(config_versions.in_force(changes, at)).keys() == criteria.keys()
+    assert sorted((r.effective_from, r.pair, r.criteria is None) for r in changes.collect()) == [
+        (0, "A", False), (0, "B", False), (1, "A", True), (1, "B", False), (2, "A", False)
+    ]
+    with pytest.raises(FilterConfigError):
+        filter_config.save_filter_changes(_changes(spark, [(2, "C", [])]), path)
+    nothing = config_versions.supersede(changes, filters.criteria_table(spark, versions[2]), 9)
+    assert nothing.count() == 0
+    filter_config.save_filter_changes(nothing, path)
+
+
+@pytest.mark.parametrize("rows", [[(1, "A", []), (1, "A", None)], [(None, "A", [])], [(1, None, [])], [(1, "A", [{"field": None, "operation": ">", "value": {"Number": 1.0}}])]])
+def test_a_log_without_one_meaning_is_refused(spark, rows):
+    with pytest.raises(FilterConfigError):
+        config_versions.versioned(_changes(spark, rows))
+
+
+def test_plans(spark, sf_dir):
+    """A short log needs no exchange of the trades; a long one deals them out by pair and range, once."""
+    trades = spark.createDataFrame([("XT", "A", 1.0, 1.0, i) for i in range(500)], DDL)
+    changes = _changes(spark, [(1, "A", [])])
+    short = plan_of(filters.filter_events(trades, config_versions.versioned(changes)))
+    assert "BroadcastHashJoin" in short and "SortMergeJoin" not in short
+    long = plan_of(filters.filter_events(trades, config_versions.versioned(changes, max_in_array=0, bucket_bits=4)))
+    assert "hashpartitioning(pair" in long and "_bucket0" in long and "RangeJoin" not in long

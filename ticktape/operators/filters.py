@@ -106,7 +106,8 @@ def criteria_table(spark: SparkSession, criteria_by_pair: Mapping[str, Sequence[
     return spark.createDataFrame(rows, S.FILTER_CONFIG_SCHEMA)
 
 
-def _table_criterion(c: Column) -> Column:
+def table_criterion(c: Column) -> Column:
+    """One criterion as a struct column: whether the trade meets it."""
     field, operation, number, text = c["field"], c["operation"], c["value"]["Number"], c["value"]["Text"]
     value = F.when(field == "price", F.col("price")).when(field == "size", F.col("size"))
     met = F.when(
@@ -134,7 +135,7 @@ def table_filter(config: DataFrame, **size_limits) -> EventFilter:
     criteria = config.select("pair", F.col("criteria").alias(column))
     return EventFilter(
         S.TRADE,
-        F.coalesce(F.forall(column, _table_criterion), F.lit(True)),
+        F.coalesce(F.forall(column, table_criterion), F.lit(True)),
         prepare=lambda trades: lookup_join(trades, criteria, ["pair"], "left", **size_limits),
     )
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticktape import schemas as S
-from ticktape.operators import decode, filter_index, filters, price_action, topics
+from ticktape.operators import config_versions, decode, filter_index, filters, price_action, topics
 from ticktape.plans import event_feed as feed
 from ticktape.plans import market
 from ticktape.sinks import commits, tables
@@ -302,6 +302,42 @@ def filter_saved_config(spark, sf_dir):
     return _show(filters.filter_events(rows, filters.configured(filter_config.load_filter_config(spark, path))), S.TRADE)
 
 
+def filter_versions(spark, sf_dir):
+    """Three configurations, each in force from its third of the feed on, published one after the other and loaded again."""
+    rows, path = _trades(spark, sf_dir), workdir.new_folder(spark, "versions")
+    last = rows.agg(F.max("ingest_seq").alias("n")).first()["n"] or 0
+    changes = spark.createDataFrame([], S.FILTER_CHANGES_SCHEMA)
+    for k, criteria in enumerate((filters.DEFAULT_CRITERIA, _MIXED_CRITERIA, {"BTC-USD": _MIXED_CRITERIA["BTC-USD"]})):
+        wanted = filters.criteria_table(spark, criteria)
+        filter_config.save_filter_changes(config_versions.supersede(changes, wanted, last * k // 3), path)
+        changes = filter_config.load_filter_changes(spark, path)
+    return _show(filters.filter_events(rows, config_versions.versioned(changes)), S.TRADE)
+
+
+def filter_versions_many(spark, sf_dir):
+    """Every twentieth trade asks for larger ones than itself in its pair from then on; every fourth of them withdraws that."""
+    rows, seq = _trades(spark, sf_dir), F.col("ingest_seq")
+    value = F.struct(F.col("size").alias("Number"), F.lit(None).cast("string").alias("Text"))
+    criterion = F.struct(F.lit("size").alias("field"), F.lit(">").alias("operation"), value.alias("value"))
+    wanted = F.when(F.floor(seq / 20) % 4 != 0, F.array(criterion))
+    changes = rows.where(seq % 20 == 0).select(seq.alias("effective_from"), "pair", wanted.alias("criteria"))
+    return _show(filters.filter_events(rows, config_versions.versioned(changes, max_in_array=4, bucket_bits=10)), S.TRADE)
+
+
+_THIRD = "(SELECT coalesce(max(ingest_seq), 0) FROM fx_trades)"
+_VERSIONS_SQL = (
+    f"SELECT {_TRADE_COLUMNS} FROM fx_trades WHERE CASE WHEN ingest_seq < {_THIRD} // 3 THEN {_DEFAULT_FILTER} "
+    f"WHEN ingest_seq < {_THIRD} * 2 // 3 THEN {_MIXED_FILTER} "
+    "ELSE pair <> 'BTC-USD' OR (size > 1.0::DOUBLE AND price < 50.0::DOUBLE) END"
+)
+_VERSIONS_MANY_SQL = (
+    f"SELECT {', '.join('t.' + c.strip() for c in _TRADE_COLUMNS.split(','))} FROM fx_trades t ASOF LEFT JOIN "
+    "(SELECT pair, ingest_seq, CASE WHEN ingest_seq // 20 % 4 <> 0 THEN size END AS least, 1 AS known "
+    "FROM fx_trades WHERE ingest_seq % 20 = 0) c ON t.pair = c.pair AND t.ingest_seq >= c.ingest_seq "
+    "WHERE c.known IS NULL OR c.least IS NULL OR t.size > c.least"
+)
+
+
 def filter_price_movement(spark, sf_dir):
     bars = _hour_bars(spark, sf_dir).unionByName(_second_bars(spark, sf_dir))
     return _show(bars.where(filters.price_movement(100.0)), S.BAR)
@@ -781,6 +817,8 @@ _REGISTRY: dict[str, tuple[Query, str]] = {
         f"SELECT {_TRADE_COLUMNS} FROM fx_trades t WHERE pair = 'DOGE-USD' OR "
         "size > (SELECT round(avg(m.size), 3) FROM fx_trades m WHERE m.pair = t.pair)",
     ),
+    "filter_versions": (filter_versions, _VERSIONS_SQL),
+    "filter_versions_many": (filter_versions_many, _VERSIONS_MANY_SQL),
     "filter_price_movement": (
         filter_price_movement,
         f"SELECT {_BAR_COLUMNS} FROM fx_hour WHERE {_MOVED}",

@@ -161,6 +161,8 @@ FILTER_CONFIG_SCHEMA = T.StructType(
         ),
     ]
 )
+#: A log of changes to a configuration; NULL criteria withdraw the pair's entry.
+FILTER_CHANGES_SCHEMA = T.StructType([T.StructField("effective_from", T.LongType()), *FILTER_CONFIG_SCHEMA.fields])
 
 
 def arrival_columns(columns) -> list[str]:

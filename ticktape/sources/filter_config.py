@@ -5,11 +5,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticktape import schemas as S
 
+_STRICT = {"mode": "FAILFAST", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
 
 class FilterConfigError(ValueError):
     """The configuration has a malformed or repeated entry."""
@@ -17,8 +20,7 @@ class FilterConfigError(ValueError):
 
 def load_filter_config(spark: SparkSession, path: str) -> DataFrame:
     """The configuration as a table, checked: complete entries only and each pair once."""
-    strict = {"mode": "FAILFAST", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
-    config = spark.read.schema(S.FILTER_CONFIG_SCHEMA).options(**strict).json(path)
+    config = spark.read.schema(S.FILTER_CONFIG_SCHEMA).options(**_STRICT).json(path)
     check_filter_config(config)
     return config
 
@@ -28,6 +30,33 @@ def save_filter_config(config: DataFrame, path: str, mode: str = "error") -> Non
     config.write.mode(mode).json(path)
 
 
+def load_filter_changes(spark: SparkSession, path: str) -> DataFrame:
+    """A log of changes (``effective_from, pair, criteria``; see ``operators.config_versions``), checked."""
+    changes = spark.read.schema(S.FILTER_CHANGES_SCHEMA).options(**_STRICT).json(path)
+    check_filter_changes(changes)
+    return changes
+
+
+def save_filter_changes(changes: DataFrame, path: str) -> None:
+    """Append changes to a log, later than all that it holds, so that no event is judged anew."""
+    check_filter_changes(changes)
+    try:
+        known = load_filter_changes(changes.sparkSession, path)
+    except AnalysisException:  # the log begins
+        known = changes.limit(0)
+    newest = known.agg(F.max("effective_from").alias("at")).first()["at"]
+    first = changes.agg(F.min("effective_from").alias("at")).first()["at"]
+    if newest is not None and first is not None and first <= newest:
+        raise FilterConfigError(f"a change at {first} is not later than the log, which ends at {newest}")
+    changes.write.mode("append").json(path)
+
+
+def check_filter_changes(changes: DataFrame) -> None:
+    """Entries are complete, but for withdrawn ones, and a pair has one change at a place."""
+    entries = changes.withColumn("criteria", F.coalesce("criteria", F.array().cast(changes.schema["criteria"].dataType)))
+    check_criteria(entries, ["pair", "effective_from"])
+
+
 def check_filter_config(config: DataFrame) -> None:
     check_criteria(config, ["pair"])
 
