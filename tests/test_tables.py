@@ -140,3 +140,20 @@ def test_records_of_a_pair_in_two_partitions_are_ordered_by_time(spark):
     raw = spark.createDataFrame(rows, "value binary, topic string, partition int, offset long, timestamp timestamp")
     bars = market.bars_of(frame_sources.kafka_records(raw))
     assert {r.close: r["last"] for r in price_action(bars, 1.0).collect()} == {110.0: 100.0, 121.0: 110.0, 133.0: 121.0, 146.0: 133.0}
+
+
+def test_staging_sorts_no_rows_by_family(spark, tmp_path, monkeypatch):
+    """A sort would hold all rows of a task; while a file per family may stay open, Spark plans none."""
+    option, written, append = "spark.sql.maxConcurrentOutputFileWriters", [], tables.append
+    before = spark.conf.get(option)
+
+    def noted(*a, **k):
+        written.append(int(spark.conf.get(option)))
+        append(*a, **k)
+
+    monkeypatch.setattr(tables, "append", noted)
+    path = str(tmp_path / "staged")
+    tables.write_staged(decode.stage_events(_frames(spark, [TRADE, QUOTE, MINUTE, "oops"] * 3).coalesce(1)), path)
+    assert written and written[0] > len(S.FAMILIES) + 1 and spark.conf.get(option) == before
+    kinds = spark.read.parquet(path).groupBy("family").count().collect()
+    assert dict(map(tuple, kinds)) == {"trade": 3, "quote": 3, "bar": 3, "reject": 3}

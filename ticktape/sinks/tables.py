@@ -12,7 +12,8 @@ is run again meets what it wrote and a new checkpoint never touches an older one
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +26,8 @@ from ticktape.sinks import commits
 from ticktape.sources import frames as frame_sources
 
 _DAY_MS = 86_400_000
+_OPEN_FILES = "spark.sql.maxConcurrentOutputFileWriters"
+_STAGED_ROW_GROUP = 32 * 1024 * 1024
 # 0001-01-01 and 9999-12-31 in epoch days, the dates a partition can be named after.
 _FIRST_DAY, _LAST_DAY = -719162, 2932896
 
@@ -78,9 +81,10 @@ def stream_run(spark: SparkSession, checkpoint: str) -> str:
 
 
 def append(
-    rows: DataFrame, path: str, run: str | None = None, batch_id: int = 0, by: str | None = "event_date", commit: bool = True
+    rows: DataFrame, path: str, run: str | None = None, batch_id: int = 0, by: str | None = "event_date", commit: bool = True,
+    row_group: int | None = None,
 ) -> None:
-    """Rows of one run and batch, partitioned by ``by``, noted in the log when they are in place.
+    """Rows of one run and batch, partitioned by ``by``, in row groups of ``row_group`` bytes, noted in the log when they are in place.
 
     A batch that the log holds is not written again.  With ``commit=False`` the caller notes it, together with other tables.
     """
@@ -91,6 +95,8 @@ def append(
     writer = rows.write.mode("overwrite")
     if by is not None:
         writer = writer.partitionBy(by)
+    if row_group is not None:
+        writer = writer.option("parquet.block.size", row_group)
     writer.parquet(f"{path.rstrip('/')}/run={run}/batch_id={batch_id}")
     if commit:
         commits.record(spark, root, [name], run, batch_id)
@@ -143,8 +149,24 @@ def stream_table(
 
 
 def write_staged(staged: DataFrame, path: str, run: str | None = None, batch_id: int = 0, commit: bool = True) -> None:
-    """Write ``stage_events`` output: every family and the rejects of one pass over the frames."""
-    append(staged, path, run, batch_id, by="family", commit=commit)
+    """Write ``stage_events`` output: every family and the rejects of one pass over the frames.
+
+    A task keeps a file open for each family, so that it need not sort its rows by family, which holds all of them.  Row groups
+    are smaller in turn.
+    """
+    with _files_open_at_once(staged.sparkSession, len(S.FAMILIES) + 1):
+        append(staged, path, run, batch_id, by="family", commit=commit, row_group=_STAGED_ROW_GROUP)
+
+
+@contextmanager
+def _files_open_at_once(spark: SparkSession, n: int) -> Iterator[None]:
+    """Writes meanwhile sort by partition only from the ``n``-th file of a task on."""
+    before = spark.conf.get(_OPEN_FILES, None)
+    spark.conf.set(_OPEN_FILES, n + 1)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_OPEN_FILES) if before is None else spark.conf.set(_OPEN_FILES, before)
 
 
 def write_alerts(
