@@ -118,3 +118,39 @@ def test_price_stream_needs_an_order(spark, tmp_path):
 def test_shared_folder_comes_from_the_session(spark):
     assert workdir.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     assert workdir.new_folder(spark, "x") != workdir.new_folder(spark, "x")
+
+
+def _tasks_with_rows(df):
+    return df.select(F.spark_partition_id()).distinct().count()
+
+
+def test_a_single_row_group_is_dealt_out(spark, tmp_path):
+    """Many splits, all but one of them empty."""
+    path = str(tmp_path / "frames")
+    spark.range(20_000).selectExpr("id AS ingest_seq", "sha2(string(id), 256) AS frame").coalesce(1).write.parquet(path)
+    settings = {"spark.sql.files.maxPartitionBytes": "100k", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        cores = spark.sparkContext.defaultParallelism
+        assert spark.read.parquet(path).rdd.getNumPartitions() >= cores and _tasks_with_rows(spark.read.parquet(path)) == 1
+        rows = frame_sources.read_frame_table(spark, path)
+        assert _tasks_with_rows(rows) >= cores and rows.count() == 20_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_a_micro_batch_of_one_file_is_decoded_by_many_tasks(spark, sf_dir, tmp_path, monkeypatch):
+    feed.family_frames(feed.trades(feed.read_events(spark, sf_dir)), S.TRADE).coalesce(1).write.parquet(f"{tmp_path}/landed")
+    seen, stage_events = [], decode.stage_events
+
+    def noted(frames, *a):
+        seen.append(_tasks_with_rows(frames))
+        return stage_events(frames, *a)
+
+    monkeypatch.setattr(decode, "stage_events", noted)
+    landed = frame_sources.stream_frame_table(spark, f"{tmp_path}/landed")
+    trades.persist_all(landed, f"{tmp_path}/root", f"{tmp_path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == 1 and seen[0] > 1

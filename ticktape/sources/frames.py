@@ -15,16 +15,19 @@ from pyspark.sql import functions as F
 from ticktape import schemas as S
 
 FRAME_TABLE_SCHEMA = "ingest_seq BIGINT, frame STRING"
+#: Splits per core from which on a table is read where it lies.
+_SPLITS_PER_CORE = 4
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A freshly read table, dealt out to all cores if it has fewer splits than there are cores.
+    """A freshly read table, dealt out evenly to all cores unless it has many splits for each of them.
 
-    Decoding costs far more than moving a small table.  A table with splits enough stays where it is: shuffling a
-    large table of frames would cost more than uneven splits do.
+    Decoding costs far more than moving a table.  A split is no measure of rows: a row group of a columnar file lies in one
+    split, whole, and the others of that file are empty.  With several splits a core that evens out, and a large table stays
+    where it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df if splits >= _SPLITS_PER_CORE * cores else df.repartition(max(cores, splits))
 
 
 def numbered(frames: DataFrame) -> DataFrame:

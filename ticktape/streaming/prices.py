@@ -51,13 +51,13 @@ def measure(
 ) -> None:
     """One micro-batch of bars: measured against the carried prices, written, and the prices carried on."""
     if scope == "bar":
-        tables.write_alerts(keep(price_action(bars, threshold, scope="bar")), output, run, batch_id, rebalance=False, commit=commit)
+        tables.write_alerts(keep(price_action(bars, threshold, scope="bar")), output, run, batch_id, commit=commit)
         return
     state = f"{checkpoint.rstrip('/')}-prices"
     carried, arrival = _read_prices(bars.sparkSession, state, batch_id), arrival_of(bars)
     measured = price_action(bars, threshold, arrival=arrival, carried=carried)
     last_prices(bars, arrival, carried).write.mode("overwrite").parquet(_slot(state, batch_id))
-    tables.write_alerts(keep(measured), output, run, batch_id, rebalance=False, commit=commit)
+    tables.write_alerts(keep(measured), output, run, batch_id, commit=commit)
 
 
 def _slot(state: str, batch_id: int) -> str:

@@ -44,7 +44,7 @@ def persist_matches(
         if topic_names is not None:
             trades = topics.topic_filter(trades, topic_names)
         found = filters.fan_out(trades, chosen, S.TRADE)
-        tables.write_table(found, S.TRADE, root, conditions, run, batch_id, rebalance=False, commit=False)
+        tables.write_table(found, S.TRADE, root, conditions, run, batch_id, commit=False)
 
     return _each_staged(frames, root, checkpoint, (S.TRADE,), [_name(S.TRADE)], write)
 
@@ -61,7 +61,7 @@ def persist_families(
         for family in families:
             events = decode.staged_family(staged, family)
             events = events if topic_names is None else topics.topic_filter(events, topic_names)
-            tables.write_table(events, family, root, run=run, batch_id=batch_id, rebalance=False, commit=False)
+            tables.write_table(events, family, root, run=run, batch_id=batch_id, commit=False)
 
     return _each_staged(frames, root, checkpoint, families, map(_name, families), write)
 
@@ -109,15 +109,20 @@ def persist_all(
             return rows if topic_names is None else topics.topic_filter(rows, topic_names)
 
         found = filters.fan_out(events(S.TRADE), chosen, S.TRADE)
-        tables.write_table(found, S.TRADE, root, conditions, run, batch_id, rebalance=False, commit=False)
+        tables.write_table(found, S.TRADE, root, conditions, run, batch_id, commit=False)
         output = f"{root.rstrip('/')}/alerts"
         prices.measure(events(S.BAR), output, checkpoint, run, batch_id, threshold, scope, price_action.alerts, commit=False)
         for family in store:
-            tables.write_table(events(family), family, root, run=run, batch_id=batch_id, rebalance=False, commit=False)
+            tables.write_table(events(family), family, root, run=run, batch_id=batch_id, commit=False)
 
     return _each_staged(frames, root, checkpoint, {f.name: f for f in (S.TRADE, S.BAR, *store)}.values(), names, write)
 
 
+def _dealt(batch: DataFrame) -> DataFrame:
+    """The frames of a micro-batch, numbered and spread over the cores: one landed file may be a single split."""
+    return frame_sources.spread(frame_sources.numbered(batch))
+
+
 def _name(family: S.Family) -> str:
     return commits.place(tables.table_path("", family))[1]
 
@@ -126,7 +131,7 @@ def persist_staged(frames: DataFrame, path: str, checkpoint: str) -> DataStreamW
     """The stream that stages every event and reject of ``frames`` in one pass."""
 
     def write(batch: DataFrame, run: str, batch_id: int) -> None:
-        tables.write_staged(decode.stage_events(frame_sources.numbered(batch)), path, run, batch_id)
+        tables.write_staged(decode.stage_events(_dealt(batch)), path, run, batch_id)
 
     return tables.for_each(frames, checkpoint, write)
 
@@ -144,7 +149,7 @@ def _each_staged(
     def one(batch: DataFrame, run: str, batch_id: int) -> None:
         if commits.is_done(batch.sparkSession, root, names, run, batch_id):
             return
-        staged = decode.stage_events(frame_sources.numbered(batch), families).persist()
+        staged = decode.stage_events(_dealt(batch), families).persist()
         try:
             write(staged, run, batch_id)
             tables.write_rejects(staged, root, run, batch_id, commit=False)
